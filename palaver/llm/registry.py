@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import bpe, language_id, sharding, simhash, url_filter
+from palaver.llm import bpe, chat_format, decontaminate, language_id, licences, sharding, simhash, url_filter
 from palaver.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_turns(table(spark, sf_dir, "conversations"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -33,5 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_bpe": op3_bpe, "op6_url_filter": op6_url_filter, "op7_sharding": op7_sharding, "op9_simhash": op9_simhash, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {"op6_url_filter": url_filter.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_licences, op3_bpe, op5_chat_format, op6_url_filter, op7_sharding, op8_decontamination, op9_simhash, op10_language_id)
+}
+ORACLES: dict[str, str] = {"op2_licences": licences.SQL, "op5_chat_format": chat_format.SQL, "op6_url_filter": url_filter.SQL}
