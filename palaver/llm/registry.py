@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import bpe, chat_format, context_mixing, decontaminate, language_id, licences, sharding, simhash, url_filter
+from palaver.llm import bpe, chat_format, context_mixing, decontaminate, language_id, licences, search, sharding, simhash, url_filter
 from palaver.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.like_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_turns(table(spark, sf_dir, "conversations"))
 
@@ -50,6 +54,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_context_mixing, op2_licences, op3_bpe, op5_chat_format, op6_url_filter, op7_sharding, op8_decontamination, op9_simhash, op10_language_id)
+    f.__name__: f for f in (op1_context_mixing, op2_licences, op3_bpe, op4_search, op5_chat_format, op6_url_filter, op7_sharding, op8_decontamination, op9_simhash, op10_language_id)
 }
 ORACLES: dict[str, str] = {"op2_licences": licences.SQL, "op5_chat_format": chat_format.SQL, "op6_url_filter": url_filter.SQL}
