@@ -25,7 +25,10 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` words, repeats included, joined by spaces; none if there are fewer."""
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    rest = F.greatest(F.size(words) - n + 1, F.lit(0))
+    some = F.slice(words, F.lit(1), rest)
+    for k in range(1, n):
+        some = F.zip_with(some, F.slice(words, F.lit(k + 1), rest), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(words) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
@@ -72,9 +75,10 @@ def human_duration(seconds: Column) -> Column:
 
 def human_size(size: Column) -> Column:
     """``500 B``, ``1.5 KB`` and so on up to TB."""
-    out = F.concat(F.format_string("%.1f", size / 1024.0**4), F.lit(" TB"))
+    one = lambda x: F.format_string("%.1f", F.bround(x, 1))  # noqa: E731  a half goes to the even digit
+    out = F.concat(one(size / 1024.0**4), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(size < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", size / 1024.0**power), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size < 1024.0 ** (power + 1), F.concat(one(size / 1024.0**power), F.lit(f" {unit}"))).otherwise(out)
     return F.when(size < 1024, F.concat(size.cast("bigint").cast("string"), F.lit(" B"))).otherwise(out)
 
 

@@ -26,7 +26,7 @@ def best_match(queries: DataFrame, candidates: DataFrame, threshold: float = 0.7
     size = candidates.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
     named = candidates.select("candidate_id", "pos", F.col("embedding").alias("_c"), F.pmod(F.xxhash64("candidate_id"), F.lit(1 if size <= BROADCAST_BYTES else blocks)).alias("_b"))
     parts = 1 if size <= BROADCAST_BYTES else blocks
-    asked = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint"))
+    asked = queries.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     pairs = asked.join(F.broadcast(named) if parts == 1 else named, "_b")
     scored = pairs.select("query_id", F.struct(F.round(cosine(F.col("embedding"), F.col("_c")), 9).alias("score"), (-F.col("pos")).alias("first"), F.col("candidate_id").alias("id")).alias("m"))
     best = scored.groupBy("query_id").agg(F.max("m").alias("m"))

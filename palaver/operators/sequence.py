@@ -22,9 +22,12 @@ def consecutive_dedup(segments: DataFrame) -> DataFrame:
 def repetition_flags(segments: DataFrame, threshold: float = 0.6, n: int = 3) -> DataFrame:
     """``segments`` with ``repeated``: share of the n-grams (a multiset) that the segment before has, against the threshold."""
     grams = segments.withColumn("_g", ngrams(tokens(F.col("text")), n)).withColumn("_p", F.lag("_g").over(in_call()))
-    # sum over distinct grams of the smaller count
+    # Where either side repeats no gram, every shared gram counts once; only else are the smaller counts summed gram by gram.
     count = lambda arr, g: F.size(F.filter(arr, lambda x: x == g))
-    shared = F.aggregate(F.array_distinct(F.array_intersect("_g", "_p")), F.lit(0), lambda s, g: s + F.least(count(F.col("_g"), g), count(F.col("_p"), g)))
+    once = lambda arr: F.size(F.array_distinct(arr)) == F.size(arr)
+    common = F.array_intersect("_g", "_p")
+    summed = F.aggregate(common, F.lit(0), lambda s, g: s + F.least(count(F.col("_g"), g), count(F.col("_p"), g)))
+    shared = F.when(once(F.col("_g")) | once(F.col("_p")), F.size(common)).otherwise(summed)
     ratio = F.when((F.size("_g") > 0) & (F.size("_p") > 0), shared / F.size("_g")).otherwise(F.lit(0.0))
     return grams.withColumn("repeated", F.coalesce(ratio >= threshold, F.lit(False))).drop("_g", "_p")
 

@@ -1,41 +1,8 @@
-"""The catalogue of registered queries with their reference SQL."""
+"""All registered queries with their reference SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from palaver.plans import identity_queries, interval_queries, report_queries, stream_queries, text_queries  # noqa: F401
+from palaver.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None):
-    """Register a ``(spark, sf_dir) -> DataFrame`` function, with its DuckDB SQL if there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "speaker_stats",
-    r"""SELECT conv_id AS call_id, coalesce(role, 'unknown') AS speaker, count(*) AS segments,
-    CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\S+'))) AS BIGINT) AS words
-    FROM conversations GROUP BY 1, 2""",
-)
-def speaker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "conversations")
-        .groupBy(F.col("conv_id").alias("call_id"), F.coalesce("role", F.lit("unknown")).alias("speaker"))
-        .agg(F.count("*").alias("segments"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("bigint")).alias("words"))
-    )
+__all__ = ["ORACLES", "QUERIES"]
