@@ -59,6 +59,7 @@ def _filled(call, schema: str):
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in call(batches):
-            yield out.reindex(columns=[*names, "error", "error_type"])
+            full = out.reindex(columns=[*names, "error", "error_type"]).astype(object)
+            yield full.where(full.notna(), None)
 
     return fill

@@ -52,7 +52,7 @@ def watch(stream: DataFrame, process: Process, out: str, manifest: str, checkpoi
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*", most: int | None = None) -> DataFrame:
     """New files of a folder as entries (path, size, mtime, hash)."""
-    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     if most:
         reader = reader.option("maxFilesPerTrigger", str(most))
     return reader.load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
