@@ -83,12 +83,12 @@ def digest_topics(spark, sf_dir):
     return R.top_counts(table(spark, sf_dir, "part"), "p_type", "p_partkey")
 
 
-@query("cost_rollup", """WITH u AS (SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS d, CAST(floor(value * 1000) AS BIGINT) AS i, CAST(floor(value * 100) AS BIGINT) AS o FROM events),
+@query("cost_rollup", """WITH u AS (SELECT event_type AS model, strftime(ts, '%Y-%m-%d') AS d, CAST(floor(value * 1000) AS BIGINT) * 100 AS i, CAST(floor(value * 100) AS BIGINT) * 100 AS o FROM events),
 p(model, a, b) AS (VALUES ('click', 0.8, 4.0), ('view', 15.0, 75.0)), c AS (SELECT u.*, (i * coalesce(a, 3.0)::DOUBLE + o * coalesce(b, 15.0)::DOUBLE) / 1000000.0 AS cost FROM u LEFT JOIN p ON u.model = p.model)
 SELECT 'total' AS kind, '' AS name, count(*) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(cost), 4) AS cost_usd FROM c
 UNION ALL SELECT 'model', model, count(*), CAST(sum(i) AS BIGINT), CAST(sum(o) AS BIGINT), round(sum(cost), 4) FROM c GROUP BY 2 UNION ALL SELECT 'day', d, count(*), CAST(sum(i) AS BIGINT), CAST(sum(o) AS BIGINT), round(sum(cost), 4) FROM c GROUP BY 2""")
 def cost_rollup(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), "ts", F.floor(F.col("value") * 1000).alias("input_tokens"), F.floor(F.col("value") * 100).alias("output_tokens"))
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), "ts", (F.floor(F.col("value") * 1000) * 100).alias("input_tokens"), (F.floor(F.col("value") * 100) * 100).alias("output_tokens"))
     prices = literal_rows(spark, [("click", 0.8, 4.0), ("view", 15.0, 75.0)], "model string, input_price double, output_price double")
     return R.cost_rollup(R.priced(log, prices), F.date_format("ts", "yyyy-MM-dd"))
 
