@@ -311,3 +311,29 @@ def migrate_v1(speakers: DataFrame, now: str) -> DataFrame:
         F.lit(0.0).alias("total_speaking_seconds"), F.array().cast("array<string>").alias("typical_co_speakers"), F.lit("migration").alias("created_from"), F.lit(now).alias("updated_at"),
     )
 
+
+
+def unknown_speakers(identities: DataFrame, min_calls: int = 1) -> DataFrame:
+    """Identities still unknown or candidate, with enough calls."""
+    return identities.filter(F.col("status").isin("unknown", "candidate") & (F.col("total_calls") >= min_calls))
+
+
+def occurrences_of(occurrences: DataFrame, cluster: str | None = None, call_id=None) -> DataFrame:
+    """Occurrences of a cluster, in a call, or both."""
+    out = occurrences
+    if cluster is not None:
+        out = out.filter(F.col("speaker_cluster_id") == cluster)
+    return out if call_id is None else out.filter(F.col("call_id") == call_id)
+
+
+def add_samples(speakers: DataFrame, samples: DataFrame) -> DataFrame:
+    """A name-to-vector table (name, embedding, num_samples) after more vectors (name, embedding): a weighted mean of old and new."""
+    new = samples.select("name", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(1).cast("bigint").alias("num_samples"))
+    every = speakers.select("name", F.col("embedding").cast("array<double>").alias("embedding"), F.col("num_samples").cast("bigint").alias("num_samples")).unionByName(new)
+    flat = every.select("name", F.col("num_samples").alias("n"), F.posexplode("embedding").alias("i", "x"))
+    sums = flat.groupBy("name", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    return sums.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"), F.max("n").alias("num_samples"))
+
+
+def remove_names(speakers: DataFrame, names: DataFrame) -> DataFrame:
+    return speakers.join(names.select("name"), "name", "left_anti")

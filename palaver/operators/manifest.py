@@ -58,3 +58,16 @@ def sync_report(entries: DataFrame) -> DataFrame:
     """(source, found, processed, failed, skipped): per source and, with a null source, in total."""
     is_ = lambda s: F.count_if(F.col("status") == s)
     return entries.rollup("source").agg(F.count("*").alias("found"), is_("completed").alias("processed"), is_("error").alias("failed"), is_("skipped").alias("skipped"))
+
+
+def by_availability(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries that are there, and those still in the cloud; the ones whose probe failed are in neither."""
+    return entries.filter(F.col("availability") == "local"), entries.filter(F.col("availability") == "cloud")
+
+
+def all_files(*tables: DataFrame) -> DataFrame:
+    """Files of several places, each path once."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out.dropDuplicates(["path"])

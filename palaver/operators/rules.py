@@ -123,3 +123,22 @@ def glob_regex(pattern: str) -> str:
     for c in pattern:
         out += {"*": ".*", "?": "."}.get(c, c if c in "[]" else re.escape(c))
     return f"^{out}$"
+
+
+def top_languages(probabilities: Column, most: int = 10) -> Column:
+    """The likeliest languages of a map as an array of (language, probability), likeliest first, ties by name."""
+    ranked = F.array_sort(F.transform(F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("language"))))
+    return F.transform(F.slice(ranked, 1, most), lambda e: F.struct(e["language"].alias("language"), (-e["p"]).alias("probability")))
+
+
+#: Settings of each preset; those given explicitly win.
+PRESETS = {
+    "transcribe_only": {"diarize": False, "analyze": False},
+    "full": {"diarize": True, "analyze": True, "export": True},
+    "fast": {"tier": "draft", "diarize": False},
+    "quality": {"tier": "high_quality", "diarize": True},
+}
+
+
+def expand_preset(name: str | None, explicit: dict) -> dict:
+    return merged_settings(PRESETS[name] if name else {}, explicit)

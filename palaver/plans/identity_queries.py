@@ -151,3 +151,21 @@ def enroll(spark, sf_dir):
     recordings = literal_rows(spark, [(1, "Dana", "S0", [2.0, 0.0], 60.0), (1, "Dana", "S1", [0.0, 1.0], 5.0), (2, "Chris", "S0", [0.0, 3.0], 9.0)], "call_id bigint, name string, local_label string, embedding array<double>, speaking_seconds double")
     after = D.enroll(people, recordings, "2026-02-01")
     return after.agg(F.count("*").alias("identities"), F.count_if(F.col("status") == "confirmed").alias("confirmed"))
+
+
+@query("occurrence_filter", "SELECT l_orderkey AS call_id, l_linenumber FROM lineitem WHERE l_suppkey = 7")
+def occurrence_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call_id"), "l_linenumber", F.col("l_suppkey").cast("string").alias("speaker_cluster_id"))
+    return D.occurrences_of(rows, "7").select("call_id", "l_linenumber")
+
+
+@query("unknown_speakers", f"WITH {IDENTITIES} SELECT id AS speaker_cluster_id FROM i WHERE status IN ('unknown', 'candidate') AND n >= 3")
+def unknown_speakers(spark, sf_dir):
+    return D.unknown_speakers(_identities(spark, sf_dir), 3).select("speaker_cluster_id")
+
+
+@query("add_samples", f"WITH {VECTORS}, k AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT CAST(c.label AS VARCHAR) AS name, CAST(i - 1 AS INTEGER) AS i, round((m * n + 1.0::DOUBLE) / (n + 1), 6) AS m, n + 1 AS num_samples FROM c JOIN k ON c.label = k.label")
+def add_samples(spark, sf_dir):
+    old = _centroids(spark, sf_dir).select(F.col("label").cast("string").alias("name"), F.col("centroid").alias("embedding"), F.col("sample_count").alias("num_samples"))
+    after = D.add_samples(old, old.select("name", F.transform("embedding", lambda _: F.lit(1.0)).alias("embedding")))
+    return after.select("name", "num_samples", F.posexplode("embedding").alias("i", "m")).withColumn("m", F.round("m", 6))

@@ -236,3 +236,17 @@ def roster(spark, sf_dir):
     return R.roster(named, segments)
 
 
+
+
+@query("file_availability", "SELECT doc_id, 'local' AS place FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'cloud' FROM documents WHERE doc_id % 3 = 1")
+def file_availability(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("local"), F.lit("cloud"), F.lit("error")), (F.col("doc_id") % 3 + 1).cast("int"))
+    local, cloud = Mf.by_availability(table(spark, sf_dir, "documents").select("doc_id", kind.alias("availability")))
+    return local.select("doc_id", F.lit("local").alias("place")).unionByName(cloud.select("doc_id", F.lit("cloud").alias("place")))
+
+
+@query("top_languages", "SELECT source, string_agg(lang, ',' ORDER BY n DESC, lang) AS langs FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) <= 2) GROUP BY 1")
+def top_languages(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").cast("double").alias("n"))
+    maps = counts.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("m"))
+    return maps.select("source", F.array_join(F.transform(rules.top_languages(F.col("m"), 2), lambda e: e["language"]), ",").alias("langs"))

@@ -155,3 +155,19 @@ def normalised_tags(tags: Column) -> Column:
 def paths_table(spark: SparkSession, lines: list[str]) -> DataFrame:
     """Paths of a pipe as a table; blank lines are left out."""
     return spark.createDataFrame([(x.strip(),) for x in lines if x.strip()], "path string")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(file, duration_seconds, bit_rate, format_name, channels, sample_rate, codec, tags) out of media probe JSON documents, one a file."""
+    stream = "struct<codec_type:string,codec_name:string,channels:int,sample_rate:string,tags:map<string,string>>"
+    form = f"format struct<filename:string,duration:string,bit_rate:string,format_name:string,size:string,tags:map<string,string>>, streams array<{stream}>"
+    docs = spark.read.schema(form).options(multiLine=True, mode="PERMISSIVE").json(path)
+    audio = F.get(F.filter("streams", lambda s: s["codec_type"] == "audio"), F.lit(0))
+    empty = F.create_map().cast("map<string,string>")
+    tags = F.map_concat(
+        F.map_filter(F.coalesce(audio["tags"], empty), lambda k, _: ~F.map_contains_key(F.coalesce(F.col("format.tags"), empty), k)), F.coalesce(F.col("format.tags"), empty)
+    )
+    return docs.select(
+        F.col("format.filename").alias("file"), F.col("format.duration").try_cast("double").alias("duration_seconds"), F.col("format.bit_rate").try_cast("bigint").alias("bit_rate"), F.col("format.format_name").alias("format_name"),
+        audio["channels"].alias("channels"), audio["sample_rate"].try_cast("int").alias("sample_rate"), audio["codec_name"].alias("codec"), normalised_tags(tags).alias("tags"),
+    )

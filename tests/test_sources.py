@@ -140,3 +140,9 @@ def test_resolver_stream_equals_batch(spark, tmp_path):
 def test_live_sessions_split_at_the_exact_pause(spark):
     rows = spark.sql("SELECT 'c' call_id, timestamp_seconds(x) ts, timestamp_seconds(x + 1) e FROM VALUES (0), (3), (7) AS v(x)")
     assert sorted(r.segments for r in sync.live_sessions(rows, F.col("e"), 3.0).collect()) == [1, 2]
+
+
+def test_probe_metadata(spark, tmp_path):
+    put(tmp_path, "p.json", json.dumps({"format": {"filename": "a.m4a", "duration": "61.5", "bit_rate": "x", "tags": {"TITLE": "Standup"}}, "streams": [{"codec_type": "video"}, {"codec_type": "audio", "codec_name": "aac", "channels": 1, "sample_rate": "16000", "tags": {"TITLE": "other", "encoder": "e"}}]}))
+    r = readers.read_metadata(spark, str(tmp_path)).first()
+    assert (r.duration_seconds, r.bit_rate, r.codec, r.sample_rate, r.tags) == (61.5, None, "aac", 16000, {"title": "Standup", "encoder": "e"})
