@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,20 +33,29 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir of the session.
 
-    The folder is spark.checkpoint.dir of the session. Only where that is unset, as in tests
-    and local runs, a folder under the warehouse is taken.
+    Only where that is unset, as in tests and local runs, a folder under the warehouse is taken.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of a large table: written to the shared folder as Parquet, which is far smaller than a checkpoint, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slices(items: Iterable[bytes | None], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``most`` bytes each, with the index of the first; null becomes empty."""
     held: list[bytes] = []
