@@ -25,7 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import LOWER, UPPER, fresh, slices
@@ -66,13 +66,13 @@ def item_terms(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             yield pa.array([sorted(set(words(x.as_py() or b""))) for x in batch], pa.list_(pa.binary()))
 
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    pairs = items.distinct().withColumn("term", F.explode(distinct("text")))
-    of = Window.partitionBy("term")
-    total = items.agg(F.count("*").alias("items")).select("items")
-    weighed = pairs.withColumn("df", F.count("*").over(of)).crossJoin(F.broadcast(total))  # one row
-    idf = F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return weighed.select("item_id", "text", F.struct("term", idf.alias("idf")).alias("t")).groupBy("item_id", "text").agg(F.collect_list("t").alias("terms"))
+    items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).distinct()
+    total = items.count()
+    pairs = items.withColumn("term", F.explode(distinct("text")))
+    frequency = pairs.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log1p((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = pairs.join(frequency, "term").select("item_id", "text", F.struct("term", idf.alias("idf")).alias("t"))
+    return weighed.groupBy("item_id", "text").agg(F.collect_list("t").alias("terms"))
 
 
 @dataclass
