@@ -11,7 +11,7 @@ links is kept instead of all pairs: breadth first search compares a node with th
 Keys with more than ``TILE`` nodes are dealt to pairs of tiles, so no key needs one task.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero and is linked like any
-other; repeated rows and rows with a null id are members like others (a component of null ids alone has a null id);
+other; repeated rows and rows with a null id are members like others (a component of null ids alone has a null id, and is still kept as one row);
 an empty table gives no rows.
 """
 
@@ -187,21 +187,32 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return own.unionByName(own.select(F.col("root").alias("node"), "root").distinct())
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable) of every row."""
-    prints = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), words).alias("fp")))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def with_representatives(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, mark, fp, best): every row with the row that stands for its component, the smallest by id.
+
+    Rows without an id come after all others and are told apart by ``mark``, a hash of their text.
+    """
+    mark = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    prints = settle(docs.select(F.col(id_col).alias("doc_id"), mark.alias("mark"), fingerprint_column(F.col(text_col), words).alias("fp")))
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    nodes = settle(prints.groupBy("fp").agg(F.min(own).alias("least")))
     roots = components(fingerprint_links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    return prints.join(rooted.join(best, "root").select("fp", "best"), "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of every component, whole and with all columns; repeated ids keep one row."""
-    name = fresh(docs, "_kept")
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id_col])
-
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable) of every row."""
+    found = with_representatives(docs, id_col, text_col, words)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The row with the smallest id of every component, whole and with all columns; of rows with the same id and (without id) text one stays."""
+    mark, kept_id, kept_mark = fresh(docs, "_mark"), fresh(docs, "_kept_id"), fresh(docs, "_kept_mark")
+    found = with_representatives(docs, id_col, text_col, words)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("mark").eqNullSafe(F.col("best.mark"))).select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark)).distinct()
+    marked = docs.withColumn(mark, F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & F.col(mark).eqNullSafe(F.col(kept_mark))
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, mark]).drop(mark)

@@ -189,6 +189,12 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter({*least.values(), None})  # the null id is alone in its component
 
 
+def test_rows_without_id_are_kept_apart(spark):
+    rows = [(None, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (None, "quite another text here"), (7, "one two three"), (None, "one two three"), (9, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[3], rows[5]])
+
+
 @pytest.mark.parametrize("tile", [4, 4096])
 def test_simhash_links_in_dense_groups(spark, tile):
     rng = random.Random(9)
