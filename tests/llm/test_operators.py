@@ -404,3 +404,18 @@ def test_trie_edges_share_prefixes():
 
 def test_registry_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["the", "The", "THE", "der", " ", "  ", "\n", ". ", "!", "\t", "x", "é", "\r\n", " \n", "?\n"]), max_size=25))
+def test_reader_finds_every_unit(parts):
+    text = "".join(parts).encode()
+    keys = context_mixing.Reader({b"the": 1, b"der": 2}).keys(text)
+    units = context_mixing.UNIT.findall(text + context_mixing.END)
+    assert [k[:-1] for k in keys] == units and b"".join(units) == text + context_mixing.END
+    kind, stop = 0, 1
+    for unit, key in zip(units, keys):
+        assert key[-1] == 2 * kind + stop
+        if unit[-1:] in (b" ", b"\n"):
+            kind = {b"the": 1, b"The": 1, b"THE": 1, b"der": 2}.get(unit[:-1], kind)
+        stop = int(unit[-1:] == b"\n" or unit[-2:-1] in (b".", b"!", b"?"))
