@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from palaver.llm.decontaminate import words
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Bytes of text in a shard, queries in a block of queries, and terms of all queries in one.
-SHARD_BYTES, QUERIES, QUERY_TERMS = 16 << 20, 4096, 2_000_000
+SHARD_BYTES, QUERIES, QUERY_TERMS = 16 << 20, 4096, 500_000
 
 
 class Shard:
@@ -34,19 +35,17 @@ class Shard:
 
     def __init__(self, ids: list[int | None], texts: list[bytes], mean: float):
         # Documents with like words stand together, so that blocks differ and their bounds are tight.
-        tokens = [words(t) for t in texts]
-        order = sorted(range(len(ids)), key=lambda i: (Counter(tokens[i]).most_common(1), ids[i] is None, ids[i]))
+        order = sorted(range(len(ids)), key=lambda i: (Counter(words(texts[i])).most_common(1), ids[i] is None, ids[i]))
         self.ids = [ids[i] for i in order]
         self.terms: dict[bytes, int] = {}
-        term, doc, tf, size = [], [], [], np.zeros(len(ids))
+        terms, counts, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(len(ids))
         for d, i in enumerate(order):
-            size[d] = len(tokens[i])
-            counts = Counter(tokens[i])
-            term += [self.terms.setdefault(t, len(self.terms)) for t in counts]
-            tf += counts.values()
-            doc += [d] * len(counts)
-            tokens[i] = []
-        term_, doc_, tf_ = np.array(term, np.int64), np.array(doc, np.int64), np.array(tf, np.float64)
+            tf = Counter(words(texts[i]))
+            size[d] = tf.total()
+            terms.append(np.fromiter((self.terms.setdefault(t, len(self.terms)) for t in tf), np.int32, len(tf)))
+            counts.append(np.fromiter(tf.values(), np.int32, len(tf)))
+        doc_ = np.repeat(np.arange(len(ids)), [len(t) for t in terms[1:]])
+        term_, tf_ = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
         by_term = np.argsort(term_, kind="stable")
         term_, self.doc, tf_ = term_[by_term], doc_[by_term], tf_[by_term]
         self.impact = tf_ * (K1 + 1) / (tf_ + K1 * (1 - B + B * size[self.doc] / mean))
@@ -127,13 +126,22 @@ def query_terms(queries: DataFrame, frequencies: DataFrame, n_docs: int) -> Data
     return pairs.join(frequencies, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"), F.count("*").alias("n"))
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def searcher(held, mean: float, k: int):
     """Function from a shard's rows to the k best of it for each query of a broadcast block."""
 
     def search(rows: pa.Table) -> pa.Table:
         shard = Shard(rows.column("doc_id").to_pylist(), [x or b"" for x in rows.column("_text").to_pylist()], mean)
         out: tuple[list, list, list] = ([], [], [])
-        for query, own, idf in held.value:
+        asked = held.value
+        queries, names, weights = asked.column("query_id").to_pylist(), _whole(asked.column("term")), _whole(asked.column("idf"))
+        ends = np.cumsum([0, *pc.list_value_length(names).to_pylist()])
+        every, idfs = names.flatten().to_pylist(), weights.flatten().to_numpy()
+        for i, query in enumerate(queries):
+            own, idf = every[ends[i] : ends[i + 1]], idfs[ends[i] : ends[i + 1]]
             best, scores = shard.top(own, idf, k)
             out[0].extend([query] * len(best))
             out[1].extend(shard.ids[i] for i in best.tolist())
@@ -156,17 +164,16 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     n_docs, size, tokens = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.coalesce(F.sum(length("_text")), F.lit(0))).first()
     mean = max(1.0, tokens / max(1, n_docs))
     asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_text).cast("binary").alias("_query")).filter("query_id IS NOT NULL").distinct()
-    terms = query_terms(asked, document_frequencies(rows), n_docs)
+    terms = settle(query_terms(asked, document_frequencies(rows), n_docs))
     n_queries, n_terms = terms.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(1, math.ceil(n_queries / block), math.ceil(n_terms / QUERY_TERMS))
-    terms = settle(terms.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts))).drop("n"))
+    terms = terms.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     shards = max(1, math.ceil(size / shard_bytes))
     dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.crc32("_text")), F.lit(shards)))
     schema = "query_id bigint, doc_id bigint, score double"
     found = None
     for part in range(parts):
-        held = spark.sparkContext.broadcast([(r.query_id, [bytes(t.term) for t in r.t], np.array([t.idf for t in r.t])) for r in terms.filter(F.col("_part") == part).collect()])
-
+        held = spark.sparkContext.broadcast(terms.filter(F.col("_part") == part).select("query_id", "t.term", "t.idf").toArrow().combine_chunks())
         one = dealt.groupBy("_shard").applyInArrow(searcher(held, mean, k), schema)
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
