@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,10 +102,36 @@ def topic_segments(segments: DataFrame, min_pause: float = 5.0) -> DataFrame:
     return segments.withColumn("_n", F.coalesce(new, F.lit(0))).withColumn("topic_no", F.sum("_n").over(w).cast("bigint")).drop("_n")
 
 
+def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column), one-to-one, with the largest sum of gains: shortest augmenting paths with potentials, one row after the other."""
+    if gain.shape[0] > gain.shape[1]:
+        return [(i, j) for j, i in best_assignment(gain.T)]
+    n, m = gain.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)  # row and column 0 stand for none
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, before, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[at]:
+            used[at] = True
+            cost = -gain[owner[at] - 1] - u[owner[at]] - v[1:]
+            nearer = ~used[1:] & (cost < least[1:])
+            least[1:][nearer], before[1:][nearer] = cost[nearer], at
+            new = int(np.argmin(np.where(used, np.inf, least)))
+            step = least[new]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            at = new
+        while at:
+            owner[at] = owner[before[at]]
+            at = before[at]
+    return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+
+
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
     """(call_id, missed, false_alarm, confusion, total, der): error against reference turns, without a collar around their borders.
 
-    Timelines of both sides are cut at all borders; the labels are mapped one-to-one so that most time agrees (exactly up to eight speakers, else greedily).
+    Timelines of both sides are cut at all borders; the labels are mapped one-to-one so that most time agrees, whatever their number.
     """
     both = reference.select("call_id", "start", "end", "speaker", F.lit(True).alias("ref")).unionByName(hypothesis.select("call_id", "start", "end", "speaker", F.lit(False).alias("ref")))
     kind = reference.schema["call_id"].dataType.simpleString()
@@ -128,15 +153,8 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float
                 for y in h:
                     shared[x, y] = shared.get((x, y), 0.0) + b - a
         names, labels = sorted(set(ref["speaker"])), sorted(set(hyp["speaker"]))
-        mapping: dict = {}
-        if len(names) <= 8 and len(labels) <= 8:
-            wide = names + [None] * max(0, len(labels) - len(names))
-            best = max(permutations(wide, len(labels)), key=lambda p: sum(shared.get((x, y), 0.0) for x, y in zip(p, labels)), default=())
-            mapping = dict(zip(labels, best))
-        else:
-            for (x, y), _ in sorted(shared.items(), key=lambda s: (-s[1], s[0])):
-                if y not in mapping and x not in mapping.values():
-                    mapping[y] = x
+        gain = np.array([[shared.get((x, y), 0.0) for x in names] for y in labels]).reshape(len(labels), len(names))
+        mapping = {labels[i]: names[j] for i, j in best_assignment(gain)}
         missed = alarm = confused = total = 0.0
         for span, r, h in spans:
             right = len(r & {mapping.get(y) for y in h})

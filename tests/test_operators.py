@@ -259,3 +259,11 @@ def test_whole_job(spark):
         return parts.select("call_id", "chunk_id", F.lit("T").alias("title"), F.col("text").alias("summary"), F.lit("call").alias("classification"), none.alias("topics"), none.alias("action_items"), none.alias("key_decisions"), none.alias("questions_raised"))
 
     assert pipeline.analyze(s, model).first().summary == "Hello. Goodbye. Goodbye."
+
+
+def test_diarization_maps_more_than_eight_speakers_at_best(spark):
+    others = [(30 + k, 31 + k, f"s{k}") for k in range(7)]
+    ref = turns(spark, (0, 19, "a"), (20, 29, "b"), *others)
+    hyp = turns(spark, (0, 10, "x"), (10, 19, "y"), (20, 29, "x"), *others)
+    got = metrics.diarization_error(ref, hyp, 0.0).first()
+    assert (got.missed, got.false_alarm, got.confusion, got.total) == (0, 0, 10, 35)  # a is y and b is x; taking a as x first would leave 18
