@@ -56,4 +56,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_context_mixing, op2_licences, op3_bpe, op4_search, op5_chat_format, op6_url_filter, op7_sharding, op8_decontamination, op9_simhash, op10_language_id)
 }
-ORACLES: dict[str, str] = {"op2_licences": licences.SQL, "op5_chat_format": chat_format.SQL, "op6_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {"op2_licences": licences.SQL, "op4_search": search.SQL, "op5_chat_format": chat_format.SQL, "op6_url_filter": url_filter.SQL}

@@ -1,12 +1,18 @@
-"""Operator 4: exact BM25 top-k by an inverted index with block-max pruning, per shard, merged with global statistics.
+"""Operator 4: exact BM25 top-k by an inverted index with block-max WAND pruning, per shard, merged with global statistics.
 
-Texts are dealt to shards of bounded size. Document frequencies, number and mean length are those of all texts, so scores of different shards compare
-and the merge of the shards' best is the exact top. A shard's postings are cut into blocks of documents; each keeps its largest impact for each
-term. For a query the sum of these bounds every document of a block; blocks are scored from the best bound down until the next bound is
-below the k-th score. Queries go to the shards in blocks of bounded number, each a bounded broadcast.
+The index is built once, in the tasks that read the texts, and stored: a shard holds the postings of texts of about ``SHARD_BYTES``, its documents in the order of
+their length and in blocks of ``BLOCK``. Document frequencies, number and mean length are those of all texts, so scores of different shards compare and the merge of the shards' best is the exact top.
 
-Defined cases: a null or empty text is a document without terms and is found by no query; a query without terms, or with none that occurs, has no rows; equal scores (to
-nine decimals) rank by id, nulls last; repeated rows are documents of their own; a query finds itself; an empty table gives no rows.
+Queries go out in blocks of bounded size. The shards of a first round (one in ``FIRST``) give each query a threshold, its k-th score there; the others start from it, and
+a task raises it from shard to shard. In a shard a query's terms stand from the most common on. Up to the pivot the sum of their largest impacts stays below a share of the threshold: documents
+with these terms alone can't be among the best and are never opened. Postings from the pivot on are summed; a block is skipped if its largest sum
+and its largest impacts of the terms before the pivot stay below the threshold; the documents of the rest that can still reach it are scored in full. Only scores that reach the threshold leave a task, at most k for each query.
+
+Terms are known by their 64-bit XXH3 hash.
+
+Defined cases: a null or empty text is a document without terms and is found by no query; a query without terms, or with none that occurs, has no rows; query rows with one id are
+one query; equal scores (to nine decimals) rank by id, nulls last; repeated rows are documents of their own; a query finds itself; texts of any length are read whole and stand in
+one shard; an empty table gives no rows; other columns are not read, so their names never clash.
 """
 
 from __future__ import annotations
@@ -14,168 +20,243 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import settle, slices
+from palaver.llm.common import settle, slices, stored
 from palaver.llm.decontaminate import words
 
 K1, B = 1.2, 0.75
 BLOCK = 64
 #: Bytes of text in a shard, queries in a block of queries, and terms of all queries in one.
-SHARD_BYTES, QUERIES, QUERY_TERMS = 16 << 20, 4096, 500_000
+SHARD_BYTES, QUERIES, QUERY_TERMS = 32 << 20, 16384, 2_000_000
+#: One shard in so many is searched first; its queries are dealt to so many tasks.
+FIRST, SLICES = 16, 24
+#: Terms before the pivot sum to at most this share of the threshold (any share up to one is exact) and occur in so many documents of the shard.
+SHARE, COMMON = 0.5, 0.1
+SLACK = 2e-9
+INDEX = "shard bigint, docs bigint, words bigint, ids array<bigint>, sizes binary, terms binary, counts binary, doc binary, tf binary"
+
+
+def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct terms of a text and how often each occurs."""
+    tf = Counter(words(text))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tf), np.uint64, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))
+
+
+def packed(number: int, ids: list[int | None], vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row of the index: postings by term of documents in the order of their length."""
+    sizes = np.array([int(tf.sum()) for _, tf in vectors], np.int64)
+    order = np.argsort(sizes, kind="stable").tolist()
+    term, tf = (np.concatenate([vectors[i][k] for i in order]) for k in (0, 1))
+    doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
+    by_term = np.argsort(term, kind="stable")
+    term = term[by_term]
+    new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate([new, [len(term)]])).astype(np.int32) if len(term) else np.zeros(0, np.int32)
+    blobs = (sizes[order].astype(np.int32), term[new], counts, doc[by_term], tf[by_term])
+    columns = [pa.array([number]), pa.array([len(ids)]), pa.array([int(sizes.sum())]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
+    """A row for each shard, written once; a task that reads texts makes its own shards, so nothing is shuffled."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, size = [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            for first, texts in slices(x.as_py() for x in batch.column(1)):
+                for i, text in enumerate(texts, first):
+                    ids.append(own[i])
+                    vectors.append(term_counts(text))
+                    size += len(text)
+                    if size >= shard_bytes:
+                        yield packed(number, ids, vectors)
+                        ids, vectors, size, number = [], [], 0, number + 1
+        if ids:
+            yield packed(number, ids, vectors)
 
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("_text"))
+    return stored(rows.mapInArrow(build, INDEX), "index")
 
-class Shard:
-    """Postings of some documents in blocks, with the largest impact of each block."""
-
-    def __init__(self, ids: list[int | None], texts: list[bytes], mean: float):
-        # Documents with like words stand together, so that blocks differ and their bounds are tight.
-        order = sorted(range(len(ids)), key=lambda i: (Counter(words(texts[i])).most_common(1), ids[i] is None, ids[i]))
-        self.ids = [ids[i] for i in order]
-        self.terms: dict[bytes, int] = {}
-        terms, counts, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(len(ids))
-        for d, i in enumerate(order):
-            tf = Counter(words(texts[i]))
-            size[d] = tf.total()
-            terms.append(np.fromiter((self.terms.setdefault(t, len(self.terms)) for t in tf), np.int32, len(tf)))
-            counts.append(np.fromiter(tf.values(), np.int32, len(tf)))
-        doc_ = np.repeat(np.arange(len(ids)), [len(t) for t in terms[1:]])
-        term_, tf_ = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
-        by_term = np.argsort(term_, kind="stable")
-        term_, self.doc, tf_ = term_[by_term], doc_[by_term], tf_[by_term]
-        self.impact = tf_ * (K1 + 1) / (tf_ + K1 * (1 - B + B * size[self.doc] / mean))
-        block = self.doc // BLOCK
-        new = np.flatnonzero(np.concatenate([[True], (term_[1:] != term_[:-1]) | (block[1:] != block[:-1])])) if len(term_) else np.zeros(0, np.int64)
-        self.begin, self.end = new, np.concatenate([new[1:], [len(term_)]]).astype(np.int64)
-        self.block = block[new]
-        self.most = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.starts = np.searchsorted(term_[new], np.arange(len(self.terms) + 1))
-        self.blocks = (len(ids) + BLOCK - 1) // BLOCK
-
-    def top(self, terms: list[bytes], idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best documents of the shard."""
-        at = [(self.terms[t], w) for t, w in zip(terms, idf.tolist(), strict=True) if t in self.terms]
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids = np.array([t for t, _ in at])
-        count = self.starts[ids + 1] - self.starts[ids]
-        entry = np.arange(int(count.sum())) + np.repeat(self.starts[ids] - (np.cumsum(count) - count), count)
-        weight = np.repeat(np.array([w for _, w in at]), count)
-        bound = np.bincount(self.block[entry], self.most[entry] * weight, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, scores, threshold, done, wave = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while done < len(order):
-            take = order[done : done + wave]
-            take = take[bound[take] >= threshold - 1e-9]
-            if not len(take):
-                break
-            in_wave = np.zeros(self.blocks, bool)
-            in_wave[take] = True
-            mine = in_wave[self.block[entry]]
-            e, w = entry[mine], weight[mine]
-            n = self.end[e] - self.begin[e]
-            posting = np.arange(int(n.sum())) + np.repeat(self.begin[e] - (np.cumsum(n) - n), n)
-            score = np.bincount(self.doc[posting], self.impact[posting] * np.repeat(w, n), len(self.ids))
-            found = np.flatnonzero(score)
-            best, scores = np.concatenate([best, found]), np.concatenate([scores, score[found]])
-            if len(best) > k:
-                kth = np.partition(scores, -k)[-k]
-                keep = scores >= kth - 1e-9  # ties at the border stay until ids decide
-                best, scores, threshold = best[keep], scores[keep], kth
-            done += wave
-            wave *= 2
-        return best, scores
-
-
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) over all texts, summed in each task before the shuffle."""
+
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """(term, df) over all texts, from the shards' counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         for batch in batches:
-            for _, texts in slices(x.as_py() for x in batch.column(0)):
-                for t in texts:
-                    held.update(set(words(t)))
-                if len(held) > 400_000:
-                    yield flat(held)
-                    held = Counter()
-        yield flat(held)
-
-    def flat(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["term", "df"])
+            for terms, counts in zip(*batch.columns, strict=True):
+                df = np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_buffer(), np.int64)), pa.array(df)], ["term", "df"])
 
-    return docs.select("_text").mapInArrow(count, "term binary, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    return index.select("terms", "counts").mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def query_terms(queries: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
-    """(query_id, terms, idf): distinct terms of each query that occur, with their weights."""
+def query_terms(queries: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
+    """(query_id, term, idf): distinct terms of each query that occur, with their weights."""
 
-    @F.arrow_udf("array<binary>")
-    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.array([sorted(set(words(x.as_py() or b""))) for x in batch], pa.list_(pa.binary()))
+            own = batch.column(0).to_pylist()
+            for first, texts in slices(x.as_py() for x in batch.column(1)):
+                found = [term_counts(t)[0].view(np.int64) for t in texts]
+                ids = np.repeat(np.array(own[first : first + len(texts)], np.int64), list(map(len, found)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["query_id", "term"])
 
-    pairs = queries.withColumn("term", F.explode(distinct("_query"))).select("query_id", "term")
+    pairs = queries.mapInArrow(read, "query_id bigint, term bigint").distinct()
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return pairs.join(frequencies, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"), F.count("*").alias("n"))
+    return settle(pairs.join(document_frequencies(index), "term").select("query_id", "term", idf.alias("idf")))
 
 
-def _whole(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+@dataclass
+class Asked:
+    """A block of queries: their distinct terms in order with weights, and each query's places among them."""
 
+    ids: np.ndarray
+    ends: np.ndarray
+    places: np.ndarray
+    terms: np.ndarray
+    idf: np.ndarray
+    thresholds: np.ndarray
 
-def searcher(held, mean: float, k: int):
-    """Function from a shard's rows to the k best of it for each query of a broadcast block."""
+    @staticmethod
+    def of(rows: pa.Table) -> Asked:
+        query, term, idf = (rows.column(c).to_numpy() for c in ("query_id", "term", "idf"))
+        order = np.argsort(query, kind="stable")
+        ids, counts = np.unique(query, return_counts=True)
+        terms, first, places = np.unique(term.view(np.uint64)[order], return_index=True, return_inverse=True)
+        return Asked(ids, np.concatenate([[0], np.cumsum(counts)]), places.astype(np.int32), terms, idf[order][first], np.zeros(len(ids)))
 
-    def search(rows: pa.Table) -> pa.Table:
-        shard = Shard(rows.column("doc_id").to_pylist(), [x or b"" for x in rows.column("_text").to_pylist()], mean)
-        out: tuple[list, list, list] = ([], [], [])
-        asked = held.value
-        queries, names, weights = asked.column("query_id").to_pylist(), _whole(asked.column("term")), _whole(asked.column("idf"))
-        ends = np.cumsum([0, *pc.list_value_length(names).to_pylist()])
-        every, idfs = names.flatten().to_pylist(), weights.flatten().to_numpy()
-        for i, query in enumerate(queries):
-            own, idf = every[ends[i] : ends[i + 1]], idfs[ends[i] : ends[i + 1]]
-            best, scores = shard.top(own, idf, k)
-            out[0].extend([query] * len(best))
-            out[1].extend(shard.ids[i] for i in best.tolist())
-            out[2].extend(np.round(scores, 9).tolist())
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
+
+class Shard:
+    """The postings of some documents for the terms that a block of queries asks for."""
+
+    def __init__(self, row: dict[str, pa.Scalar], asked: Asked, mean: float):
+        sizes, terms, counts, doc, tf = (np.frombuffer(row[c].as_buffer(), kind) for c, kind in (("sizes", np.int32), ("terms", np.uint64), ("counts", np.int32), ("doc", np.int32), ("tf", np.int32)))
+        ids = row["ids"].values
+        self.none = ids.is_null().to_numpy(zero_copy_only=False)
+        self.ids = ids.fill_null(0).to_numpy()
+        self.docs = (len(sizes) + BLOCK - 1) // BLOCK * BLOCK
+        at = np.minimum(np.searchsorted(asked.terms, terms), len(asked.terms) - 1)
+        hit = asked.terms[at] == terms
+        keep = np.repeat(hit, counts)
+        self.doc, tf, at, counts = doc[keep].astype(np.int64), tf[keep].astype(np.float64), at[hit], counts[hit]
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean)) * np.repeat(asked.idf[at], counts)
+        self.counts, self.ends = counts, np.cumsum(counts)
+        self.starts = self.ends - counts
+        self.most = np.maximum.reduceat(self.impact, self.starts) if len(at) else np.zeros(0)
+        self.place = np.full(len(asked.terms), -1, np.int64)
+        self.place[at] = np.arange(len(at))
+        # The common terms also have a row of all documents each, no more cells than postings in all.
+        rank = np.argsort(-counts, kind="stable")[: len(self.doc) // self.docs + 1]
+        dense = rank[counts[rank] >= COMMON * len(sizes)]
+        self.row = np.full(len(at), -1, np.int64)
+        self.row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), self.docs))
+        for r, t in enumerate(dense.tolist()):
+            self.dense[r, self.doc[self.starts[t] : self.ends[t]]] = self.impact[self.starts[t] : self.ends[t]]
+        self.block_most = self.dense.reshape(len(dense), self.docs // BLOCK, BLOCK).max(axis=2)
+
+    def top(self, places: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of the k best that reach the threshold, and those equal to the last of them."""
+        at = self.place[places]
+        at = at[at >= 0]
+        at = at[np.lexsort((-self.counts[at], self.row[at] < 0))]
+        sums = np.cumsum(self.most[at])
+        pivot = min(int(np.searchsorted(sums, SHARE * threshold)), int((self.row[at] >= 0).sum()))
+        idle, opened = at[:pivot], at[pivot:]
+        spans = list(zip(self.starts[opened].tolist(), self.ends[opened].tolist(), strict=True))
+        if not spans:
+            return np.zeros(0, np.int64), np.zeros(0)
+        score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.impact[a:b] for a, b in spans]), self.docs)
+        if pivot:
+            rows = self.row[idle]
+            bound = score.reshape(-1, BLOCK).max(axis=1) + self.block_most[rows].sum(axis=0)
+            blocks = np.flatnonzero(bound >= threshold - SLACK)
+            found = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = found[score[found] + sums[pivot - 1] >= threshold - SLACK]
+            score = score[found] + self.dense[rows[:, None], found].sum(axis=0)
+            keep = score >= threshold - SLACK
+            found, score = found[keep], score[keep]
+        else:
+            found = np.flatnonzero((score > 0) & (score >= threshold - SLACK))
+            score = score[found]
+        if len(found) > k:
+            keep = score >= np.partition(score, -k)[-k] - SLACK
+            found, score = found[keep], score[keep]
+        return found, score
+
+
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]  # scores, whether the id is null, ids
+
+
+def merged(best: Best | None, more: Best, k: int) -> Best:
+    """The k best of both by score, then id, nulls last."""
+    scores, none, ids = (more if best is None else tuple(np.concatenate(x) for x in zip(best, more, strict=True)))
+    order = np.lexsort((ids, none, -scores))[:k]
+    return scores[order], none[order], ids[order]
+
+
+def searcher(held, mean: float, k: int, parts: int):
+    """Function from shards (and the slice of queries to ask) to the best of all of them for each query of a broadcast block."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: Asked = held.value
+        best: dict[int, Best] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                shard = Shard(row, asked, mean)
+                for q in range(row["slice"].as_py(), len(asked.ids), parts):
+                    own = best.get(q)
+                    threshold = max(float(asked.thresholds[q]), float(own[0][-1]) if own and len(own[0]) == k else 0.0)
+                    found, score = shard.top(asked.places[asked.ends[q] : asked.ends[q + 1]], threshold, k)
+                    if len(found):
+                        best[q] = merged(own, (np.round(score, 9), shard.none[found], shard.ids[found]), k)
+        for q, (scores, none, ids) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asked.ids[q])), pa.array(ids, mask=none), pa.array(scores)], ["query_id", "doc_id", "score"])
 
     return search
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", shard_bytes: int = SHARD_BYTES, block: int = QUERIES) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", shard_bytes: int = SHARD_BYTES, block: int = QUERIES, first: int = FIRST) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents for every query."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
-
-    @F.arrow_udf("bigint")
-    def length(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([len(words(x.as_py())) for x in batch], pa.int64())
-
-    n_docs, size, tokens = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.coalesce(F.sum(length("_text")), F.lit(0))).first()
+    index = build_index(docs, id_col, text_col, shard_bytes)
+    n_docs, tokens, least = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.min("shard")).first()
     mean = max(1.0, tokens / max(1, n_docs))
-    asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_text).cast("binary").alias("_query")).filter("query_id IS NOT NULL").distinct()
-    terms = settle(query_terms(asked, document_frequencies(rows), n_docs))
-    n_queries, n_terms = terms.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_text).cast("binary").alias("_query")).filter("query_id IS NOT NULL")
+    terms = query_terms(asked, index, n_docs)
+    n_queries, n_terms = terms.agg(F.count_distinct("query_id"), F.count("*")).first()
     parts = max(1, math.ceil(n_queries / block), math.ceil(n_terms / QUERY_TERMS))
-    terms = terms.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    shards = max(1, math.ceil(size / shard_bytes))
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("doc_id", F.crc32("_text")), F.lit(shards)))
+    early = (F.pmod(F.xxhash64("shard"), F.lit(first)) == 0) | (F.col("shard") == F.lit(least or 0))
     schema = "query_id bigint, doc_id bigint, score double"
     found = None
     for part in range(parts):
-        held = spark.sparkContext.broadcast(terms.filter(F.col("_part") == part).select("query_id", "t.term", "t.idf").toArrow().combine_chunks())
-        one = dealt.groupBy("_shard").applyInArrow(searcher(held, mean, k), schema)
-        found = one if found is None else found.unionByName(one)
+        block_of = Asked.of(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow())
+        if not len(block_of.ids):
+            continue
+        held = spark.sparkContext.broadcast(block_of)
+        dealt = index.filter(early).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).repartitionByRange(SLICES, "slice")
+        some = settle(dealt.mapInArrow(searcher(held, mean, k, SLICES), schema))
+        held.destroy()
+        reached = some.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k).toArrow()
+        block_of.thresholds[np.searchsorted(block_of.ids, reached.column("query_id").to_numpy())] = reached.column("score").to_numpy()
+        held = spark.sparkContext.broadcast(block_of)
+        rest = settle(index.filter(~early).withColumn("slice", F.lit(0)).mapInArrow(searcher(held, mean, k, 1), schema))
+        held.destroy()
+        both = some.unionByName(rest)
+        found = both if found is None else found.unionByName(both)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -184,3 +265,21 @@ def like_texts(docs: DataFrame, every: int = 50, k: int = 10, id_col: str = "doc
     """Top-k over all texts for each text whose id is divisible by ``every``, with the whole text as the query."""
     queries = docs.filter(F.col(id_col) % every == 0).select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
     return top_k(docs, queries, k, id_col, text_col)
+
+
+#: The same top ten by joins: every query meets every document that has one of its terms.
+SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS place, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', 'abcdefghijklmnopqrstuvwxyz                                '), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+numbers AS (SELECT count(*) AS n, greatest(1.0, sum(len(words)) / count(*)) AS mean FROM words),
+postings AS (SELECT place, doc_id, any_value(size) AS size, term, count(*) AS tf FROM (SELECT place, doc_id, len(words) AS size, unnest(words) AS term FROM words) GROUP BY place, doc_id, term),
+frequencies AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, numbers GROUP BY term, n),
+asked AS (SELECT DISTINCT doc_id AS query_id, term FROM postings WHERE doc_id % 50 = 0),
+scores AS (
+  SELECT query_id, place, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score
+  FROM asked JOIN postings USING (term) JOIN frequencies USING (term), numbers GROUP BY query_id, place, doc_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM scores)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

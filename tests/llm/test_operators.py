@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -298,24 +299,40 @@ def brute_top(docs, query, k):
 
 def test_search_is_exact(docs, empty, spark):
     rows = corpus()
-    queries = [(1, rows[3][1]), (2, "the unknown schön"), (3, ""), (4, None), (5, "x" * 5000)]
+    queries = [(1, rows[3][1]), (2, "the unknown schön"), (3, ""), (4, None), (5, "x" * 5000), (6, rows[5][1])]
+    asked = spark.createDataFrame(queries, "query_id bigint, text string").withColumns({c: F.lit("x") for c in ("term", "slice", "shard", "idf")})
     for shard_bytes, block in ((16 << 20, 4096), (2000, 2)):
-        found = search.top_k(docs, spark.createDataFrame(queries, "query_id bigint, text string"), 5, shard_bytes=shard_bytes, block=block).collect()
+        found = search.top_k(docs.withColumns({c: F.lit("x") for c in ("ids", "sizes", "slice", "docs")}), asked, 5, shard_bytes=shard_bytes, block=block, first=3).collect()
         for q, text in queries:
             got = [r.doc_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])]
             assert got == brute_top([r[:2] for r in rows], text or "", 5)
     assert search.like_texts(empty).count() == 0
 
 
-def test_block_max_prunes_nothing_wanted():
+def test_search_takes_very_long_texts(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.01)), 900)}" for _ in range(n))) for i, n in enumerate([40_000, 3, 500, 60, 20_000] + [50] * 40)]
+    found = search.top_k(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, rows[0][1]), (2, rows[7][1])], "query_id bigint, text string"), 4, shard_bytes=5000).collect()
+    for q, text in ((1, rows[0][1]), (2, rows[7][1])):
+        assert [r.doc_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == brute_top(rows, text, 4)
+
+
+def test_pruning_drops_nothing_wanted():
     rng = random.Random(5)
-    texts = [" ".join(f"w{min(int(rng.expovariate(0.05)), 200)}" for _ in range(30)).encode() for _ in range(700)]
-    shard = search.Shard(list(range(700)), texts, 30.0)
-    terms, idf = [b"w1", b"w40", b"w90", b"w150"], np.array([0.1, 1.0, 3.0, 5.0])
-    best, scores = shard.top(terms, idf, 10)
-    every, all_scores = shard.top(terms, idf, 700)
-    order = np.argsort(-all_scores, kind="stable")[:10]
-    assert sorted(np.round(scores, 9))[-10:] == sorted(np.round(all_scores[order], 9))
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.05)), 200)}" for _ in range(rng.randint(1, 60))).encode() for _ in range(700)]
+    row = search.packed(0, list(range(700)), [search.term_counts(t) for t in texts]).to_pylist()[0]
+    row = {k: pa.scalar(v, pa.list_(pa.int64()) if k == "ids" else None) for k, v in row.items()}
+    for n in range(30):
+        terms = sorted(search.term_counts(" ".join(f"w{rng.randint(0, 150)}" for _ in range(rng.randint(1, 40))).encode())[0].tolist())
+        idf = np.array([rng.uniform(0.1, 6) for _ in terms])
+        asked = search.Asked(np.array([1]), np.array([0, len(terms)]), np.arange(len(terms), dtype=np.int32), np.array(terms, np.uint64), idf, np.zeros(1))
+        shard = search.Shard(row, asked, 30.0)
+        every, scores = shard.top(asked.places, 0.0, 700)
+        for at in (0, 9, 40):
+            at = min(at, len(scores) - 1)
+            threshold = float(np.sort(scores)[::-1][at])
+            found, got = shard.top(asked.places, threshold, at + 1)
+            assert np.allclose(np.sort(got)[::-1][: at + 1], np.sort(scores)[::-1][: at + 1])
 
 
 def test_licences(spark, empty):
