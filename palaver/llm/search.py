@@ -36,12 +36,12 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: Bytes of text in a shard, queries in a block of queries, and terms of all queries in one.
 SHARD_BYTES, QUERIES, QUERY_TERMS = 32 << 20, 16384, 2_000_000
-#: One shard in so many is searched first; its queries are dealt to so many tasks.
-FIRST, SLICES = 16, 24
+#: One shard in so many is searched first.
+FIRST = 16
 #: Terms before the pivot sum to at most this share of the threshold (any share up to one is exact) and occur in so many documents of the shard.
 SHARE, COMMON = 0.5, 0.1
 SLACK = 2e-9
-INDEX = "shard bigint, docs bigint, words bigint, ids array<bigint>, sizes binary, terms binary, counts binary, doc binary, tf binary"
+INDEX = "early boolean, docs bigint, words bigint, ids array<bigint>, sizes binary, terms binary, counts binary, doc binary, tf binary"
 
 
 def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tf), np.uint64, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))
 
 
-def packed(number: int, ids: list[int | None], vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def packed(early: bool, ids: list[int | None], vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """One row of the index: postings by term of documents in the order of their length."""
     sizes = np.array([int(tf.sum()) for _, tf in vectors], np.int64)
     order = np.argsort(sizes, kind="stable").tolist()
@@ -61,12 +61,15 @@ def packed(number: int, ids: list[int | None], vectors: list[tuple[np.ndarray, n
     new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([new, [len(term)]])).astype(np.int32) if len(term) else np.zeros(0, np.int32)
     blobs = (sizes[order].astype(np.int32), term[new], counts, doc[by_term], tf[by_term])
-    columns = [pa.array([number]), pa.array([len(ids)]), pa.array([int(sizes.sum())]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]]
+    columns = [pa.array([early]), pa.array([len(ids)]), pa.array([int(sizes.sum())]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
-    """A row for each shard, written once; a task that reads texts makes its own shards, so nothing is shuffled."""
+def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, first: int) -> DataFrame:
+    """A row for each shard, written once, those of the first round apart; a task that reads texts makes its own shards, so nothing is shuffled."""
+
+    def early(number: int) -> bool:
+        return xxhash.xxh3_64_intdigest(number.to_bytes(8, "big")) % first == 0
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, size = [], [], 0
@@ -79,13 +82,13 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -
                     vectors.append(term_counts(text))
                     size += len(text)
                     if size >= shard_bytes:
-                        yield packed(number, ids, vectors)
+                        yield packed(early(number), ids, vectors)
                         ids, vectors, size, number = [], [], 0, number + 1
         if ids:
-            yield packed(number, ids, vectors)
+            yield packed(early(number), ids, vectors)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("_text"))
-    return stored(rows.mapInArrow(build, INDEX), "index")
+    return stored(rows.mapInArrow(build, INDEX), "index", by="early")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -205,17 +208,16 @@ def merged(best: Best | None, more: Best, k: int) -> Best:
     return scores[order], none[order], ids[order]
 
 
-def searcher(held, mean: float, k: int, parts: int):
-    """Function from shards (and the slice of queries to ask) to the best of all of them for each query of a broadcast block."""
+def searcher(held, mean: float, k: int):
+    """Function from shards to the best of all of them for each query of a broadcast block."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Asked = held.value
         best: dict[int, Best] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                shard = Shard(row, asked, mean)
-                for q in range(row["slice"].as_py(), len(asked.ids), parts):
+                shard = Shard({name: batch.column(name)[i] for name in batch.schema.names}, asked, mean)
+                for q in range(len(asked.ids)):
                     own = best.get(q)
                     threshold = max(float(asked.thresholds[q]), float(own[0][-1]) if own and len(own[0]) == k else 0.0)
                     found, score = shard.top(asked.places[asked.ends[q] : asked.ends[q + 1]], threshold, k)
@@ -230,34 +232,32 @@ def searcher(held, mean: float, k: int, parts: int):
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", shard_bytes: int = SHARD_BYTES, block: int = QUERIES, first: int = FIRST) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents for every query."""
     spark = docs.sparkSession
-    index = build_index(docs, id_col, text_col, shard_bytes)
-    n_docs, tokens, least = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.min("shard")).first()
+    index = build_index(docs, id_col, text_col, shard_bytes, first)
+    n_docs, tokens = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean = max(1.0, tokens / max(1, n_docs))
     asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_text).cast("binary").alias("_query")).filter("query_id IS NOT NULL")
     terms = query_terms(asked, index, n_docs)
     n_queries, n_terms = terms.agg(F.count_distinct("query_id"), F.count("*")).first()
     parts = max(1, math.ceil(n_queries / block), math.ceil(n_terms / QUERY_TERMS))
-    early = (F.pmod(F.xxhash64("shard"), F.lit(first)) == 0) | (F.col("shard") == F.lit(least or 0))
     schema = "query_id bigint, doc_id bigint, score double"
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     found = None
     for part in range(parts):
         block_of = Asked.of(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow())
         if not len(block_of.ids):
             continue
         held = spark.sparkContext.broadcast(block_of)
-        dealt = index.filter(early).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).repartitionByRange(SLICES, "slice")
-        some = settle(dealt.mapInArrow(searcher(held, mean, k, SLICES), schema))
+        some = settle(index.filter("early").mapInArrow(searcher(held, mean, k), schema))
         held.destroy()
-        reached = some.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k).toArrow()
+        reached = some.withColumn("rank", rank).filter(F.col("rank") == k).select("query_id", "score").toArrow()
         block_of.thresholds[np.searchsorted(block_of.ids, reached.column("query_id").to_numpy())] = reached.column("score").to_numpy()
         held = spark.sparkContext.broadcast(block_of)
-        rest = settle(index.filter(~early).withColumn("slice", F.lit(0)).mapInArrow(searcher(held, mean, k, 1), schema))
+        rest = settle(index.filter("NOT early").mapInArrow(searcher(held, mean, k), schema))
         held.destroy()
         both = some.unionByName(rest)
         found = both if found is None else found.unionByName(both)
     if found is None:
         found = spark.createDataFrame([], schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
