@@ -3,7 +3,7 @@
 The index is built once, in the tasks that read the texts, and stored: a shard holds the postings of texts of about ``SHARD_BYTES``, its documents in the order of
 their length and in blocks of ``BLOCK``. Document frequencies, number and mean length are those of all texts, so scores of different shards compare and the merge of the shards' best is the exact top.
 
-Queries go out in blocks of bounded size. The shards of a first round (one in ``FIRST``) give each query a threshold, its k-th score there; the others start from it, and
+Queries go out in blocks of bounded size. Shards are searched in rounds (``ROUNDS``): a query's k-th score so far is the threshold that the next round starts from, and
 a task raises it from shard to shard. In a shard a query's terms stand from the most common on. Up to the pivot the sum of their largest impacts stays below a share of the threshold: documents
 with these terms alone can't be among the best and are never opened. Postings from the pivot on are summed; a block is skipped if its largest sum
 and its largest impacts of the terms before the pivot stay below the threshold; the documents of the rest that can still reach it are scored in full. Only scores that reach the threshold leave a task, at most k for each query.
@@ -18,6 +18,7 @@ one shard; an empty table gives no rows; other columns are not read, so their na
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,12 +37,12 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: Bytes of text in a shard, queries in a block of queries, and terms of all queries in one.
 SHARD_BYTES, QUERIES, QUERY_TERMS = 32 << 20, 16384, 2_000_000
-#: One shard in so many is searched first.
-FIRST = 16
+#: Sixteenths of the shards that are searched up to the end of each round. A round holds at most some four times the shards before it, so about 4 k documents of it reach a query's threshold at any size.
+ROUNDS = (1, 4, 16)
 #: Terms before the pivot sum to at most this share of the threshold (any share up to one is exact) and occur in so many documents of the shard.
 SHARE, COMMON = 0.5, 0.1
 SLACK = 2e-9
-INDEX = "early boolean, docs bigint, words bigint, ids array<bigint>, sizes binary, terms binary, counts binary, doc binary, tf binary"
+INDEX = "round int, docs bigint, words bigint, ids array<bigint>, sizes binary, terms binary, counts binary, doc binary, tf binary"
 
 
 def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,7 @@ def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tf), np.uint64, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))
 
 
-def packed(early: bool, ids: list[int | None], vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def packed(number: int, ids: list[int | None], vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """One row of the index: postings by term of documents in the order of their length."""
     sizes = np.array([int(tf.sum()) for _, tf in vectors], np.int64)
     order = np.argsort(sizes, kind="stable").tolist()
@@ -61,15 +62,15 @@ def packed(early: bool, ids: list[int | None], vectors: list[tuple[np.ndarray, n
     new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([new, [len(term)]])).astype(np.int32) if len(term) else np.zeros(0, np.int32)
     blobs = (sizes[order].astype(np.int32), term[new], counts, doc[by_term], tf[by_term])
-    columns = [pa.array([early]), pa.array([len(ids)]), pa.array([int(sizes.sum())]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]]
+    columns = [pa.array([number], pa.int32()), pa.array([len(ids)]), pa.array([int(sizes.sum())]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, first: int) -> DataFrame:
-    """A row for each shard, written once, those of the first round apart; a task that reads texts makes its own shards, so nothing is shuffled."""
+def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
+    """A row for each shard, written once, each round's apart; a task that reads texts makes its own shards, so nothing is shuffled."""
 
-    def early(number: int) -> bool:
-        return xxhash.xxh3_64_intdigest(number.to_bytes(8, "big")) % first == 0
+    def round_of(number: int) -> int:
+        return bisect_right(ROUNDS, xxhash.xxh3_64_intdigest(number.to_bytes(8, "big")) % ROUNDS[-1])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, size = [], [], 0
@@ -82,13 +83,13 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, f
                     vectors.append(term_counts(text))
                     size += len(text)
                     if size >= shard_bytes:
-                        yield packed(early(number), ids, vectors)
+                        yield packed(round_of(number), ids, vectors)
                         ids, vectors, size, number = [], [], 0, number + 1
         if ids:
-            yield packed(early(number), ids, vectors)
+            yield packed(round_of(number), ids, vectors)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("_text"))
-    return stored(rows.mapInArrow(build, INDEX), "index", by="early")
+    return stored(rows.mapInArrow(build, INDEX), "index", by="round")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -229,10 +230,10 @@ def searcher(held, mean: float, k: int):
     return search
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", shard_bytes: int = SHARD_BYTES, block: int = QUERIES, first: int = FIRST) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", shard_bytes: int = SHARD_BYTES, block: int = QUERIES) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents for every query."""
     spark = docs.sparkSession
-    index = build_index(docs, id_col, text_col, shard_bytes, first)
+    index = build_index(docs, id_col, text_col, shard_bytes)
     n_docs, tokens = index.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     mean = max(1.0, tokens / max(1, n_docs))
     asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_text).cast("binary").alias("_query")).filter("query_id IS NOT NULL")
@@ -246,16 +247,16 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
         block_of = Asked.of(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow())
         if not len(block_of.ids):
             continue
-        held = spark.sparkContext.broadcast(block_of)
-        some = settle(index.filter("early").mapInArrow(searcher(held, mean, k), schema))
-        held.destroy()
-        reached = some.withColumn("rank", rank).filter(F.col("rank") == k).select("query_id", "score").toArrow()
-        block_of.thresholds[np.searchsorted(block_of.ids, reached.column("query_id").to_numpy())] = reached.column("score").to_numpy()
-        held = spark.sparkContext.broadcast(block_of)
-        rest = settle(index.filter("NOT early").mapInArrow(searcher(held, mean, k), schema))
-        held.destroy()
-        both = some.unionByName(rest)
-        found = both if found is None else found.unionByName(both)
+        so_far = None
+        for number in range(len(ROUNDS)):
+            held = spark.sparkContext.broadcast(block_of)
+            some = settle(index.filter(F.col("round") == number).mapInArrow(searcher(held, mean, k), schema))
+            held.destroy()
+            so_far = some if so_far is None else so_far.unionByName(some)
+            if number < len(ROUNDS) - 1:
+                reached = so_far.withColumn("rank", rank).filter(F.col("rank") == k).select("query_id", "score").toArrow()
+                block_of.thresholds[np.searchsorted(block_of.ids, reached.column("query_id").to_numpy())] = reached.column("score").to_numpy()
+        found = so_far if found is None else found.unionByName(so_far)
     if found is None:
         found = spark.createDataFrame([], schema)
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

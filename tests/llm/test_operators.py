@@ -300,9 +300,9 @@ def brute_top(docs, query, k):
 def test_search_is_exact(docs, empty, spark):
     rows = corpus()
     queries = [(1, rows[3][1]), (2, "the unknown schön"), (3, ""), (4, None), (5, "x" * 5000), (6, rows[5][1])]
-    asked = spark.createDataFrame(queries, "query_id bigint, text string").withColumns({c: F.lit("x") for c in ("term", "early", "shard", "idf")})
+    asked = spark.createDataFrame(queries, "query_id bigint, text string").withColumns({c: F.lit("x") for c in ("term", "round", "shard", "idf")})
     for shard_bytes, block in ((16 << 20, 4096), (2000, 2)):
-        found = search.top_k(docs.withColumns({c: F.lit("x") for c in ("ids", "sizes", "early", "docs")}), asked, 5, shard_bytes=shard_bytes, block=block, first=3).collect()
+        found = search.top_k(docs.withColumns({c: F.lit("x") for c in ("ids", "sizes", "round", "docs")}), asked, 5, shard_bytes=shard_bytes, block=block).collect()
         for q, text in queries:
             got = [r.doc_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])]
             assert got == brute_top([r[:2] for r in rows], text or "", 5)
@@ -320,7 +320,7 @@ def test_search_takes_very_long_texts(spark):
 def test_pruning_drops_nothing_wanted():
     rng = random.Random(5)
     texts = [" ".join(f"w{min(int(rng.expovariate(0.05)), 200)}" for _ in range(rng.randint(1, 60))).encode() for _ in range(700)]
-    row = search.packed(False, list(range(700)), [search.term_counts(t) for t in texts]).to_pylist()[0]
+    row = search.packed(0, list(range(700)), [search.term_counts(t) for t in texts]).to_pylist()[0]
     row = {k: pa.scalar(v, pa.list_(pa.int64()) if k == "ids" else None) for k, v in row.items()}
     for n in range(30):
         terms = sorted(search.term_counts(" ".join(f"w{rng.randint(0, 150)}" for _ in range(rng.randint(1, 40))).encode())[0].tolist())
