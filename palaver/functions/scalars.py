@@ -83,9 +83,9 @@ def human_size(size: Column) -> Column:
 
 
 def first_words(text: Column, n: int = 25) -> Column:
-    """The first ``n`` words, with ``...`` if there are more."""
+    """The text as it is if it has at most ``n`` words, else the first ``n`` of them and ``...``."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NOT_BLANK), F.lit(0))
-    return F.concat(F.array_join(F.slice(words, 1, n), " "), F.when(F.size(words) > n, F.lit("...")).otherwise(F.lit("")))
+    return F.when(F.size(words) > n, F.concat(F.array_join(F.slice(words, 1, n), " "), F.lit("..."))).otherwise(F.coalesce(text, F.lit("")))
 
 
 def content_hash(content: Column) -> Column:
@@ -155,7 +155,7 @@ def fenced_json(text: Column, schema: str) -> Column:
     return F.from_json(bare, schema, {"mode": "PERMISSIVE"})
 
 
-def truncated(text: Column, most: int = 100_000, mark: str = "\n\n[TRUNCATED]") -> Column:
+def truncated(text: Column, most: int = 100_000, mark: str = "\n\n[TRANSCRIPT TRUNCATED]") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 
 

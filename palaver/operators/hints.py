@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NAME = "([A-Z][a-z]{1,14})"
-STOP = r"(?:\s|,|\.|\!|$)"
 #: Fixed values, in order: pattern, its name, confidence, whether the hint names the speaker.
 PATTERNS = [
-    (rf"(?i)(?:this is|my name is)\s+{NAME}", "self_intro", 0.7, True),
-    (rf"(?i)(?:i'm|i am)\s+{NAME}\s+from", "self_intro_org", 0.7, True),
-    (rf"(?i)(?:hey|hi|hello)\s+{NAME}(?:\s|,|\.|\!)", "greeting", 0.5, False),
-    (rf"(?i)(?:thanks|thank you)\s+{NAME}{STOP}", "thanks", 0.5, False),
-    (rf"(?i)(?:i'm|i am)\s+{NAME}{STOP}", "self_announce", 0.6, True),
-    (rf"{NAME}\s+here{STOP}", "here_announce", 0.5, True),
-    (rf"(?:right|so|well|okay)\s+{NAME}(?:\s|,)", "mid_address", 0.4, False),
+    (r"(?i)(?:this is|my name is)\s+([A-Z][a-z]{1,14})", "self_intro", 0.7, True),
+    (r"(?i)(?:i'm|i am)\s+([A-Z][a-z]{1,14})\s+from", "self_intro_org", 0.7, True),
+    (r"(?i)(?:hey|hi|hello)\s+([A-Z][a-z]{1,14})(?:\s|,|\.|\!)", "greeting", 0.5, False),
+    (r"(?i)(?:thanks|thank you)\s+([A-Z][a-z]{1,14})(?:\s|,|\.|\!|$)", "thanks", 0.5, False),
+    (r"(?i)(?:i'm|i am)\s+([A-Z][a-z]{1,14})(?:\s|,|\.|\!|$)", "self_announce", 0.6, True),
+    (r"([A-Z][a-z]{1,14})\s+here(?:\s|,|\.|\!|$)", "here_announce", 0.5, True),
+    (r"(?:right|so|well|okay)\s+([A-Z][a-z]{1,14})(?:\s|,)", "mid_address", 0.4, False),
 ]
 #: Capitalised words that are no names.
 NO_NAMES = (
-    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
-    "January February March April May June July August September October November December "
-    "Thanks Thank Hello Yeah Yes Right Well Actually Basically Sure Okay Sorry Please "
-    "Google Microsoft Amazon Apple Facebook Netflix The This That What Where When How"
-).split()
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+    "Thanks", "Thank", "Hello", "Yeah", "Yes", "Right", "Well", "Actually", "Basically", "Sure", "Okay", "Sorry", "Please",
+    "Google", "Microsoft", "Amazon", "Apple", "Facebook", "Netflix", "The", "This", "That", "What", "Where", "When", "How",
+)
 
 
 def valid_name(name: Column) -> Column:
     """2 to 15 letters, the first a capital, and none of the words that are no names."""
-    return F.length(name).between(2, 15) & ~name.isin(NO_NAMES) & F.rlike(name, F.lit(r"^\p{Lu}\p{L}*$"))
+    return F.length(name).between(2, 15) & ~name.isin(*NO_NAMES) & F.rlike(name, F.lit(r"^\p{Lu}\p{L}*$"))
 
 
 def name_hints(segments: DataFrame) -> DataFrame:
@@ -44,6 +42,11 @@ def name_hints(segments: DataFrame) -> DataFrame:
     return valid.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("call_id", "pos", "name", "speaker", "timestamp", "pattern", "confidence")
 
 
+def ranked_hints(hints: DataFrame) -> DataFrame:
+    """``hints`` with ``rank``: from 1 in each call, the most confident first, then in order of the transcript."""
+    return hints.withColumn("rank", F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("confidence"), "pos", "pattern", "name", "speaker")))
+
+
 def routed_hints(hints: DataFrame) -> DataFrame:
     """``hints`` with ``target``: the speaker for introductions, else ``addressed_by_`` and the speaker."""
     own = F.col("pattern").isin([name for _, name, _, mine in PATTERNS if mine])

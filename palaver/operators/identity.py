@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.scalars import BANDS, band, cosine, display_name, review_priority, review_reason, stable_id, status_rank
@@ -28,11 +28,21 @@ def best_match(queries: DataFrame, candidates: DataFrame, threshold: float = 0.7
     parts = 1 if size <= BROADCAST_BYTES else blocks
     asked = queries.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     pairs = asked.join(F.broadcast(named) if parts == 1 else named, "_b")
-    scored = pairs.select("query_id", F.struct(F.round(cosine(F.col("embedding"), F.col("_c")), 9).alias("score"), (-F.col("pos")).alias("first"), F.col("candidate_id").alias("id")).alias("m"))
-    best = scored.groupBy("query_id").agg(F.max("m").alias("m"))
+    scored = pairs.select("query_id", F.struct((-F.round(cosine(F.col("embedding"), F.col("_c")), 9)).alias("less"), F.col("pos").alias("first"), F.col("candidate_id").alias("id")).alias("m"))
+    best = scored.groupBy("query_id").agg(F.min("m").alias("m")).withColumn("m", F.struct((-F.col("m.less")).alias("score"), F.col("m.id").alias("id")))
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.when(F.col("m.score") >= threshold, F.col("m.id")).alias("match_id"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
 
 
+def all_scores(vectors: DataFrame, known: DataFrame, least: float, blocks: int = 16) -> DataFrame:
+    """(call_id, label, name, score) of every vector (call_id, label, embedding) with every known one (name, embedding) from the cosine ``least`` on.
+
+    The known vectors are dealt to blocks and each vector is asked in every block, so no task holds all of either side.
+    """
+    dealt = known.select("name", F.col("embedding").alias("_c"), F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("_b"))
+    asked = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return asked.join(dealt, "_b").select("call_id", "label", "name", F.round(cosine(F.col("embedding"), F.col("_c")), 9).alias("score")).filter(F.col("score") >= least)
+
+
 def centroids(vectors: DataFrame, key: str = "label") -> DataFrame:
     """(key, centroid, sample_count): element-wise mean; the order of a running mean does not matter."""
     flat = vectors.filter(F.col("embedding").isNotNull()).select(key, F.posexplode("embedding").alias("i", "x"))
@@ -66,43 +76,69 @@ def greedy_assignment(scores: DataFrame, threshold: float) -> DataFrame:
     return narrow.filter(F.col("score") >= threshold).groupBy("call_id").applyInPandas(assign, f"call_id {kind}, label string, name string, score double")
 
 
-def merge_clusters(identities: DataFrame, merges: DataFrame) -> DataFrame:
-    """Identities after merging ``source`` into ``target`` (rows of merges); a merge with itself is an error.
+def final_targets(identities: DataFrame, merges: DataFrame) -> DataFrame:
+    """(_s, _t): merges between known clusters, with chains a -> b -> c followed to their end. A merge with itself is an error, and so is a circle (recursion ends at its limit)."""
+    ids = identities.select("speaker_cluster_id")
+    pairs = merges.select(F.col("source").alias("_s"), F.when(F.col("source") == F.col("target"), F.raise_error(F.lit("a cluster can't be merged with itself"))).otherwise(F.col("target")).alias("_t"))
+    pairs = pairs.join(ids.withColumnRenamed("speaker_cluster_id", "_s"), "_s", "left_semi").join(ids.withColumnRenamed("speaker_cluster_id", "_t"), "_t", "left_semi").groupBy("_s").agg(F.min("_t").alias("_t"))
+    chains = "WITH RECURSIVE w(_s, _t) AS (SELECT _s, _t FROM {pairs} UNION ALL SELECT w._s, p._t FROM w JOIN {pairs} p ON p._s = w._t) SELECT _s, _t FROM w"
+    return identities.sparkSession.sql(chains, pairs=pairs).join(pairs.select(F.col("_s").alias("_t")), "_t", "left_anti").select("_s", "_t")
 
-    Centroids are weighted by samples, counters add up, first and last times widen, aliases and co-speakers are united and repointed everywhere.
+
+def merge_clusters(identities: DataFrame, merges: DataFrame, updated_at: str | None = None) -> DataFrame:
+    """Identities after merging ``source`` into ``target`` (rows of merges); a merge with itself is an error, one with an unknown cluster does nothing.
+
+    The target keeps its name and status; names and aliases of the merged become aliases. Centroids are weighted by samples if the target has one, counters add up, first and last
+    times widen, co-speakers are united and repointed everywhere.
     """
-    pairs = merges.select(F.col("source").alias("_s"), F.col("target").alias("_t")).withColumn("_t", F.when(F.col("_s") == F.col("_t"), F.raise_error(F.lit("a cluster can't be merged with itself"))).otherwise(F.col("_t")))
+    pairs = final_targets(identities, merges)
+    none = F.array().cast("array<string>")
     moved = identities.join(pairs, identities.speaker_cluster_id == F.col("_s"), "left").withColumn("_id", F.coalesce("_t", "speaker_cluster_id")).withColumn("_own", F.col("_t").isNull())
     n = F.coalesce("sample_count", F.lit(0))
-    own = lambda c: F.max_by(c, F.struct(F.col("_own"), F.col(c).isNotNull()))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+    own = lambda c: F.max(F.when(F.col("_own"), F.struct(F.col(c))))[c]
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    name = F.nullif(F.col("canonical_name"), F.lit(""))
+    renamed = F.when(~F.col("_own") & name.isNotNull(), F.array(name)).otherwise(none)
+    updated = F.max("updated_at") if updated_at is None else F.when(F.max(~F.col("_own")), F.lit(updated_at)).otherwise(F.max("updated_at"))
     totals = moved.groupBy("_id").agg(
-        F.coalesce(F.max(F.when(F.col("_own"), F.nullif(F.col("canonical_name"), F.lit("")))), F.max(F.nullif(F.col("canonical_name"), F.lit("")))).alias("canonical_name"),
-        union("aliases").alias("aliases"),
-        F.max(F.struct(status_rank(F.col("status")).alias("r"), "status"))["status"].alias("status"),
-        F.sum(n).alias("sample_count"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.sum("total_calls").alias("total_calls"),
-        F.sum("total_speaking_seconds").alias("total_speaking_seconds"),
-        union("typical_co_speakers").alias("typical_co_speakers"),
-        own("created_from").alias("created_from"),
-        F.max("updated_at").alias("updated_at"),
-    )
-    flat = moved.filter(F.col("embedding_centroid").isNotNull()).select("_id", n.alias("n"), F.posexplode("embedding_centroid").alias("i", "x"))
-    sums = flat.groupBy("_id", "i").agg((F.sum(F.col("x") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+        own("canonical_name").alias("canonical_name"), union(F.concat(F.coalesce("aliases", none), renamed)).alias("aliases"), own("status").alias("status"), F.sum(n).alias("sample_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("total_calls").alias("total_calls"), F.sum("total_speaking_seconds").alias("total_speaking_seconds"), union(F.coalesce("typical_co_speakers", none)).alias("typical_co_speakers"), own("created_from").alias("created_from"), updated.alias("updated_at"),
+    )
+    flat = moved.filter(F.col("embedding_centroid").isNotNull()).select("_id", "_own", n.alias("n"), F.posexplode("embedding_centroid").alias("i", "x"))
+    sums = flat.groupBy("_id", "i").agg((F.sum(F.col("x") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"), F.max("_own").alias("_own")).filter("_own")
     means = sums.groupBy("_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding_centroid"))
     merged = totals.join(means, "_id", "left").withColumnRenamed("_id", "speaker_cluster_id")
     listed = merged.select("speaker_cluster_id", F.explode("typical_co_speakers").alias("_s")).join(pairs, "_s", "left").select("speaker_cluster_id", F.coalesce("_t", "_s").alias("c")).filter("c <> speaker_cluster_id")
-    renamed = listed.groupBy("speaker_cluster_id").agg(F.array_sort(F.collect_set("c")).alias("_co"))
-    out = merged.join(renamed, "speaker_cluster_id", "left").withColumn("typical_co_speakers", F.coalesce("_co", F.array().cast("array<string>")))
+    others = listed.groupBy("speaker_cluster_id").agg(F.array_sort(F.collect_set("c")).alias("_co"))
+    out = merged.join(others, "speaker_cluster_id", "left").withColumn("typical_co_speakers", F.coalesce("_co", none))
     return out.select(*identities.columns)
 
 
-def repoint(rows: DataFrame, merges: DataFrame) -> DataFrame:
-    """Occurrences or evidence with merged clusters replaced by their targets."""
-    pairs = merges.select(F.col("source").alias("_s"), F.col("target").alias("_t"))
-    return rows.join(pairs, rows.speaker_cluster_id == F.col("_s"), "left").withColumn("speaker_cluster_id", F.coalesce("_t", "speaker_cluster_id")).drop("_s", "_t")
+def merge_evidence(identities: DataFrame, merges: DataFrame, created_at: str) -> DataFrame:
+    """A record of evidence for each cluster that was merged into another."""
+    gone = final_targets(identities, merges)
+    return gone.select(
+        stable_id("ev_", 8, F.lit("merge"), F.col("_s"), F.col("_t")).alias("evidence_id"), F.col("_t").alias("speaker_cluster_id"), F.lit("").alias("call_id"), F.lit("cluster_merge").alias("type"), F.lit(1.0).alias("score"),
+        F.concat(F.lit("Merged "), F.col("_s"), F.lit(" into "), F.col("_t")).alias("summary"), F.create_map(F.lit("merged"), F.col("_s")).alias("details"), F.lit(created_at).alias("created_at"),
+    )
+
+
+def repoint(rows: DataFrame, merges: DataFrame, identities: DataFrame | None = None) -> DataFrame:
+    """Occurrences or evidence with merged clusters replaced by their targets; ``identities`` has the known clusters, else all named are."""
+    known = identities if identities is not None else merges.select(F.explode(F.array("source", "target")).alias("speaker_cluster_id")).distinct()
+    return rows.join(final_targets(known, merges), rows.speaker_cluster_id == F.col("_s"), "left").withColumn("speaker_cluster_id", F.coalesce("_t", "speaker_cluster_id")).drop("_s", "_t")
+
+
+def record_occurrences(identities: DataFrame, occurrences: DataFrame, seen_at: str) -> DataFrame:
+    """Identities after more occurrences (speaker_cluster_id, call_id, total_speaking_seconds): calls and seconds add up, last_seen moves; unknown clusters are left out."""
+    more = occurrences.groupBy("speaker_cluster_id").agg(F.count("*").alias("_n"), F.sum(F.coalesce("total_speaking_seconds", F.lit(0.0))).alias("_x"))
+    hit = F.col("_n").isNotNull()
+    joined = identities.join(more, "speaker_cluster_id", "left")
+    new = {
+        "total_calls": F.coalesce("total_calls", F.lit(0)) + F.coalesce("_n", F.lit(0)), "total_speaking_seconds": F.coalesce("total_speaking_seconds", F.lit(0.0)) + F.coalesce("_x", F.lit(0.0)),
+        "last_seen": F.when(hit, F.lit(seen_at)).otherwise(F.col("last_seen")), "updated_at": F.when(hit, F.lit(seen_at)).otherwise(F.col("updated_at")),
+    }
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in identities.columns])
 
 
 def co_speakers(occurrences: DataFrame) -> DataFrame:
@@ -124,10 +160,66 @@ def match_status(score: Column, existing: Column, bands: tuple = BANDS) -> Colum
 
 
 def aggregate_confidence(resolved: DataFrame, bands: tuple = BANDS) -> DataFrame:
-    """``resolved`` (confidence, calendar_score, hint_score, status) after weighing all evidence; only ever upgraded."""
-    total = 0.5 * F.col("confidence") + 0.3 * F.coalesce("calendar_score", F.lit(0.0)) + 0.2 * F.coalesce("hint_score", F.lit(0.0))
-    better = total > F.col("confidence")
-    return resolved.withColumn("_total", F.round(total, 9)).withColumn("status", F.when(better, upgraded(F.col("status"), band(F.col("_total"), bands))).otherwise(F.col("status"))).withColumn("confidence", F.when(better, F.col("_total")).otherwise(F.col("confidence"))).drop("_total")
+    """``resolved`` (confidence, source, calendar_score, hint_score, status) after weighing all evidence: half the score of a voice match, 0.3 of the calendar's, 0.2 of the transcript's.
+
+    Confirmed rows stay. A higher total becomes the confidence; if its band is higher than the status, the status rises and the source is ``aggregate``.
+    """
+    voice = F.when(F.col("source") == "db_match", F.col("confidence")).otherwise(F.lit(0.0))
+    total = F.round(0.5 * voice + 0.3 * F.coalesce("calendar_score", F.lit(0.0)) + 0.2 * F.coalesce("hint_score", F.lit(0.0)), 9)
+    better = (F.col("status") != "confirmed") & (F.col("_total") > F.col("confidence"))
+    rises = better & (status_rank(band(F.col("_total"), bands)) > status_rank(F.col("status")))
+    marked = resolved.withColumn("_total", total)
+    return marked.withColumns({
+        "confidence": F.when(better, F.col("_total")).otherwise(F.col("confidence")), "status": F.when(rises, band(F.col("_total"), bands)).otherwise(F.col("status")), "source": F.when(rises, F.lit("aggregate")).otherwise(F.col("source")),
+    }).drop("_total")
+
+
+CANDIDATES = "array<struct<name:string,score:double,source:string>>"
+
+
+def name_stages(resolved: DataFrame, attendees: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
+    """``resolved`` (call_id, local_label, status, ...) with ``candidate_names``, ``calendar_score`` and ``hint_score``, ready for ``aggregate_confidence``.
+
+    attendees: (call_id, pos, name, score) of the matched event, for the speakers still unknown or candidate; hints: (call_id, name, confidence, pattern, target) by the local label that they target.
+    """
+    empty = F.array().cast(CANDIDATES)
+    out = resolved.withColumns({"candidate_names": empty, "calendar_score": F.lit(0.0), "hint_score": F.lit(0.0)})
+    found = lambda order: F.transform(F.sort_array(F.collect_list(F.struct(*order, F.struct("name", "score", "source").alias("c")))), lambda s: s["c"])
+    if attendees is not None:
+        rows = attendees.select("call_id", "pos", "name", F.col("score").cast("double").alias("score"), F.lit("calendar_attendee").alias("source"))
+        each = rows.groupBy("call_id").agg(found(["pos"]).alias("_c"), F.max("score").alias("_s"))
+        open_ = F.col("status").isin("unknown", "candidate")
+        out = out.join(each, "call_id", "left").withColumns({"candidate_names": F.when(open_ & F.col("_c").isNotNull(), F.col("_c")).otherwise(empty), "calendar_score": F.when(open_, F.coalesce("_s", F.lit(0.0))).otherwise(0.0)}).drop("_c", "_s")
+    if hints is not None:
+        rows = hints.select("call_id", F.col("target").alias("local_label"), F.col("pos").alias("at"), "name", F.col("confidence").cast("double").alias("score"), F.concat(F.lit("transcript_"), F.col("pattern")).alias("source"))
+        each = rows.groupBy("call_id", "local_label").agg(found(["at", "source", "name"]).alias("_c"), F.max("score").alias("_s"))
+        out = out.join(each, ["call_id", "local_label"], "left").withColumns({"candidate_names": F.concat("candidate_names", F.coalesce("_c", empty)), "hint_score": F.coalesce("_s", F.lit(0.0))}).drop("_c", "_s")
+    return out
+
+
+def name_evidence(named: DataFrame, created_at: str) -> DataFrame:
+    """Evidence records of the candidate names of resolved speakers, one for each name and source."""
+    flat = named.select("call_id", "speaker_cluster_id", F.explode("candidate_names").alias("c")).distinct()
+    kind = F.when(F.col("c.source") == "calendar_attendee", "calendar_overlap").otherwise("transcript_hint")
+    return flat.select(
+        stable_id("ev_", 8, F.col("call_id").cast("string"), F.col("speaker_cluster_id"), F.col("c.name"), F.col("c.source")).alias("evidence_id"), "speaker_cluster_id", F.col("call_id").cast("string").alias("call_id"), kind.alias("type"), F.col("c.score").alias("score"),
+        F.concat(F.lit("Name '"), F.col("c.name"), F.lit("' by "), F.col("c.source")).alias("summary"), F.create_map(F.lit("source"), F.col("c.source")).alias("details"), F.lit(created_at).alias("created_at"),
+    )
+
+
+def update_co_speakers(identities: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Identities with the clusters that shared a call united with those listed before."""
+    joined = identities.join(co_speakers(occurrences), "speaker_cluster_id", "left")
+    none = F.array().cast("array<string>")
+    both = F.array_sort(F.array_union(F.coalesce("typical_co_speakers", none), F.coalesce("co_speakers", none)))
+    return joined.withColumn("typical_co_speakers", F.when(F.col("co_speakers").isNotNull(), both).otherwise(F.col("typical_co_speakers"))).select(*identities.columns)
+
+
+def apply_agreement(identities: DataFrame, hints: DataFrame) -> DataFrame:
+    """Identities with the status that most agreeing names give, where it is higher than theirs."""
+    found = agreement_status(hints).groupBy("speaker_cluster_id").agg(F.max(F.struct(status_rank(F.col("status")).alias("r"), "status"))["status"].alias("_s"))
+    joined = identities.join(found, "speaker_cluster_id", "left")
+    return joined.withColumn("status", F.when(F.col("_s").isNotNull(), upgraded(F.col("status"), F.col("_s"))).otherwise(F.col("status"))).select(*identities.columns)
 
 
 def agreement_status(hints: DataFrame) -> DataFrame:
@@ -144,15 +236,15 @@ class Clusters:
         self.threshold, self.bands = threshold, bands
         self.ids: list[str] = []
         self.sums: list[np.ndarray] = []
-        self.units = np.zeros((0, 0))
+        self.rows = np.zeros((0, 0))  # unit vectors; doubled when full
         self.counts: list[int] = []
         self.status: list[int] = []
 
     def match(self, vector: np.ndarray, used: set[int]) -> tuple[int, float]:
         norm = float(np.linalg.norm(vector))
-        if not self.ids or norm == 0 or self.units.shape[1] != len(vector):
+        if not self.ids or norm == 0 or self.rows.shape[1] != len(vector):
             return -1, 0.0
-        scores = np.round(self.units @ (vector / norm), 9)
+        scores = np.round(self.rows[: len(self.ids)] @ (vector / norm), 9)
         scores[list(used)] = -2.0
         best = int(np.argmax(scores))
         return (best, float(scores[best])) if scores[best] >= self.threshold else (-1, float(max(scores[best], 0.0)))
@@ -167,7 +259,7 @@ class Clusters:
         self.sums[at] = self.sums[at] + vector
         self.counts[at] += 1
         self.status[at] = max(self.status[at], found)
-        self.units[at] = self.sums[at] / max(np.linalg.norm(self.sums[at]), 1e-300)
+        self.rows[at] = self.sums[at] / max(np.linalg.norm(self.sums[at]), 1e-300)
         return STATUS[found]
 
     def create(self, cluster: str, vector: np.ndarray, samples: int = 1, status: int = 0) -> int:
@@ -175,8 +267,11 @@ class Clusters:
         self.sums.append(vector * samples)
         self.counts.append(samples)
         self.status.append(status)
-        unit = (vector / max(np.linalg.norm(vector), 1e-300))[None]
-        self.units = unit if self.units.shape[1] != len(vector) else np.vstack([self.units, unit])
+        if self.rows.shape[1] != len(vector):
+            self.rows = np.zeros((max(16, len(self.ids)), len(vector)))
+        if len(self.ids) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[len(self.ids) - 1] = vector / max(np.linalg.norm(vector), 1e-300)
         return len(self.ids) - 1
 
 
@@ -258,7 +353,7 @@ def enroll(identities: DataFrame, recordings: DataFrame, updated_at: str, least:
     The speaker with most time in a recording is enrolled: a match of at least ``least`` is confirmed under the name, else a confirmed identity is added.
     """
     main = recordings.groupBy("call_id", "name").agg(F.max_by(F.struct("local_label", "embedding", "speaking_seconds"), F.struct("speaking_seconds", F.col("local_label"))).alias("m")).select("call_id", "name", "m.*")
-    known = identities.filter(F.col("embedding_centroid").isNotNull()).select(F.col("speaker_cluster_id").alias("candidate_id"), F.dense_rank().over(Window.orderBy("speaker_cluster_id")).alias("pos"), F.col("embedding_centroid").alias("embedding"))
+    known = identities.filter(F.col("embedding_centroid").isNotNull()).select(F.col("speaker_cluster_id").alias("candidate_id"), F.col("speaker_cluster_id").alias("pos"), F.col("embedding_centroid").alias("embedding"))
     found = best_match(main.select(F.col("call_id").alias("query_id"), "embedding"), known, least)
     joined = main.join(found, main.call_id == found.query_id)
     confirmed = confirm(identities, joined.filter("match_id IS NOT NULL").groupBy(F.col("match_id").alias("speaker_cluster_id")).agg(F.min("name").alias("name")), updated_at)
@@ -289,13 +384,20 @@ def review_queue(identities: DataFrame, min_calls: int = 1, top: int = 20) -> Da
 
 
 def review_summary(queue: DataFrame, identities: DataFrame) -> DataFrame:
-    """Queue rows with a line for people: minutes, calls and up to three co-speakers."""
-    joined = queue.join(identities.select("speaker_cluster_id", "typical_co_speakers"), "speaker_cluster_id")
+    """Queue rows with minutes, last_seen and a line for people."""
+    joined = queue.join(identities.select("speaker_cluster_id", "typical_co_speakers", "last_seen"), "speaker_cluster_id")
+    minutes = F.bround(F.col("total_speaking_seconds") / 60, 1)
     co = F.slice(F.coalesce("typical_co_speakers", F.array().cast("array<string>")), 1, 3)
     line = F.concat_ws(
-        ", ", F.concat(F.floor(F.col("total_speaking_seconds") / 60).cast("string"), F.lit(" min")), F.concat(F.col("total_calls").cast("string"), F.lit(" calls")), F.when(F.size(co) > 0, F.concat(F.lit("with "), F.array_join(co, ", ")))
+        ". ", F.concat(F.lit("Unknown speaker in "), F.col("total_calls").cast("string"), F.lit(" call(s)")), F.concat(F.format_string("%.1f", minutes), F.lit(" min total")), F.when(F.size(co) > 0, F.concat(F.lit("co-speakers: "), F.array_join(co, ", ")))
     )
-    return joined.withColumn("summary", line).drop("typical_co_speakers")
+    return joined.withColumns({"summary": line, "minutes": minutes}).drop("typical_co_speakers")
+
+
+def confirmed_speakers(identities: DataFrame) -> DataFrame:
+    """(speaker_cluster_id, name, calls, minutes) of confirmed identities, those of most calls first."""
+    rows = identities.filter("status = 'confirmed'").select("speaker_cluster_id", F.col("canonical_name").alias("name"), F.col("total_calls").alias("calls"), F.bround(F.col("total_speaking_seconds") / 60, 1).alias("minutes"))
+    return rows.orderBy(F.desc("calls"), "speaker_cluster_id")
 
 
 def split_report(identities: DataFrame, occurrences: DataFrame, cluster: str) -> DataFrame:

@@ -93,16 +93,19 @@ def vad_summary(speech: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.select("call_id", "speech_seconds", "duration_seconds", pct.alias("speech_pct"))
 
 
-def calendar_match(calls: DataFrame, events: DataFrame, window_minutes: float = 30.0, least_seconds: float = 60.0, width: float = 86400.0) -> DataFrame:
+def calendar_match(calls: DataFrame, events: DataFrame, window_minutes: float = 30.0, least_seconds: float = 60.0, width: float = 3600.0) -> DataFrame:
     """(call_id, event_id, seconds): for each call (call_id, start, end) the event of the largest overlap, at least ``least_seconds``.
 
-    Candidates meet the call widened by the window; of equal overlaps the event first in order (pos) wins.
+    Candidates meet the call widened by the window; of equal overlaps the event first in order (pos) wins. Both sides are cut into bins of ``width`` seconds, near the length of an event.
+    If both have an ``owner``, a call meets the events of its owner's calendar alone.
     """
     pad = window_minutes * 60
-    c = calls.select("call_id", F.col("start").alias("c0"), F.col("end").alias("c1"), F.explode(bins(F.col("start") - pad, F.col("end") + pad, width)).alias("bin"))
-    e = events.select("event_id", F.col("pos").alias("e_pos"), F.col("start").alias("e0"), F.col("end").alias("e1"), F.explode(bins(F.col("start"), F.col("end"), width)).alias("bin"))
+    keys = ["bin", "owner"] if "owner" in calls.columns and "owner" in events.columns else ["bin"]
+    mine = keys[1:]
+    c = calls.select("call_id", *mine, F.col("start").alias("c0"), F.col("end").alias("c1"), F.explode(bins(F.col("start") - pad, F.col("end") + pad, width)).alias("bin"))
+    e = events.select("event_id", *mine, F.col("pos").alias("e_pos"), F.col("start").alias("e0"), F.col("end").alias("e1"), F.explode(bins(F.col("start"), F.col("end"), width)).alias("bin"))
     first = F.floor(F.greatest(F.col("c0") - pad, F.col("e0")) / width) == F.col("bin")
-    met = c.join(e, "bin").filter((F.col("e0") < F.col("c1") + pad) & (F.col("e1") > F.col("c0") - pad) & first)
+    met = c.join(e, keys).filter((F.col("e0") < F.col("c1") + pad) & (F.col("e1") > F.col("c0") - pad) & first)
     scored = met.select("call_id", "event_id", "e_pos", (F.least("c1", "e1") - F.greatest("c0", "e0")).alias("seconds")).filter(F.col("seconds") >= least_seconds)
     best = scored.groupBy("call_id").agg(F.max(F.struct("seconds", (-F.col("e_pos")).alias("p"), "event_id")).alias("b"))
     return best.select("call_id", "b.event_id", "b.seconds")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,9 @@ def diff_against_manifest(entries: DataFrame, manifest: DataFrame, tier: str, ve
 
 
 def first_of_hash(entries: DataFrame, order: str) -> DataFrame:
-    """The first entry of each content hash."""
-    return entries.withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy(order))).filter("_n = 1").drop("_n")
+    """The first entry of each content hash, reduced in each task before the shuffle; entries without a hash are dropped."""
+    found = entries.filter("hash IS NOT NULL").groupBy("hash").agg(F.min_by(F.struct(*entries.columns), F.col(order)).alias("_e"))
+    return found.select("_e.*")
 
 
 def cached_hashes(entries: DataFrame, cache: DataFrame, content_hash: Column) -> DataFrame:
@@ -25,10 +26,10 @@ def cached_hashes(entries: DataFrame, cache: DataFrame, content_hash: Column) ->
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "hash", order: str = "last_updated") -> DataFrame:
-    """Rows of both with the latest of each key; of equal times the new one."""
+    """Rows of both with the latest of each key; of equal times the new one. Reduced in each task before the shuffle."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    best = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_new")
+    columns = [c for c in both.columns if c != "_new"]
+    return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(F.col(order), F.col("_new"))).alias("_r")).select("_r.*")
 
 
 def patch(old: DataFrame, new: DataFrame, key: str = "hash") -> DataFrame:

@@ -136,32 +136,33 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float
     both = reference.select("call_id", "start", "end", "speaker", F.lit(True).alias("ref")).unionByName(hypothesis.select("call_id", "start", "end", "speaker", F.lit(False).alias("ref")))
     kind = reference.schema["call_id"].dataType.simpleString()
 
+    def presence(rows: pd.DataFrame, cuts: np.ndarray) -> tuple[list, np.ndarray]:
+        """Speakers, and for each whether one speaks in the spans between the cuts."""
+        names, which = np.unique(rows["speaker"].to_numpy(str), return_inverse=True)
+        change = np.zeros((len(names), len(cuts)), np.int64)
+        np.add.at(change, (which, np.searchsorted(cuts, rows["start"])), 1)
+        np.add.at(change, (which, np.searchsorted(cuts, rows["end"])), -1)
+        return names.tolist(), np.cumsum(change, axis=1)[:, :-1] > 0
+
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        ref, hyp = rows[rows["ref"]], rows[~rows["ref"]]
-        borders = {x for c in ("start", "end") for x in ref[c]}
-        cuts = sorted({*rows["start"], *rows["end"], *(b - collar for b in borders), *(b + collar for b in borders)})
-        shared: dict[tuple, float] = {}
-        spans = []
-        for a, b in zip(cuts, cuts[1:]):
-            mid = (a + b) / 2
-            if any(abs(mid - x) < collar for x in borders):
-                continue
-            r = set(ref.loc[(ref["start"] <= mid) & (ref["end"] > mid), "speaker"])
-            h = set(hyp.loc[(hyp["start"] <= mid) & (hyp["end"] > mid), "speaker"])
-            spans.append((b - a, r, h))
-            for x in r:
-                for y in h:
-                    shared[x, y] = shared.get((x, y), 0.0) + b - a
-        names, labels = sorted(set(ref["speaker"])), sorted(set(hyp["speaker"]))
-        gain = np.array([[shared.get((x, y), 0.0) for x in names] for y in labels]).reshape(len(labels), len(names))
-        mapping = {labels[i]: names[j] for i, j in best_assignment(gain)}
+        known = rows.dropna(subset=["start", "end", "speaker"])
+        known = known[known["end"] > known["start"]]
+        ref, hyp = known[known["ref"]], known[~known["ref"]]
+        borders = np.unique(np.concatenate([ref["start"], ref["end"]]))
+        cuts = np.unique(np.concatenate([known["start"], known["end"], borders - collar, borders + collar]))
+        span, mid = np.diff(cuts), (cuts[1:] + cuts[:-1]) / 2
+        if len(borders):
+            at = np.searchsorted(borders, mid)
+            near = np.minimum(np.abs(mid - borders[np.maximum(at - 1, 0)]), np.abs(mid - borders[np.minimum(at, len(borders) - 1)]))
+            span = np.where(near < collar, 0.0, span)
         missed = alarm = confused = total = 0.0
-        for span, r, h in spans:
-            right = len(r & {mapping.get(y) for y in h})
-            total += span * len(r)
-            missed += span * max(0, len(r) - len(h))
-            alarm += span * max(0, len(h) - len(r))
-            confused += span * (min(len(r), len(h)) - right)
+        if len(span):
+            (_, r), (_, h) = presence(ref, cuts), presence(hyp, cuts)
+            pairs = best_assignment((h * span) @ r.T.astype(float)) if len(r) and len(h) else []
+            right = sum((h[i] & r[j] for i, j in pairs), np.zeros(len(span), np.int64))
+            nr, nh = r.sum(axis=0), h.sum(axis=0)
+            total, missed, alarm = float(span @ nr), float(span @ np.maximum(0, nr - nh)), float(span @ np.maximum(0, nh - nr))
+            confused = float(span @ (np.minimum(nr, nh) - right))
         return pd.DataFrame([(rows["call_id"].iloc[0], missed, alarm, confused, total, (missed + alarm + confused) / total if total else 0.0)], columns=["call_id", "missed", "false_alarm", "confusion", "total", "der"])
 
     return both.groupBy("call_id").applyInPandas(judge, f"call_id {kind}, missed double, false_alarm double, confusion double, total double, der double")

@@ -48,7 +48,7 @@ def segment_energy(audio: DataFrame, rate: int = 16_000, least: float = 0.01, ma
 
     True if the root mean square is below ``least`` or there are no samples; false for recordings over ``max_seconds``, which are not judged.
     """
-    rms = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x) / F.size("samples"))
+    rms = F.round(F.sqrt(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x) / F.size("samples")), 9)
     low = F.when(F.col("duration_seconds") > max_seconds, F.lit(False)).otherwise(F.coalesce((F.size("samples") <= 0) | (rms < least), F.lit(True)))
     return audio.select("call_id", "pos", low.alias("low_energy"))
 

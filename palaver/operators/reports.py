@@ -82,6 +82,18 @@ def digest(calls: DataFrame, unnamed_prefix: str = "spk_") -> DataFrame:
     return a.crossJoin(b).crossJoin(c)  # each is one row
 
 
+def unnamed_speakers(calls: DataFrame, unnamed_prefix: str = "spk_", top: int = 10) -> DataFrame:
+    """(label, calls, minutes): the unnamed speakers of most calls, with the minutes of these calls."""
+    flat = calls.select("call_id", "duration_seconds", F.explode(F.array_distinct("speakers")).alias("label")).filter(F.col("label").startswith(unnamed_prefix))
+    counts = flat.groupBy("label").agg(F.count("*").alias("calls"), F.round(F.sum("duration_seconds") / 60, 1).alias("minutes"))
+    return counts.orderBy(F.desc("calls"), "label").limit(top)
+
+
+def call_list(calls: DataFrame) -> DataFrame:
+    """(call_id, title, minutes, speakers): a line for each call of a digest."""
+    return calls.select("call_id", "title", F.round(F.col("duration_seconds") / 60, 1).alias("minutes"), F.array_join("speakers", ", ").alias("speakers"))
+
+
 def other_actions(top_level: Column, model: Column) -> Column:
     """Items of the first list that the second does not have, repeats kept, then the second list."""
     return F.concat(F.filter(top_level, lambda x: ~F.array_contains(model, x)), model)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import builtins
+import json
 import re
+import subprocess
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,13 @@ AUTH_PARTS = ["token", "auth", "huggingface", "credentials"]
 OK, TRANSCRIPTION_ERROR, AUTH_ERROR, VALIDATION_ERROR, INTERNAL_ERROR = range(5)
 
 
+def with_subtypes(names: list[str]) -> list[str]:
+    """The named exception types and all known types below them, as Python's own hierarchy has it."""
+    known = vars(builtins) | {c.__name__: c for c in (json.JSONDecodeError, subprocess.TimeoutExpired, subprocess.CalledProcessError)}
+    kinds = {n: c for n, c in known.items() if isinstance(c, type) and issubclass(c, BaseException)}
+    return sorted(n for n, c in kinds.items() if issubclass(c, tuple(kinds[x] for x in names)))
+
+
 def contains_any(text: Column, parts: list[str]) -> Column:
     found = F.lit(False)
     for part in parts:
@@ -29,7 +39,7 @@ def error_category(kind: Column, message: Column) -> Column:
     """``permanent`` or ``transient``; what no rule knows is transient."""
     text = F.lower(F.coalesce(message, F.lit("")))
     return (
-        F.when(kind.isin(PERMANENT_TYPES), "permanent").when(kind.isin(TRANSIENT_TYPES), "transient").when(contains_any(text, PERMANENT_PARTS), "permanent").otherwise("transient")
+        F.when(kind.isin(with_subtypes(PERMANENT_TYPES)), "permanent").when(kind.isin(with_subtypes(TRANSIENT_TYPES)), "transient").when(contains_any(text, PERMANENT_PARTS), "permanent").otherwise("transient")
     )
 
 
@@ -41,8 +51,8 @@ def exit_code(kind: Column, message: Column) -> Column:
     text = F.lower(F.coalesce(message, F.lit("")))
     return (
         F.when(contains_any(text, AUTH_PARTS), AUTH_ERROR)
-        .when(kind.isin("ValueError", "FileNotFoundError", "TypeError"), VALIDATION_ERROR)
-        .when(kind.isin("RuntimeError", "OSError", "PermissionError", "TimeoutError", "ConnectionError"), TRANSCRIPTION_ERROR)
+        .when(kind.isin(with_subtypes(["ValueError", "FileNotFoundError", "TypeError"])), VALIDATION_ERROR)
+        .when(kind.isin(with_subtypes(["RuntimeError", "OSError"])), TRANSCRIPTION_ERROR)
         .otherwise(INTERNAL_ERROR)
     )
 
@@ -52,9 +62,14 @@ def backoff_seconds(attempt: Column, most: float = 10.0) -> Column:
 
 
 def safe_path(path: Column, absolute: bool = False) -> Column:
-    """No control characters and no ``..`` part; relative unless ``absolute``."""
-    ok = ~F.rlike(path, F.lit(r"[\x00-\x1f\x7f]")) & ~F.rlike(path, F.lit(r"(^|[/\\])\.\.([/\\]|$)"))
-    return ok if absolute else ok & ~F.rlike(path, F.lit(r"^([/\\]|[A-Za-z]:)"))
+    """Not blank, no control characters but tab and line breaks, and no ``..`` part; relative unless ``absolute``."""
+    ok = F.rlike(path, F.lit(r"\S")) & ~F.rlike(path, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")) & ~F.rlike(path, F.lit(r"(^|/)\.\.(/|$)"))
+    return ok if absolute else ok & ~F.startswith(path, F.lit("/"))
+
+
+def safe_output_dir(path: Column) -> Column:
+    """A safe path without wildcards."""
+    return safe_path(path) & ~F.rlike(path, F.lit(r"[*?\[]"))
 
 
 def windows_path(path: Column) -> Column:
@@ -67,9 +82,10 @@ def translate_path(path: Column) -> Column:
     return F.when(windows_path(path), F.concat(F.lit("/mnt/"), F.lower(F.substring(path, 1, 1)), F.lit("/"), rest)).otherwise(path)
 
 
-def recommended_tier(gpu_gb: Column, ram_gb: Column) -> Column:
-    """Quality tier for a machine: by memory of the accelerator, else of the machine."""
-    return F.when(gpu_gb >= 8, "high_quality").when(gpu_gb >= 4, "balanced").when(ram_gb >= 16, "balanced").otherwise("draft")
+def recommended_tier(device: Column, gpu_mb: Column) -> Column:
+    """Quality tier for a machine: by the memory of a CUDA device; ``mps`` is balanced, all else fast."""
+    cuda = F.when(gpu_mb >= 8000, "high_quality").when(gpu_mb >= 4000, "balanced").otherwise("fast")
+    return F.when(device == "cuda", cuda).when(device == "mps", "balanced").otherwise("fast")
 
 
 def merged_settings(*sources: dict) -> dict:
@@ -131,12 +147,12 @@ def top_languages(probabilities: Column, most: int = 10) -> Column:
     return F.transform(F.slice(ranked, 1, most), lambda e: F.struct(e["language"].alias("language"), (-e["p"]).alias("probability")))
 
 
-#: Settings of each preset; those given explicitly win.
+#: Settings of each preset; those given explicitly win.
 PRESETS = {
-    "transcribe_only": {"diarize": False, "analyze": False},
-    "full": {"diarize": True, "analyze": True, "export": True},
-    "fast": {"tier": "draft", "diarize": False},
-    "quality": {"tier": "high_quality", "diarize": True},
+    "+subtitle": {"word_timestamps": True, "output_format": "srt"},
+    "+meeting": {"diarize": True, "summarize": True, "word_timestamps": True},
+    "+draft": {"tier": "draft"},
+    "+hq": {"tier": "high_quality", "beam_size": 5},
 }
 
 

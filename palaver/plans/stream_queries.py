@@ -32,7 +32,7 @@ def sync_stream(spark, sf_dir):
     for attempt in range(2):
         stream = spark.readStream.schema("path bigint, hash string").parquet(f"{folder}/in")
         sync.watch(stream, lambda new: new.select("path", "hash"), f"{folder}/out", f"{folder}/manifest", f"{folder}/check{attempt}", "draft", "1.0", lambda: 1.0).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("hash").agg(F.min("path").alias("path"))
+    return sync.results(spark, f"{folder}/out", f"{folder}/manifest").groupBy("hash").agg(F.min("path").alias("path"))
 
 
 @query("live_sessions", """WITH g AS (SELECT user_id AS call_id, ts, CASE WHEN ts >= max(ts + INTERVAL 3600 SECOND) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS cut FROM events),

@@ -42,7 +42,9 @@ def quality_summary(spark, sf_dir):
     return Q.quality_summary(Q.flag_segments(_proxy(lines(spark, sf_dir)), energy="low")).withColumn("confidence", F.round("confidence", 6))
 
 
-SAID = [(-1, 0, "S0", 0.0, "This is Chris speaking. Thanks Dana, that was helpful."), (-1, 1, "S1", 1.0, "Hey Chris, how are you? I'm Dana from Acme."), (-1, 2, "S1", 2.0, "Thanks Monday for the update. Okay Robin, go."), (-1, 3, "S0", 3.0, "my name is Chris. Sam here. I am Lee."), (-2, 0, None, 0.0, "right Pat, hello Kim!")]
+SAID = [
+    (-1, 0, "S0", 0.0, "Morning all, this is Quinn speaking. Thank you Noor, lovely slides."), (-1, 1, "S1", 1.0, "Hi Quinn, can you hear us? I am Noor from Basalt."), (-1, 2, "S1", 2.0, "Thanks Friday was fine. Okay Imre, over to you."), (-1, 3, "S0", 3.0, "my name is Quinn. Ilse here. I'm Otto."), (-2, 0, None, 0.0, "right Juno, hello Tove!"),
+]
 _SAID = ", ".join(f"({c}, {p}, {'NULL' if s is None else repr(s)}, {t}::DOUBLE, '{x.replace(chr(39), chr(39) * 2)}')" for c, p, s, t, x in SAID)
 _UNION = " UNION ALL ".join(f"SELECT call_id, pos, speaker, ts, {i} AS o, '{n}' AS pattern, {s}::DOUBLE AS confidence, {str(own).lower()} AS own, regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}', 1) AS names FROM s" for i, (rx, n, s, own) in enumerate(H.PATTERNS))
 _STOP = ", ".join(f"'{w}'" for w in H.NO_NAMES)
@@ -52,28 +54,46 @@ _STOP = ", ".join(f"'{w}'" for w in H.NO_NAMES)
 s2 AS (SELECT call_id, pos, coalesce(sp, '') AS speaker, ts, text FROM s), p AS ({_UNION.replace(' FROM s', ' FROM s2')}),
 x AS (SELECT call_id, pos, speaker, ts, o, pattern, confidence, own, generate_subscripts(names, 1) AS k, unnest(names) AS name FROM p),
 y AS (SELECT * FROM x WHERE length(name) BETWEEN 2 AND 15 AND regexp_matches(name, '^\p{{Lu}}\p{{L}}*$') AND name NOT IN ({_STOP}) QUALIFY row_number() OVER (PARTITION BY call_id, lower(name), speaker ORDER BY pos, o, k) = 1)
-SELECT call_id, pos, name, speaker, ts AS "timestamp", pattern, confidence, CASE WHEN own THEN speaker ELSE 'addressed_by_' || speaker END AS target FROM y""")
+SELECT call_id, pos, name, speaker, ts AS "timestamp", pattern, confidence, row_number() OVER (PARTITION BY call_id ORDER BY confidence DESC, pos, pattern, name, speaker) AS rank, CASE WHEN own THEN speaker ELSE 'addressed_by_' || speaker END AS target FROM y""")
 def name_hints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("call_id"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("speaker"), F.lit(0.0).alias("start"), "text")
     said = literal_rows(spark, SAID, "call_id bigint, pos int, speaker string, start double, text string")
-    return H.routed_hints(H.name_hints(said.unionByName(docs)))
+    return H.ranked_hints(H.routed_hints(H.name_hints(said.unionByName(docs)))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("transcript_body", f"""WITH {CHATS}, g AS (SELECT *, lag(speaker) OVER (PARTITION BY call_id ORDER BY pos) AS b FROM ch), l AS (SELECT call_id, pos, CASE WHEN b IS NULL OR b <> speaker THEN chr(10) || '### ' || speaker || ' [' || printf('%02d:%02d', CAST(s0 AS BIGINT) // 60, CAST(s0 AS BIGINT) % 60) || ']' || chr(10) || chr(10) ELSE '' END
-|| CASE WHEN length(text) % 10 = 0 THEN '[?] ' ELSE '' END || regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS line FROM g) SELECT call_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM l GROUP BY 1""")
+BODY = r"""t AS (SELECT *, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM ch), k AS (SELECT *, last_value(nullif(speaker, '') IGNORE NULLS) OVER (PARTITION BY call_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, printf('%02d:%02d', CAST(s0 AS BIGINT) // 60, CAST(s0 AS BIGINT) % 60) AS tm FROM t WHERE t <> ''),
+l AS (SELECT call_id, pos, CASE WHEN speaker <> '' AND speaker IS DISTINCT FROM b THEN '### ' || speaker || ' — ' || tm || chr(10) || chr(10) ELSE '' END || CASE WHEN coalesce(speaker, '') = '' THEN '**[' || tm || ']** ' ELSE '' END || CASE WHEN length(text) % 10 = 0 THEN '[?] ' ELSE '' END || t || chr(10) AS line FROM k),
+body AS (SELECT c.call_id, '## Transcript' || chr(10) || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY pos), '') AS body FROM (SELECT DISTINCT call_id FROM ch) c LEFT JOIN l ON l.call_id = c.call_id GROUP BY 1)"""
+#: Some turns lose their speaker or their words, so that every branch is met.
+BODY_CHATS = CHATS.replace("role AS speaker, text,", "CASE WHEN turn % 4 = 3 THEN NULL WHEN turn % 7 = 6 THEN '' ELSE role END AS speaker, CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS text,")
+
+
+def _body_chats(spark, sf_dir):
+    turns, pos = timed_chats(spark, sf_dir), F.col("pos")
+    turns = turns.withColumns({"speaker": F.when(pos % 4 == 3, None).when(pos % 7 == 6, "").otherwise(F.col("speaker")), "text": F.when(pos % 5 == 4, " ").otherwise(F.col("text"))})
+    return turns.withColumn("confidence", F.when(F.length("text") % 10 == 0, 0.1).otherwise(0.9))
+
+
+@query("transcript_body", f"WITH {BODY_CHATS}, {BODY} SELECT call_id, body FROM body")
 def transcript_body(spark, sf_dir):
-    return Rn.transcript_body(timed_chats(spark, sf_dir).withColumn("confidence", F.when(F.length("text") % 10 == 0, 0.1).otherwise(0.9)))
+    return Rn.transcript_body(_body_chats(spark, sf_dir))
 
 
-@query("markdown_doc")
+@query("markdown_doc", f"""WITH {BODY_CHATS}, {BODY} SELECT call_id, concat_ws(chr(10) || chr(10), concat_ws(chr(10), '---', 'title: "Transcript: call-' || call_id || '"', 'date: 2026-01-01', 'source: palaver', 'duration: 61.5', 'language: en', CASE WHEN call_id % 2 = 0 THEN 'speakers: [Ada (spk_1), spk_2]' || chr(10) || 'speaker_count: 2' ELSE 'speakers: [A, B]' END,
+'classification: call', 'topics: [Two Words]', CASE WHEN call_id % 2 = 1 THEN 'action_items: 1' END, 'decisions: 1', 'tags: [transcript, palaver, call, two-words]', '---'), '# Transcript: call-' || call_id, '**Type:** call',
+concat_ws(chr(10), '## Metadata', '', '| Property | Value |', '|----------|-------|', '| Duration | 1m 1s |', '| Language | en |', '| File Size | 2.0 KB |', '| Codec | opus |', '| Sample Rate | 16000 Hz |', '| Speakers | 2 |'), CASE WHEN call_id % 3 = 0 THEN '## Summary' || chr(10) || chr(10) || 'All said.' END,
+CASE WHEN call_id % 2 = 1 THEN '## Action Items' || chr(10) || chr(10) || '- [ ] write — Ada (by Friday)' END, '## Key Decisions' || chr(10) || chr(10) || '- go', '**Topics:** Two Words', CASE WHEN call_id % 2 = 0 THEN '**Speakers:** [[Ada]], [[spk_2]]' END, body) AS document FROM body""")
 def markdown_doc(spark, sf_dir):
-    """Whole documents of conversations; rows only, their parts are checked one by one."""
-    empty = F.array().cast("array<string>")
-    calls = chats(spark, sf_dir).groupBy("call_id").agg(F.array_sort(F.collect_set("speaker")).alias("speakers")).select(
-        "call_id", F.concat(F.lit("call-"), F.col("call_id").cast("string")).alias("stem"), F.lit("2026-01-01").alias("day"), F.lit(61.5).alias("duration_seconds"), F.lit("en").alias("language"), F.lit("none").alias("backend"), "speakers", F.lit("").alias("title"),
-        F.lit("call").alias("classification"), F.array(F.lit("Two Words")).alias("topics"), empty.alias("action_items"), F.array(F.lit("go")).alias("key_decisions"), F.lit("").alias("summary"), F.lit(2048).alias("size"),
+    turns, even = _body_chats(spark, sf_dir), F.col("call_id") % 2 == 0
+    text = F.lit(None).cast("string")
+    resolved = F.array(F.struct(F.lit("Ada").alias("display_name"), F.lit("spk_1").alias("speaker_cluster_id")), F.struct(text.alias("display_name"), F.lit("spk_2").alias("speaker_cluster_id")))
+    action = F.array(F.struct(F.lit("write").alias("text"), F.lit("Ada").alias("assignee"), F.lit("Friday").alias("deadline")))
+    calls = turns.select("call_id").distinct().select(
+        "call_id", F.concat(F.lit("call-"), F.col("call_id").cast("string")).alias("stem"), text.alias("day"), F.lit(61.5).alias("duration_seconds"), F.lit("en").alias("language"), text.alias("backend"), F.array(F.lit("A"), F.lit("B")).alias("speakers"),
+        F.when(even, resolved).alias("speakers_resolved"), F.lit("").alias("title"), F.lit("call").alias("classification"), F.array(F.lit("Two Words")).alias("topics"), F.when(~even, action).alias("action_items"), F.array(F.lit("go")).alias("key_decisions"),
+        F.when(F.col("call_id") % 3 == 0, "All said.").otherwise("").alias("summary"), F.lit(2048).alias("size"), F.lit("opus").alias("codec"), F.lit(16000).alias("sample_rate"), F.lit(2).alias("num_speakers"),
     )
-    return Rn.markdown(calls, timed_chats(spark, sf_dir).withColumn("confidence", F.lit(1.0)))
+    return Rn.markdown(calls, turns, today="2026-01-01")
 
 
 @query("front_matter", """SELECT p_partkey AS call_id, concat_ws(chr(10), '---', 'title: "' || CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'Transcript: f' || p_partkey END || '"', 'date: 2026-01-01', 'source: palaver', 'duration: 90.5', 'classification: ' || p_brand, 'topics: [' || p_type || ']',
@@ -99,14 +119,17 @@ def subtitles(spark, sf_dir):
     return Rn.subtitles(timed_chats(spark, sf_dir), "srt")
 
 
-@query("audio_snr")
+@query("audio_snr", """WITH s AS (SELECT vec_id, list_concat(embedding, embedding) AS e FROM embeddings), f AS (SELECT vec_id, k, sqrt(list_sum(list_transform(list_slice(e, k * 6 + 1, k * 6 + 16), lambda x: CAST(x AS DOUBLE) * x)) / 16) AS rms FROM s, (SELECT unnest(range(0, 1000)) AS k) WHERE k * 6 + 16 <= len(e)),
+r AS (SELECT vec_id, rms, row_number() OVER (PARTITION BY vec_id ORDER BY rms) AS i, count(*) OVER (PARTITION BY vec_id) AS n FROM f), q AS (SELECT vec_id, any_value(n) AS n, avg(rms) FILTER (i <= greatest(1, n // 10)) AS noise, avg(rms) FILTER (i > n - greatest(1, n // 10)) AS signal FROM r GROUP BY 1)
+SELECT s.vec_id AS call_id, round(CASE WHEN coalesce(n, 0) >= 10 AND noise > 0 AND signal > 0 THEN 20 * log10(signal / noise) ELSE 0 END, 6) AS snr_db FROM s LEFT JOIN q ON s.vec_id = q.vec_id""")
 def audio_snr(spark, sf_dir):
-    """Signal-to-noise of vectors as short recordings at 640 samples a second; a framing computation, so rows only."""
-    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("call_id"), F.col("embedding").alias("samples"))
-    return Q.compute_snr(audio, 640)
+    """Signal-to-noise of vectors as short recordings at 640 samples a second, repeated once so that there are ten frames."""
+    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("call_id"), F.concat("embedding", "embedding").alias("samples"))
+    return Q.compute_snr(audio, 640).withColumn("snr_db", F.round("snr_db", 6))
 
 
-@query("segment_energy", "SELECT vec_id AS call_id, 0 AS pos, sqrt(sum(x * x) / count(*)) < 0.125 AS low_energy FROM (SELECT vec_id, CAST(unnest(list_slice(embedding, 1, 16)) AS DOUBLE) AS x FROM embeddings) GROUP BY 1")
+@query("segment_energy", "SELECT vec_id AS call_id, 0 AS pos, round(sqrt(sum(x * x) / count(*)), 9) < 0.125 AS low_energy FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) * (1 + vec_id % 3) AS x FROM embeddings) GROUP BY 1")
 def segment_energy(spark, sf_dir):
-    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("call_id"), F.lit(0).alias("pos"), F.lit(10.0).alias("duration_seconds"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("samples"))
-    return Q.segment_energy(audio, least=0.125)
+    louder = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (1 + F.col("vec_id") % 3))
+    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("call_id"), F.lit(0).alias("pos"), F.lit(10.0).alias("duration_seconds"), louder.alias("samples"))
+    return Q.segment_energy(audio, least=0.125)
\ No newline at end of file

@@ -120,20 +120,24 @@ def test_quality(spark):
 
 
 def test_name_hints(spark):
-    said = ["This is Chris speaking.", "Hey Chris, how are you?", "Thanks Dana, that was helpful.", "I'm Chris from Acme Corp.", "Thanks Monday for the update.", "this is chris"]
+    said = ["Good, this is Quinn at last.", "Hi Quinn, shall we?", "Thank you Noor, clear to me.", "Well, I am Quinn from Basalt.", "Thanks Friday was fine.", "this is quinn"]
     rows = [("c", i, float(i), i + 1.0, t, f"S{i}") for i, t in enumerate(said)]
     got = hints.routed_hints(hints.name_hints(spark.createDataFrame(rows, SEG))).orderBy("pos", F.desc("confidence")).collect()
-    assert [(r.pos, r.name, r.pattern, r.target) for r in got] == [(0, "Chris", "self_intro", "S0"), (1, "Chris", "greeting", "addressed_by_S1"), (2, "Dana", "thanks", "addressed_by_S2"), (3, "Chris", "self_intro_org", "S3")]
-    names = ["Chris", "Dana", "Monday", "a", "chris", "123", "Élan"]
+    assert [(r.pos, r.name, r.pattern, r.target) for r in got] == [(0, "Quinn", "self_intro", "S0"), (1, "Quinn", "greeting", "addressed_by_S1"), (2, "Noor", "thanks", "addressed_by_S2"), (3, "Quinn", "self_intro_org", "S3")]
+    ranked = hints.ranked_hints(hints.name_hints(spark.createDataFrame(rows, SEG))).orderBy("rank").collect()
+    assert [r["rank"] for r in ranked] == [1, 2, 3, 4] and [r.confidence for r in ranked] == [0.7, 0.7, 0.5, 0.5]
+    names = ["Quinn", "Noor", "Friday", "q", "noor", "42", "Ömer"]
     assert one(spark, *[hints.valid_name(F.lit(n)) for n in names]) == (True, True, False, False, False, False, True)
 
 
 def test_rules(spark):
     c = lambda k, m: rules.error_category(F.lit(k), F.lit(m))
-    got = one(spark, c("RuntimeError", "CUDA out of memory"), c("RuntimeError", "resource busy"), c("RuntimeError", "unsupported codec aac"), c("OSError", "timeout in information"), c("TimeoutError", "invalid"), c("KeyError", ""))
-    assert got == ("transient", "transient", "permanent", "permanent", "transient", "permanent")
+    got = one(spark, c("RuntimeError", "the CUDA device went away"), c("RuntimeError", "port is BUSY"), c("RuntimeError", "no codec here"), c("OSError", "wrong format"), c("TimeoutError", "invalid"), c("KeyError", ""), c("UnicodeDecodeError", ""), c("ConnectionResetError", "invalid"))
+    assert got == ("transient", "transient", "permanent", "permanent", "transient", "permanent", "permanent", "transient")
+    assert one(spark, *[rules.exit_code(F.lit(k), F.lit("")) for k in ("JSONDecodeError", "BrokenPipeError", "RecursionError", "KeyError")]) == (3, 1, 1, 4)
+    assert one(spark, *[rules.safe_path(F.lit(p)) for p in ("", " ", "a\tb\n", "a\x01", "a/..", "..b", "/a")]) == (False, False, True, False, False, True, False)
     retry = lambda s, n: rules.should_retry(F.lit("transient"), F.lit(s), F.lit(n), F.lit(3))
-    assert one(spark, retry("smart", 1), retry("never", 1), retry("always", 3), rules.translate_path(F.lit("C:\\Users\\My User\\x")), rules.safe_path(F.lit("a/../b")), rules.safe_path(F.lit("a/b")), rules.backoff_seconds(F.lit(9))) == (True, False, False, "/mnt/c/Users/My User/x", False, True, 10.0)
+    assert one(spark, retry("smart", 1), retry("never", 1), retry("always", 3), rules.translate_path(F.lit("D:\\two words\\x")), rules.safe_path(F.lit("a/../b")), rules.safe_path(F.lit("a/b")), rules.backoff_seconds(F.lit(9))) == (True, False, False, "/mnt/d/two words/x", False, True, 10.0)
     assert rules.merged_settings({"a": 1, "b": 2}, {"a": None, "b": 3}) == {"a": 1, "b": 3}
     df = spark.sql("SELECT named_struct('file', 'f', 'n', 1, 'list', array(named_struct('x', 1, 'y', 2))) AS results, 5 AS other")
     assert rules.project_fields(df, ["results.file", "results.list.x", "gone", "other.deep"]).first().asDict(True) == {"results": {"file": "f", "list": [{"x": 1}]}}
@@ -187,8 +191,8 @@ def resolved(rows):
 def test_resolver(spark):
     rows = spark.createDataFrame(CALLS, SPEAKERS)
     resolved(identity.resolve_calls(rows, 0.7).collect())
-    r = spark.createDataFrame([(0.4, 0.5, 0.7, "unknown"), (0.95, 0.5, 0.7, "confirmed")], "confidence double, calendar_score double, hint_score double, status string")
-    assert [(round(x.confidence, 2), x.status) for x in identity.aggregate_confidence(r).collect()] == [(0.49, "unknown"), (0.95, "confirmed")]
+    r = spark.createDataFrame([(0.4, 0.5, 0.7, "unknown", "db_match"), (0.2, 0.5, 0.7, "confirmed", "db_match"), (0.2, 0.9, 0.9, "unknown", "auto_cluster"), (0.3, 1.0, 1.0, "unknown", "db_match")], "confidence double, calendar_score double, hint_score double, status string, source string")
+    assert [(round(x.confidence, 2), x.status, x.source) for x in identity.aggregate_confidence(r).collect()] == [(0.49, "unknown", "db_match"), (0.2, "confirmed", "db_match"), (0.45, "unknown", "auto_cluster"), (0.65, "candidate", "aggregate")]
     n = spark.createDataFrame([("k", "Dana"), ("k", "dana"), ("k", "DANA"), ("j", "Lee"), ("j", "lee"), ("i", "")], "speaker_cluster_id string, name string")
     assert {r.speaker_cluster_id: r.status for r in identity.agreement_status(n).collect()} == {"k": "confirmed", "j": "probable"}
 
@@ -223,17 +227,18 @@ def test_analysis(spark):
     a = spark.createDataFrame([("c", 0, "", "one", "call", ["Hiring", "budget"], ["x"], [], []), ("c", 2, "T", "two", "other", ["BUDGET", "Ops"], ["y"], ["d"], None), ("s", 0, "S", "z", None, None, [], [], [])], schema)
     got = {r.call_id: r for r in analysis.merge_analyses(a).collect()}
     assert (got["c"].topics, got["c"].title, got["c"].summary, got["c"].classification, got["c"].action_items, got["c"].chunked) == (["Hiring", "budget", "Ops"], "T", "one two", "call", ["x", "y"], True)
-    assert (got["s"].classification, got["s"].topics, got["s"].chunked) == ("other", [], False)
+    assert (got["s"].classification, got["s"].topics, got["s"].chunked) == (None, None, False)
     s = spark.createDataFrame([("c", 1, 61.0, 62.0, " hi ", None), ("c", 0, 0.0, 1.0, "a", "Dana")], SEG)
-    assert analysis.prompt_text(s).first().prompt == "Speakers: Dana\n\n[00:00] Dana: a\n[01:01] unknown: hi"
+    assert analysis.prompt_text(s).first().prompt == "Speakers detected: Dana\n\n" + analysis.UNTRUSTED + "\n[00:00] Dana: a\n[01:01] hi"
+    assert analysis.prompt_text(s, 30).first().prompt.endswith("\n\n[TRANSCRIPT TRUNCATED]")
 
 
 def test_render(spark):
-    s = spark.createDataFrame([("c", 0, 0.0, 1.0, "Hi.", "Alice", 0.9), ("c", 1, 2.0, 3.0, "More.", "Alice", 0.9), ("c", 2, 65.0, 66.0, "Maybe.", "Bob", 0.2)], f"{SEG}, confidence double")
+    s = spark.createDataFrame([("c", 0, 0.0, 1.0, "Hi.", "Quinn", 0.9), ("c", 1, 2.0, 3.0, "More.", "Quinn", 0.9), ("c", 2, 65.0, 66.0, "Maybe.", "Noor", 0.2)], f"{SEG}, confidence double")
     body = render.transcript_body(s).first().body
-    assert body.count("###") == 2 and "Bob [01:05]" in body and "[?] Maybe." in body and body.index("More.") < body.index("Bob")
+    assert body == "## Transcript\n\n### Quinn — 00:00\n\nHi.\n\nMore.\n\n### Noor — 01:05\n\n[?] Maybe.\n"
     assert render.subtitles(s, "vtt").first().document.startswith("WEBVTT\n\n00:00:00.000 --> 00:00:01.000\nHi.")
-    assert render.rttm_lines(turns(spark, (0, 3.5, "SPEAKER_00"))).first().line == "SPEAKER c 1 0.000 3.500 <NA> <NA> SPEAKER_00 <NA> <NA>"
+    assert render.rttm_lines(turns(spark, (1.25, 3.25, "L1"))).first().line == "SPEAKER c 1 1.250 2.000 <NA> <NA> L1 <NA> <NA>"
 
 
 def test_metrics(spark):
