@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver import schemas
+from palaver.functions.scalars import strip
 from palaver.operators.rules import glob_regex
 
 #: File endings of recordings.
 AUDIO = (".aac", ".flac", ".m4a", ".mp3", ".mp4", ".ogg", ".opus", ".wav", ".webm", ".wma")
 #: Files beside transcripts that are none.
-INTERNAL = ("manifest.json", ".manifest.json", "speaker_identities.json", "speakers.json", ".export_state.json", "hash_cache.json")
-INTERNAL_PARTS = (".embeddings.", "llm_costs", "manifest", "speaker_identit")
+INTERNAL = ("manifest.json", ".manifest.json", "speaker_identities.json", "speakers.json", "hash_cache.json", "sync_cache.json")
+INTERNAL_PARTS = (".embeddings.", "llm_costs", "manifest", "speaker_identities", "sync_cache")
 
 
 def scan_files(
@@ -45,7 +46,7 @@ def filter_files(files: DataFrame, extensions: tuple[str, ...], ignore: tuple[st
 def read_transcripts(spark: SparkSession, folder: str, by_parts: bool = False) -> DataFrame:
     """One row for each transcript document of a folder, with ``call_id``, ``file`` and ``file_mtime``; unreadable ones are left out.
 
-    Internal files are told by name, or with ``by_parts`` by parts of it; embeddings never count.
+    Internal files are told by name, or with ``by_parts`` by parts of it; embeddings and hidden files never count.
     """
     read = (
         spark.read.schema(f"{schemas.TRANSCRIPT}, _corrupt string")
@@ -54,7 +55,7 @@ def read_transcripts(spark: SparkSession, folder: str, by_parts: bool = False) -
         .withColumns({"file": F.col("_metadata.file_name"), "file_mtime": F.col("_metadata.file_modification_time")})
     )
     name = F.col("file")
-    internal = name.isin(*INTERNAL) | name.contains(".embeddings.")
+    internal = name.isin(*INTERNAL) | name.contains(".embeddings.") | name.startswith(".")
     if by_parts:
         for part in INTERNAL_PARTS:
             internal = internal | name.contains(part)
@@ -129,27 +130,39 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return flat.select(F.col("e.id").alias("event_id"), "pos", F.col("e.subject").alias("subject"), seconds(F.col("e.start.dateTime")).alias("start"), seconds(F.col("e.end.dateTime")).alias("end"), people.alias("attendees"))
 
 
-#: Names of tags in several container formats for the fields kept.
-TAGS = {
-    "title": ["title", "tit2", "©nam"],
-    "artist": ["artist", "tpe1", "©art"],
-    "album": ["album", "talb", "©alb"],
-    "date": ["date", "year", "tdrc", "©day"],
-    "genre": ["genre", "tcon", "©gen"],
-    "comment": ["comment", "description", "comm", "©cmt"],
-    "encoder": ["encoder", "encoded_by", "tsse", "©too"],
-    "creation_time": ["creation_time", "date_recorded"],
-}
+def _last_of_key(entries: Column) -> Column:
+    """A map of entries without null or empty values, the last of each key."""
+    kept = F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull() & (e["value"] != ""))
+    one = F.aggregate(kept, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, e: F.concat(F.filter(acc, lambda x: x["key"] != e["key"]), F.array(e)))
+    return F.map_from_entries(one)
 
 
 def normalised_tags(tags: Column) -> Column:
-    """A tag map with lower-case, trimmed keys under common names, other keys left out, values trimmed and empty ones dropped."""
-    names = {old: new for new, olds in TAGS.items() for old in olds}
-    known = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
-    entries = F.transform(F.map_entries(tags), lambda e: F.struct(F.get(F.map_values(F.map_filter(known, lambda k, _: k == F.lower(F.trim(e["key"])))), F.lit(0)).alias("key"), F.trim(e["value"]).alias("value")))
-    kept = F.array_sort(F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull() & (e["value"] != "")))
-    first = F.aggregate(kept, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e))))
-    return F.map_from_entries(first)
+    """A tag map with lower-case keys, their spaces as ``_``, and trimmed values; empty ones are left out."""
+    key = lambda e: F.replace(F.lower(e["key"]), F.lit(" "), F.lit("_"))
+    return _last_of_key(F.transform(F.map_entries(tags), lambda e: F.struct(key(e).alias("key"), strip(e["value"]).alias("value"))))
+
+
+#: Tags that tell of a recording's circumstances, the beginnings of more, and frames of two container formats with the names they get.
+RECORDING_TAGS = (
+    "recording_device device microphone mic location gps gps_coordinates latitude longitude recording_location venue room studio "
+    "recorder software hardware firmware recording_date recording_time session description notes producer engineer"
+).split()
+RECORDING_PREFIXES = ("recording_", "gps_", "device_")
+RECORDING_FRAMES = {
+    "TSSE": "encoder_settings", "TSRC": "isrc", "TOFN": "original_filename", "TOWN": "owner", "TOPE": "original_artist", "TDOR": "original_date", "TDRC": "recording_date", "TDRL": "release_date", "TRSN": "radio_station", "TRSO": "radio_station_owner", "TPE4": "remixer",
+    "©too": "encoder", "©cmt": "comment", "©day": "date", "©des": "description", "©lyr": "lyrics", "purd": "purchase_date",
+}
+
+
+def recording_context(tags: Column) -> Column:
+    """What a raw tag map tells of the recording: known frames under their names, and user-defined tags (``TXXX:name``, ``----:domain:name`` or plain) of known names or beginnings."""
+    frames = F.create_map(*[F.lit(x) for pair in RECORDING_FRAMES.items() for x in pair])
+    bare = lambda k: F.regexp_replace(F.regexp_replace(k, r"^TXXX:", ""), r"^----:[^:]*:", "")
+    name = lambda k: F.translate(F.lower(strip(bare(k))), " -", "__")
+    known = lambda n: n.isin(RECORDING_TAGS) | F.rlike(n, F.lit("^(" + "|".join(RECORDING_PREFIXES) + ")"))
+    key = lambda k: F.coalesce(F.element_at(frames, k), F.when(known(name(k)), name(k)))
+    return _last_of_key(F.transform(F.map_entries(tags), lambda e: F.struct(key(e["key"]).alias("key"), strip(e["value"]).alias("value"))))
 
 
 def paths_table(spark: SparkSession, lines: list[str]) -> DataFrame:
@@ -158,7 +171,7 @@ def paths_table(spark: SparkSession, lines: list[str]) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(file, duration_seconds, bit_rate, format_name, channels, sample_rate, codec, tags) out of media probe JSON documents, one a file."""
+    """(file, duration_seconds, bit_rate, format_name, channels, sample_rate, codec, tags, recording) out of media probe JSON documents, one a file."""
     stream = "struct<codec_type:string,codec_name:string,channels:int,sample_rate:string,tags:map<string,string>>"
     form = f"format struct<filename:string,duration:string,bit_rate:string,format_name:string,size:string,tags:map<string,string>>, streams array<{stream}>"
     docs = spark.read.schema(form).options(multiLine=True, mode="PERMISSIVE").json(path)
@@ -169,5 +182,5 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     )
     return docs.select(
         F.col("format.filename").alias("file"), F.col("format.duration").try_cast("double").alias("duration_seconds"), F.col("format.bit_rate").try_cast("bigint").alias("bit_rate"), F.col("format.format_name").alias("format_name"),
-        audio["channels"].alias("channels"), audio["sample_rate"].try_cast("int").alias("sample_rate"), audio["codec_name"].alias("codec"), normalised_tags(tags).alias("tags"),
+        audio["channels"].alias("channels"), audio["sample_rate"].try_cast("int").alias("sample_rate"), audio["codec_name"].alias("codec"), normalised_tags(tags).alias("tags"), recording_context(tags).alias("recording"),
     )

@@ -12,29 +12,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from palaver.operators.manifest import diff_against_manifest, first_of_hash
+from palaver.operators.rules import error_category, should_retry
 from palaver.schemas import MANIFEST
-from palaver.sources.writers import exists, upsert_manifest
+from palaver.sources.writers import exists, read_table, upsert_manifest, versions
 
 Process = Callable[[DataFrame], DataFrame]
 
 
 def manifest_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], MANIFEST)
+    return read_table(spark, path) if exists(spark, path) else spark.createDataFrame([], MANIFEST)
 
 
-def run_once(entries: DataFrame, process: Process, out: str, manifest: str, tier: str, version: str, now: float, order: str = "path", most: int = 0) -> DataFrame:
-    """Process the entries (hash, path, ...) the manifest does not have, append the result, and record them.
+def results(spark: SparkSession, out: str, manifest: str) -> DataFrame:
+    """What finished cycles have written; a cycle that broke off before its manifest is not shown."""
+    return spark.read.parquet(out).filter(F.col("cycle") <= max(versions(spark, manifest), default=0)).drop("cycle")
 
+
+def run_once(entries: DataFrame, process: Process, out: str, manifest: str, tier: str, version: str, now: float, order: str = "path", most: int = 0, strategy: str = "smart") -> DataFrame:
+    """Process the entries (hash, path, ...) the manifest does not have, write the result, and record them.
+
+    A cycle writes to the folder of its number, the manifest's next version, and that version confirms it: after a crash in between the next run writes the same folder again, so nothing appears twice.
+    ``process`` may return ``hash``, ``error_type`` and ``error``; rows with an error are not written but recorded with their category, and tried again as ``strategy`` says (smart: transient ones).
     ``most`` over zero bounds a cycle. With nothing new the work is the listing and the anti-join. Returns the entries of this cycle.
     """
     spark = entries.sparkSession
-    new = diff_against_manifest(first_of_hash(entries, order), manifest_of(spark, manifest), tier, version)
+    known = manifest_of(spark, manifest)
+    failed_before = known.filter((F.col("status") == "error") & (F.col("tier") == tier) & (F.col("version") == version) & ~should_retry(F.col("error_category"), F.lit(strategy), F.lit(0), F.lit(1)))
+    new = diff_against_manifest(first_of_hash(entries, order), known, tier, version).join(failed_before.select("hash"), "hash", "left_anti")
     if most:
         new = new.orderBy(order).limit(most)
     new = new.persist()
     if not new.isEmpty():
-        process(new).write.mode("append").parquet(out)
+        done = process(new)
         rows = new.select("hash", F.lit("completed").alias("status"), F.lit(tier).alias("tier"), F.lit(version).alias("version"), F.lit(now).alias("last_updated"), F.col(order).cast("string").alias("filename"))
+        if "error_type" in done.columns:
+            done = done.persist()
+            failed = done.filter("error_type IS NOT NULL").select("hash", "error", error_category(F.col("error_type"), F.col("error")).alias("error_category")).dropDuplicates(["hash"])
+            rows = rows.join(failed, "hash", "left").withColumn("status", F.when(F.col("error_category").isNotNull(), "error").otherwise(F.col("status")))
+            done = done.filter("error_type IS NULL").drop("error_type", "error")
+        done.write.mode("overwrite").parquet(f"{out}/cycle={max(versions(spark, manifest), default=0) + 1}")
         upsert_manifest(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in (x.strip().split(" ", 1) for x in MANIFEST.split(","))]), manifest)
     return new
 

@@ -53,17 +53,17 @@ def test_usage_manifest_identities(spark, tmp_path):
     m = put(tmp_path, "m.json", json.dumps({"version": "1.1", "files": {"h1": {"status": "completed", "tier": "draft"}}}))
     assert [(r.hash, r.status) for r in readers.read_manifest(spark, m).collect()] == [("h1", "completed")]
     assert readers.read_manifest(spark, put(tmp_path, "broken.json", "{oops")).count() == 0
-    old = put(tmp_path, "v1.json", json.dumps({"speakers": {"Alice": {"embedding": [1.0], "num_samples": 5}, "Bob": {"embedding": [0.5], "num_samples": 3}}}))
+    old = put(tmp_path, "v1.json", json.dumps({"speakers": {"Quinn": {"embedding": [1.0], "num_samples": 5}, "Noor": {"embedding": [0.5], "num_samples": 3}}}))
     people, occurrences, evidence = readers.read_identities(spark, old, "now")
-    assert sorted((r.canonical_name, r.status, r.sample_count) for r in people.collect()) == [("Alice", "confirmed", 5), ("Bob", "confirmed", 3)]
+    assert sorted((r.canonical_name, r.status, r.sample_count) for r in people.collect()) == [("Noor", "confirmed", 3), ("Quinn", "confirmed", 5)]
     new = put(tmp_path, "v2.json", json.dumps({"version": "2.0", "identities": {"spk_1": {"status": "unknown"}}, "occurrences": [{"call_id": "c"}], "evidence": [{"type": "t", "details": {"a": "b"}}]}))
     people, occurrences, evidence = readers.read_identities(spark, new)
     assert (people.first().speaker_cluster_id, occurrences.count(), evidence.first().details) == ("spk_1", 1, {"a": "b"})
 
 
 def test_rttm_and_calendar(spark, tmp_path):
-    path = put(tmp_path, "a.rttm", "SPEAKER test 1 0.000 3.500 <NA> <NA> SPEAKER_00 <NA> <NA>\nLEXEME test 1 0 1 a b c d\nSPEAKER short\nSPEAKER other 1 1.0 1.0 <NA> <NA> S1 <NA> <NA>\n")
-    assert [tuple(r) for r in readers.read_rttm(spark, path, "test").collect()] == [("test", 0.0, 3.5, "SPEAKER_00")]
+    path = put(tmp_path, "a.rttm", "SPEAKER k7 1 1.250 2.000 <NA> <NA> L1 <NA> <NA>\nLEXEME k7 1 0 1 a b c d\nSPEAKER short\nSPEAKER other 1 1.0 1.0 <NA> <NA> S1 <NA> <NA>\n")
+    assert [tuple(r) for r in readers.read_rttm(spark, path, "k7").collect()] == [("k7", 1.25, 3.25, "L1")]
     turns = spark.createDataFrame([("c", 0, 0.0, 1.5, "A"), ("c", 1, 2.0, 3.0, "B"), ("d", 0, 1.0, 2.0, "A")], TURN)
     writers.write_rttm(turns, f"{tmp_path}/out")
     back = readers.read_rttm(spark, f"{tmp_path}/out/*")
@@ -75,8 +75,8 @@ def test_rttm_and_calendar(spark, tmp_path):
 
 
 def test_tags_and_paths(spark):
-    tags = F.create_map(F.lit(" TIT2 "), F.lit(" Song "), F.lit("junk"), F.lit("x"), F.lit("artist"), F.lit(""))
-    assert spark.range(1).select(readers.normalised_tags(tags).alias("t")).first().t == {"title": "Song"}
+    tags = F.create_map(F.lit("Sub Title"), F.lit(" Song "), F.lit("junk"), F.lit("x"), F.lit("artist"), F.lit(""))
+    assert spark.range(1).select(readers.normalised_tags(tags).alias("t")).first().t == {"sub_title": "Song", "junk": "x"}
     assert [r.path for r in readers.paths_table(spark, [" a.wav \n", "", "b.wav"]).collect()] == ["a.wav", "b.wav"]
 
 
@@ -84,11 +84,11 @@ def test_writers(spark, tmp_path):
     row = spark.createDataFrame([("h", "pending", 1.0)], "hash string, status string, last_updated double")
     writers.upsert_manifest(row, f"{tmp_path}/m")
     writers.upsert_manifest(row.withColumns({"status": F.lit("completed"), "last_updated": F.lit(2.0)}), f"{tmp_path}/m")
-    assert [r.status for r in spark.read.parquet(f"{tmp_path}/m").collect()] == ["completed"]
+    assert [r.status for r in writers.read_table(spark, f"{tmp_path}/m").collect()] == ["completed"]
     speakers = spark.createDataFrame([("c", "S0", [0.1, 0.2, 0.3])], "call_id string, local_label string, embedding array<double>")
     writers.write_embeddings(speakers, f"{tmp_path}/e")
     assert json.loads(spark.read.text(f"{tmp_path}/e").first().value)["S0"]["dimension"] == 3
-    assert json.loads(writers.envelope(row, "status").first().value) == {"ok": True, "command": "status", "data": {"hash": "h", "status": "pending", "last_updated": 1.0}}
+    assert json.loads(writers.envelope(row, "status").first().value) == {"ok": True, "command": "status", "data": {"hash": "h", "status": "pending", "last_updated": 1.0}, "meta": {"version": "1.0", "elapsed_seconds": 0.0}}
     documents = spark.createDataFrame([("c", "text"), ("d", "more")], "call_id string, document string")
     writers.export_once(documents.limit(1), f"{tmp_path}/s", f"{tmp_path}/o")
     writers.export_once(documents, f"{tmp_path}/s", f"{tmp_path}/o")
@@ -120,11 +120,51 @@ def test_sync_of_files(spark, tmp_path):
     def cycle(n):
         stream = sync.file_stream(spark, f"{tmp_path}/in", "*.wav")
         sync.watch(stream, lambda new: new.select("path", "hash"), f"{tmp_path}/out", f"{tmp_path}/m", f"{tmp_path}/check{n}", "draft", "1.0", lambda: float(next(clock))).awaitTermination()
-        return spark.read.parquet(f"{tmp_path}/out").count()
+        return sync.results(spark, f"{tmp_path}/out", f"{tmp_path}/m").count()
 
     assert [cycle(1), cycle(2)] == [1, 1]  # a lost checkpoint repeats nothing
     put(tmp_path, "in/b.wav", "two")
-    assert cycle(2) == 2 and spark.read.parquet(f"{tmp_path}/m").filter("status = 'completed'").count() == 2
+    assert cycle(2) == 2 and writers.read_table(spark, f"{tmp_path}/m").filter("status = 'completed'").count() == 2
+
+
+def test_sync_survives_a_crash_before_the_manifest(spark, tmp_path, monkeypatch):
+    entries = spark.createDataFrame([("a", "h1"), ("b", "h2"), ("c", "h1")], "path string, hash string")
+    process = lambda new: new.select("path", "hash")
+    run = lambda rows, now: sync.run_once(rows, process, f"{tmp_path}/out", f"{tmp_path}/m", "draft", "1.0", now)
+    with monkeypatch.context() as broken:
+        broken.setattr(sync, "upsert_manifest", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            run(entries, 1.0)
+    run(entries.unionByName(spark.createDataFrame([("d", "h3")], entries.schema)), 2.0)
+    run(entries, 3.0)
+    assert sorted(r.hash for r in sync.results(spark, f"{tmp_path}/out", f"{tmp_path}/m").collect()) == ["h1", "h2", "h3"]
+
+
+def test_sync_records_errors_and_retries_transient_ones(spark, tmp_path):
+    entries = spark.createDataFrame([("a", "h1"), ("b", "h2"), ("c", "h3")], "path string, hash string")
+    seen = []
+
+    def process(new):
+        seen.append(sorted(r.hash for r in new.select("hash").collect()))
+        kind = F.when(F.col("hash") == "h1", "ValueError").when((F.col("hash") == "h2") & F.lit(len(seen) == 1), "ConnectionResetError")
+        return new.select("path", "hash", kind.alias("error_type"), F.when(kind.isNotNull(), "no luck").alias("error"))
+
+    for now in (1.0, 2.0, 3.0):
+        sync.run_once(entries, process, f"{tmp_path}/out", f"{tmp_path}/m", "draft", "1.0", now)
+    assert seen == [["h1", "h2", "h3"], ["h2"]]
+    assert {(r.hash, r.status, r.error_category) for r in writers.read_table(spark, f"{tmp_path}/m").collect()} == {("h1", "error", "permanent"), ("h2", "completed", None), ("h3", "completed", None)}
+    assert sorted(r.hash for r in sync.results(spark, f"{tmp_path}/out", f"{tmp_path}/m").collect()) == ["h2", "h3"]
+
+
+def test_progress_and_streamed_results(spark, tmp_path):
+    spark.createDataFrame([("a", "completed"), ("b", "failed")], "file string, status string").write.json(f"{tmp_path}/in")
+    events = []
+    listener = writers.Progress(events.append)
+    spark.streams.addListener(listener)
+    writers.stream_results(spark.readStream.schema("file string, status string").json(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    spark.streams.removeListener(listener)
+    assert sorted(json.loads(r.value)["file"] for r in spark.read.text(f"{tmp_path}/out").collect()) == ["a", "b"]
+    assert {e["event"] for e in events} >= {"started"}
 
 
 def test_resolver_stream_equals_batch(spark, tmp_path):
