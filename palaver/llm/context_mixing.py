@@ -48,7 +48,7 @@ MIX_FOLDS = 10
 RATE, BATCH, STRETCH_MOST, PRIOR = 0.5, 1024, 12.0, 0.4
 BUCKETS = 25
 #: Units in a piece, and rows of counts that a task holds.
-CHUNK, HELD = 60_000, 1_500_000
+CHUNK, HELD = 60_000, 4_000_000
 #: Mean units in a passage, units in its context, and the largest count of followers that is told apart.
 PASSAGE, BEFORE, FOLLOWERS = 24, 8, 16
 MUL, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -123,8 +123,8 @@ class Reader:
         ends = np.flatnonzero(self.is_end[data])
         starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
         closes = np.cumsum([len(t) + 1 for t in texts]) - 1
-        text = np.searchsorted(closes, ends)
         first = np.searchsorted(ends, closes - np.array([len(t) for t in texts]))
+        text = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(ends))))
         sums = self.sums(data)
         unit = self.span(sums, starts, ends + 1)
         token = self.span(self.sums(np.frombuffer(joined.lower(), np.uint8)), starts, ends)
@@ -178,7 +178,7 @@ def read_slices(batches: Iterator[pa.RecordBatch], reader: Reader, columns: int
 
 def summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of the keys with their counts added up."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     keys = [k[order] for k in keys]
     new = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])) if len(order) else np.zeros(0, np.int64)
     return [k[new] for k in keys], np.add.reduceat(counts[order], new, axis=0) if len(new) else counts[:0]
@@ -257,11 +257,13 @@ def unit_counts(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
             gate = reader.gates(r)
             fold = np.array(folds, np.int64)[r.text]
             key = unit_key(r.unit, gate)
-            order = np.argsort(key, kind="stable")
-            new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            counts = np.add.reduceat(np.stack([fold == 0, fold == 1, fold >= -1], axis=1).astype(np.int64)[order], new, axis=0)
+            order = np.argsort(key)
+            sorted_key = key[order]
+            new = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+            every, fold = np.diff(np.append(new, len(order))), fold[order]
+            counts = np.stack([np.add.reduceat((fold == k).astype(np.int64), new) for k in (0, 1)] + [every], axis=1)
             some = order[new]
-            held.append((key[some], gate[some], counts, r.data, r.starts[some], r.ends[some] + 1))
+            held.append((sorted_key[new], gate[some].astype(np.int8), counts.astype(np.int32), r.data, r.starts[some].astype(np.int32), r.ends[some].astype(np.int32) + 1))
             rows += len(some)
             if rows > HELD:
                 yield flat(held)
@@ -274,9 +276,10 @@ def unit_counts(docs: DataFrame, classes: dict[int, int]) -> DataFrame:
         base = np.cumsum([0] + [len(h[3]) for h in held])[:-1]
         data = np.concatenate([h[3] for h in held])
         start, stop = (np.concatenate([h[i] + b for h, b in zip(held, base, strict=True)]) for i in (4, 5))
-        order = np.argsort(key, kind="stable")
-        new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        counts, some = np.add.reduceat(counts[order], new, axis=0), order[new]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts, some = np.add.reduceat(counts[order].astype(np.int64), new, axis=0), order[new]
         length = stop[some] - start[some]
         ends = np.cumsum(length)
         picked = data[np.repeat(start[some] - (ends - length), length) + np.arange(int(ends[-1]))]
@@ -611,6 +614,28 @@ def score_units(cut: DataFrame, model) -> DataFrame:
     return cut.mapInArrow(score, "key bigint, token bigint, worded boolean, n bigint, lp float")
 
 
+class Lookup:
+    """Places of hashes among known ones: evenly spread values are found by their high bits, then by stepping through a few."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.keys, self.shift = np.append(keys, np.zeros(1, np.uint64)), np.uint64(64 - bits)
+        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.end = np.append(self.begin[1:], np.int32(len(keys)))
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each, or -1."""
+        found = np.full(len(asked), -1, np.int64)
+        high = (asked >> self.shift).astype(np.int64)
+        at, end, left = self.begin[high], self.end[high], np.arange(len(asked))
+        while len(left):
+            more = at < end
+            at, end, left = at[more], end[more], left[more]
+            hit = self.keys[at] == asked[left]
+            found[left[hit]] = at[hit]
+            at, end, left = at[~hit] + 1, end[~hit], left[~hit]
+        return found
+
+
 def most_frequent(counted: DataFrame, most: int) -> int:
     """The least power of two such that at most ``most`` rows have a count ``n`` of it or more."""
     sizes = {r.level: r["count"] for r in counted.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()}  # one for each power of two
@@ -623,14 +648,17 @@ def most_frequent(counted: DataFrame, most: int) -> int:
 
 
 def followers(pairs: DataFrame) -> DataFrame:
-    """(key, total, g1, n1, g2, n2) of each context: texts that have it, and the passages that follow it in most of them. The second is the best outside the first one's eighth of all hashes.
+    """(key, total, g1, n1, g2, n2) of each context: texts that have it, and the passages that follow it in most of them. The second is the best outside the first one's quarter of all hashes.
 
-    Every step combines in its tasks before the shuffle, so no context is hot.
+    Every step combines in its tasks before the shuffle, so no context is hot; equal counts go by hash.
     """
-    eighths = pairs.groupBy("a", F.pmod("b", F.lit(8)).alias("e")).agg(F.sum("n").alias("n"), F.max(F.struct("n", "b")).alias("top"))
-    every = eighths.groupBy("a").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list("top"), asc=False).alias("tops"))  # eight at most
+    rank = F.col("n") + F.pmod(F.xxhash64("b"), F.lit(1 << 20)) / float(1 << 21)
+    quarters = pairs.groupBy("a", F.pmod("b", F.lit(4)).alias("e")).agg(F.sum("n").alias("t"), F.max("n").alias("n"), F.max_by("b", rank).alias("b"))
+    each = [F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{c}{e}") for e in range(4) for c in ("n", "b")]
+    every = quarters.groupBy("a").agg(F.sum("t").alias("total"), *each)
+    tops = F.sort_array(F.filter(F.array(*[F.struct(F.col(f"n{e}").alias("n"), F.col(f"b{e}").alias("b")) for e in range(4)]), lambda s: s["n"].isNotNull()), asc=False)
     top = lambda i, c: F.get("tops", F.lit(i))[c]
-    return every.select(F.col("a").alias("key"), "total", top(0, "b").alias("g1"), top(0, "n").alias("n1"), top(1, "b").alias("g2"), F.coalesce(top(1, "n"), F.lit(0).cast("bigint")).alias("n2"))
+    return every.withColumn("tops", tops).select(F.col("a").alias("key"), "total", top(0, "b").alias("g1"), top(0, "n").alias("n1"), top(1, "b").alias("g2"), F.coalesce(top(1, "n"), F.lit(0).cast("bigint")).alias("n2"))
 
 
 def bucket(n: Column) -> Column:
@@ -674,91 +702,85 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "scored",
     )
     heavy = F.col("n") >= most_frequent(scored, HEAVY)
-    common = scored.filter(heavy).select("key", "lp", "base", "known").orderBy("key").toArrow()
+    common = scored.filter(heavy).select("key", "lp", "base", "known").toArrow()
     keys = common.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     table = spark.sparkContext.broadcast((keys[order], *[common.column(c).to_numpy()[order].astype(np.float64) for c in ("lp", "base", "known")]))
-    del common
+    del common, keys, order
     kind = docs.schema[id_col].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lp, base, known = table.value
-        reader, row = Reader(classes), TaskContext.get().partitionId() << 33
-        id_type = None
-        for r, (ids, folds, sizes) in read_slices(noted(batches), reader, 4):
-            id_type = noted.type
-            key = unit_key(r.unit, reader.gates(r))
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            starts, ctx, own, passage = reader.passages(r)
-            home = passage[r.first]  # of each text, its first passage
-            n_texts, n_passages = len(ids), int(passage[-1]) + 1
-            text = r.text[np.searchsorted(passage, np.arange(n_passages))]
-            sums = [np.bincount(passage[hit], x[at[hit]], n_passages) for x in (lp, base, known)]
-            # Rare units, once for each passage.
-            (far, far_key), tf = summed([passage[~hit].astype(np.uint64), key[~hit]], np.ones(int((~hit).sum()), np.int64))
-            far = far.astype(np.int64)
-            by_text = [np.bincount(text, x, n_texts) for x in sums[1:]]
-            later = passage[starts]
-            number = row + text
-            code = 2 * (np.arange(n_passages) - home[text]) + (np.array(folds)[text] < 0)
-            later_flag = np.zeros(n_passages, bool)
-            later_flag[later] = True
-            ctx_of, own_of = np.zeros(n_passages, np.uint64), np.zeros(n_passages, np.uint64)
-            ctx_of[later], own_of[later] = ctx, own
-            first = np.arange(n_texts)
-            yield block(number[far], code[far], far_key, tf, np.zeros(len(far)), None)
-            yield block(number, code, np.where(later_flag, ctx_of, mixed(number.astype(np.uint64))), np.where(later_flag, own_of.view(np.int64), 0), sums[0], None)
-            info = [pa.array(ids, id_type), pa.array(np.array(folds) < 0), pa.array(np.bincount(r.text[r.worded()], minlength=n_texts) + 1), pa.array(by_text[0]), pa.array(by_text[1]), pa.array(sizes, pa.int64())]
-            info = pa.StructArray.from_arrays(info, names=["doc_id", "held_out", "n_tokens", "base", "known", "n_bytes"])
-            yield block(row + first, np.full(n_texts, -1), mixed((row + first).astype(np.uint64)), np.zeros(n_texts, np.int64), np.zeros(n_texts), info)
-            row += n_texts
-
-    def noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *values = table.value
+        lookup, reader, row = Lookup(keys), Reader(classes), TaskContext.get().partitionId() << 33
         for batch in batches:
-            noted.type = batch.schema.field(1).type
-            yield batch
-
-    info_type = f"struct<doc_id:{kind},held_out:boolean,n_tokens:bigint,base:double,known:double,n_bytes:bigint>"
-
-    def block(number, code, key, x, y, info) -> pa.RecordBatch:
-        columns = [pa.array(number.astype(np.int64)), pa.array(code.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(x.astype(np.int64)), pa.array(y)]
-        empty = pa.struct([("doc_id", noted.type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("known", pa.float64()), ("n_bytes", pa.int64())])
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(number), empty) if info is None else info], ["row", "code", "key", "x", "y", "info"])
-
-    found = rows.select("_text", "doc_id", "_fold", F.octet_length("_text").cast("bigint").alias("size")).mapInArrow(read, f"row bigint, code bigint, key bigint, x bigint, y double, info {info_type}")
+            ids, folds, sizes = batch.column(1), np.array(batch.column(2)), np.array(batch.column(3))
+            none = pa.nulls(1, ids.type)
+            for first, texts in slices(x.as_py() for x in batch.column(0)):
+                r = reader.read(texts)
+                n_texts = len(texts)
+                mine = slice(first, first + n_texts)
+                key = unit_key(r.unit, reader.gates(r))
+                at = lookup.find(key)
+                hit = at >= 0
+                starts, ctx, own, passage = reader.passages(r)
+                n_passages = int(passage[-1]) + 1
+                home = passage[r.first]  # of each text, its first passage
+                text = np.repeat(np.arange(n_texts), np.diff(np.append(home, n_passages)))
+                lp, base, known = (np.bincount(passage[hit], x[at[hit]], n_passages) for x in values)
+                # Rare units, once for each passage.
+                (far, far_key), tf = summed([passage[~hit].astype(np.uint64), key[~hit]], np.ones(int((~hit).sum()), np.int64))
+                far = far.astype(np.int64)
+                number, code = row + text, 2 * (np.arange(n_passages) - home[text]) + (folds[mine][text] < 0)
+                ahead, follows = mixed(number.astype(np.uint64)), np.zeros(n_passages, np.int64)  # a first passage has no context and a key that nothing has
+                ahead[passage[starts]], follows[passage[starts]] = ctx, own.view(np.int64)
+                of_text = row + np.arange(n_texts)
+                tokens = np.bincount(r.text[r.worded()], minlength=n_texts) + 1
+                yield block(number[far], code[far], far_key, tf, np.zeros(len(far)), none.take(pa.array(np.zeros(len(far), np.int64))))
+                yield block(number, code, ahead, follows, lp, none.take(pa.array(np.zeros(n_passages, np.int64))))
+                yield block(of_text, np.full(n_texts, -1), mixed(of_text.astype(np.uint64)), 2 * tokens + (folds[mine] < 0), np.bincount(text, base, n_texts), ids.slice(first, n_texts))
+                yield block(of_text, np.full(n_texts, -2), mixed(of_text.astype(np.uint64)), sizes[mine], np.bincount(text, known, n_texts), none.take(pa.array(np.zeros(n_texts, np.int64))))
+                row += n_texts
+
+    def block(number, code, key, x, y, ids) -> pa.RecordBatch:
+        columns = [pa.array(number.astype(np.int64)), pa.array(code.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(x.astype(np.int64)), pa.array(y), ids]
+        return pa.RecordBatch.from_arrays(columns, ["row", "code", "key", "x", "y", "doc_id"])
+
+    # Rows of rare units (code from 0: passage and whether held out, x: how often), of passages (x: the passage, y: its frequent units), and two of each text (code -1: tokens and base, -2: bytes and known tokens).
+    found = rows.select("_text", "doc_id", "_fold", F.octet_length("_text").cast("bigint").alias("size")).mapInArrow(read, f"row bigint, code bigint, key bigint, x bigint, y double, doc_id {kind}")
     none = lambda c: F.lit(None).cast(c)
     lookup = scored.filter(~heavy).select("key", "lp", "base", "known", none("bigint").alias("g1"), none("bigint").alias("n1"), none("bigint").alias("g2"), none("bigint").alias("n2")).unionByName(
         known.select("key", none("float").alias("lp"), none("double").alias("base"), none("double").alias("known"), "g1", "n1", "g2", "n2")
     )
     joined = found.join(lookup, "key", "left")
     odds = F.array(*[F.lit(p) for p in follower_odds(known)])
-    passages = (
-        joined.repartition("row")
-        .groupBy("row", "code")
-        .agg(
-            F.sum(F.col("y") + F.coalesce(F.col("x") * F.col("lp"), F.lit(0.0))).alias("lp"),
-            F.sum(F.col("x") * F.col("base")).alias("base"), F.sum(F.col("x") * F.col("known")).alias("known"),
-            F.max(F.when(F.col("n1").isNotNull(), F.struct(F.col("x").alias("g"), "g1", "n1", "g2", "n2"))).alias("s"), F.max("info").alias("info"),
-        )
-    )
     own = F.when(F.pmod("code", F.lit(2)) == 1, 0).otherwise(1)
-    one = F.col("s.n1") - own * (F.col("s.g") == F.col("s.g1")).cast("int")
-    two = F.col("s.n2") - own * F.coalesce((F.col("s.g") == F.col("s.g2")).cast("int"), F.lit(0))
+    one = F.col("n1") - own * (F.col("x") == F.col("g1")).cast("int")
+    two = F.col("n2") - own * F.coalesce((F.col("x") == F.col("g2")).cast("int"), F.lit(0))
     count = F.greatest(one, two)
-    right = F.col("s.g") == F.when(one >= two, F.col("s.g1")).otherwise(F.col("s.g2"))
+    right = F.col("x") == F.when(one >= two, F.col("g1")).otherwise(F.col("g2"))
     odd = F.get(odds, bucket(count))
-    expected = F.col("s").isNotNull() & (count > 0)
-    lp = F.when(expected & right, F.log10(odd)).when(expected, F.col("lp") + F.log10(1 - odd)).otherwise(F.col("lp"))
-    whole = passages.groupBy("row").agg(F.sum(lp).alias("lp"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.max("info").alias("i"))
+    expected = F.col("n1").isNotNull() & (count > 0)
+    inner = F.col("code") >= 0
+    parts = joined.select(
+        "row", "code", "doc_id", F.when(~inner, F.col("x")).alias("x"), F.when(~inner, F.col("y")).alias("y"),
+        F.when(inner, F.col("y") + F.coalesce(F.col("x") * F.col("lp"), F.lit(0.0))).alias("lp"), F.when(expected & right, F.log10(odd)).alias("sure"), F.when(expected & ~right, F.log10(1 - odd)).alias("miss"),
+        (F.col("x") * F.col("base")).alias("base"), (F.col("x") * F.col("known")).alias("known"),
+    )
+    passages = parts.repartition("row").groupBy("row", "code").agg(F.max("doc_id").alias("doc_id"), F.max("x").alias("x"), F.max("y").alias("y"), *[F.sum(c).alias(c) for c in ("lp", "miss", "base", "known")], F.max("sure").alias("sure"))
+    lp = F.coalesce(F.col("sure"), F.col("lp") + F.coalesce("miss", F.lit(0.0)))
+    of = lambda code, c: F.max(F.when(F.col("code") == code, F.col(c)))
+    whole = passages.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum(F.when(inner, lp)).alias("lp"), F.coalesce(F.sum("base"), F.lit(0.0)).alias("base"), F.coalesce(F.sum("known"), F.lit(0.0)).alias("known"),
+        of(-1, "x").alias("tokens"), of(-1, "y").alias("base0"), of(-2, "x").alias("bytes"), of(-2, "y").alias("known0"),
+    )
     end = float(np.log10((ends + 0.5) / divisor))
     return whole.select(
-        "i.doc_id",
-        "i.held_out",
-        "i.n_tokens",
-        (F.round(F.col("i.known") + F.coalesce("known", F.lit(0.0))) + int(ends > 0)).cast("bigint").alias("n_known"),
+        "doc_id",
+        (F.pmod("tokens", F.lit(2)) == 1).alias("held_out"),
+        F.shiftright("tokens", 1).alias("n_tokens"),
+        (F.round(F.col("known0") + F.col("known")) + int(ends > 0)).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("i.base") + F.coalesce("base", F.lit(0.0)) + F.lit(end)).alias("base_score"),
+        (F.col("base0") + F.col("base") + F.lit(end)).alias("base_score"),
         F.col("lp").alias("score"),
-        (-F.col("lp") / F.lit(float(np.log10(2))) / F.greatest("i.n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (-F.col("lp") / F.lit(float(np.log10(2))) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )

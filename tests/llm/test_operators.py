@@ -488,6 +488,15 @@ def test_copies_are_told_from_texts_of_their_own(spark):
     assert max(got[i] for i in learnt) < alone[0] / 2 and len(learnt) > 3
 
 
+def test_lookup_finds_all_and_nothing_else():
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    keys[:40] = np.arange(40, dtype=np.uint64) * np.uint64(2)  # many with equal high bits
+    lookup = context_mixing.Lookup(np.unique(keys), 10)
+    assert (lookup.find(np.unique(keys)) == np.arange(len(np.unique(keys)))).all() and (lookup.find(keys + np.uint64(1)) == -1).all()
+    assert context_mixing.Lookup(np.zeros(0, np.uint64)).find(keys[:3]).tolist() == [-1] * 3
+
+
 def test_followers_without_oneself(spark):
     pairs = spark.createDataFrame([(1, 5, 3), (1, 6, 2), (2, 9, 1), (3, 4, 20)], "a bigint, b bigint, n bigint")
     known = context_mixing.followers(pairs)
