@@ -73,15 +73,16 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
 
     calls: conv_id, call_id, turn, tool, arguments (JSON text), depends_on; results: conv_id, call_id, turn, content.
     """
+    calls = calls.select("conv_id", "call_id", "turn", "tool", "arguments", "depends_on")
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     answers = first.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
     twice = calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_calls"))
     about = twice.join(call_depths(calls), ["conv_id", "call_id"], "left")
     about = about.select(F.col("conv_id").alias("a_conv"), F.col("call_id").alias("a_call"), "n_calls", "depth", "cyclic")
     linked = (
-        calls.join(about, (calls.conv_id == F.col("a_conv")) & (calls.call_id == F.col("a_call")), "left")
+        calls.join(about.hint("shuffle_hash"), (calls.conv_id == F.col("a_conv")) & (calls.call_id == F.col("a_call")), "left")
         .drop("a_conv", "a_call")
-        .join(answers, (calls.conv_id == F.col("r_conv")) & (calls.call_id == F.col("r_call")), "full_outer")
+        .join(answers.hint("shuffle_hash"), (calls.conv_id == F.col("r_conv")) & (calls.call_id == F.col("r_call")), "full_outer")
     )
     is_call = F.col("tool").isNotNull() | F.col("turn").isNotNull()
     marks = F.array_compact(F.array(F.when(F.col("n_calls") > 1, F.lit("duplicate_id")), F.when(F.col("cyclic"), F.lit("cycle"))))

@@ -8,10 +8,10 @@ Pruning is exact. An item's least impacts, up to a sum of IDLE, are not essentia
 postings of essential terms open a candidate. Items lie in blocks; a block whose largest essential impacts plus the largest
 rest of its items stay below one is skipped; the others are scored in full. Retrieved items are verified: the share of five-word shingles
 of question and of answer that the passage has must reach the similarity. The answer is the item's last sentence if it has one, else
-its last fifth; a part of under five words is verified as one run.
+its last fifth; a part of under five words is verified as one run, and so is a whole item of under five words.
 
-Defined cases: a null or empty text has no passages; items under five words never match, as they have no shingle; items with
-equal texts are all reported; repeated rows are judged alike; without items every row is kept; texts of any length are read whole.
+Defined cases: a null or empty text has no passages; an item without words never matches; items with
+equal texts are all reported; repeated rows are judged alike; without items every row is kept; texts of any length are read whole; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +47,10 @@ def words(text: bytes) -> list[bytes]:
 
 
 def parts(text: bytes) -> tuple[list[bytes], list[bytes]]:
-    """Question and answer of an item."""
+    """Question and answer of an item; one of under five words is a question alone, to be found as one run."""
+    every = words(text)
+    if len(every) < SHINGLE:
+        return every, []
     body = text.strip()
     at = max(body[:-1].rfind(mark) for mark in (b".", b"?", b"!", b"\n", b":"))
     question, answer = words(body[: at + 1]), words(body[at + 1 :])
@@ -94,7 +97,7 @@ def build(rows: list[tuple[int, bytes, list[tuple[bytes, float]]]], share: float
     mean = sum(lengths) / max(1, len(lengths))
     classes: dict[int, list[int]] = defaultdict(list)
     for i, n in enumerate(lengths):
-        if n >= SHINGLE:
+        if n:
             classes[1 << (n - 1).bit_length()].append(i)
     found = []
     for reach, members in sorted(classes.items()):

@@ -39,14 +39,16 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return bucket
 
 
-def jump_column(key: str, shards: int):
-    """``jump_hash`` as a column; only the keys travel to Python."""
+def jump_column(docs: DataFrame, key: str, shards: int):
+    """``jump_hash`` of ids as a column; only the keys travel to Python. Ids that are no integers are hashed first."""
+    whole = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(key).cast("bigint") if whole else F.xxhash64(F.col(key).cast("string"))
 
     @F.arrow_udf("int")
     def bucket(keys: pa.Array) -> pa.Array:
         return pa.array(jump_hash(keys.fill_null(0).to_numpy(zero_copy_only=False), shards), pa.int32())
 
-    return bucket(F.col(key).cast("bigint"))
+    return bucket(number)
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
@@ -63,7 +65,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         F.crc32(text).alias("text_crc32"),
     )
     blocks = max(8, math.ceil(docs.count() / (shards * rows_a_block)))
-    dealt = narrow.withColumn("shard", jump_column("doc_id", shards)).withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    dealt = narrow.withColumn("shard", jump_column(narrow, "doc_id", shards)).withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
     totals = dealt.groupBy("shard", "_block").count()
     before = totals.select(
         F.col("shard").alias("_shard"),
@@ -74,6 +76,6 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     return (
         dealt.withColumn("_place", place)
         .join(before, (F.col("shard") == F.col("_shard")) & (F.col("_block") == F.col("_in")))
-        .withColumn("grown_shard", jump_column("doc_id", shards + 1))
+        .withColumn("grown_shard", jump_column(narrow, "doc_id", shards + 1))
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_place") - 1 + F.col("_before")).cast("bigint").alias("slot"), "grown_shard")
     )

@@ -190,9 +190,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 def with_representatives(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(doc_id, mark, fp, best): every row with the row that stands for its component, the smallest by id.
 
-    Rows without an id come after all others and are told apart by ``mark``, a hash of their text.
+    Rows without an id come after all others; rows with one id are told apart by ``mark``, a hash of their text.
     """
-    mark = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     prints = settle(docs.select(F.col(id_col).alias("doc_id"), mark.alias("mark"), fingerprint_column(F.col(text_col), words).alias("fp")))
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     nodes = settle(prints.groupBy("fp").agg(F.min(own).alias("least")))
@@ -209,10 +209,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The row with the smallest id of every component, whole and with all columns; of rows with the same id and (without id) text one stays."""
+    """The row with the smallest id of every component, whole and with all columns; of rows with the same id and text one stays."""
     mark, kept_id, kept_mark = fresh(docs, "_mark"), fresh(docs, "_kept_id"), fresh(docs, "_kept_mark")
     found = with_representatives(docs, id_col, text_col, words)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("mark").eqNullSafe(F.col("best.mark"))).select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark)).distinct()
-    marked = docs.withColumn(mark, F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     same = F.col(id_col).eqNullSafe(F.col(kept_id)) & F.col(mark).eqNullSafe(F.col(kept_mark))
     return marked.join(kept, same, "left_semi").dropDuplicates([id_col, mark]).drop(mark)

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palaver.llm import bpe, chat_format, context_mixing, decontaminate, language_id, licences, registry, search, sharding, simhash, url_filter
+from palaver.llm import bpe, chat_format, context_mixing, decontaminate, language_id, licences, near_copies, registry, search, sharding, simhash, url_filter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -340,7 +340,7 @@ def test_licences(spark, empty):
     rows = [(1, "Intro\nReleased under the MIT license!\nrest"), (2, mit), (3, "about\n\n" + mit.upper() + "\n\nmore\ntext"), (4, None), (5, ""), (6, "the"), (7, "Licensed under the Apache License, Version 2.0"), (8, "All rights reserved." * 3), (1, "Intro\nReleased under the MIT license!\nrest")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in ("u", "w", "grams", "best", "unit")})
     got = Counter((r.doc_id, r.unit, r.place, r.licence) for r in licences.scan(docs).collect())
-    assert got == Counter([(1, "line", 1, "MIT"), (1, "line", 1, "MIT"), (2, "text", 0, "MIT-text"), (3, "paragraph", 1, "MIT-text"), (3, "text", 0, "MIT-text"), (3, "line", 2, "MIT-text"), (7, "text", 0, "Apache-2.0"), (8, "text", 0, "All-Rights-Reserved")]) or got[(7, "text", 0, "Apache-2.0")] == 1
+    assert got == Counter([(1, "line", 1, "MIT"), (1, "line", 1, "MIT"), (1, "text", 0, "MIT"), (1, "text", 0, "MIT"), (2, "text", 0, "MIT-text"), (3, "paragraph", 1, "MIT-text"), (3, "text", 0, "MIT-text"), (3, "line", 2, "MIT-text"), (7, "text", 0, "Apache-2.0"), (8, "text", 0, "All-Rights-Reserved")])
     for i, text in rows:
         if text:
             grams = set(licences.bigrams(licences.normalised(text)))
@@ -539,3 +539,28 @@ def test_reader_finds_every_unit(parts):
     _, ctx, own, _ = plain.passages(plain.read(texts))
     assert ctx.tolist() == [h for x in one for h in x[1].tolist()] and own.tolist() == [h for x in one for h in x[2].tolist()]
 
+
+
+def test_short_benchmark_items_match_as_one_run(spark):
+    items = spark.createDataFrame([(1, "quartz vole sings"), (2, ""), (3, "one"), (4, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "here a Quartz vole, sings again"), (2, "vole quartz sings"), (3, "just one"), (4, None), (5, "quartz vole " * 3 + "sang")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contamination(docs, items).collect()) == [(1, 1), (3, 3)]
+
+
+def test_different_texts_of_one_id_stay(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (1, "something else that is not like it"), (1, "alpha beta gamma delta epsilon zeta")], "doc_id bigint, text string")
+    assert simhash.keep_one(docs).count() == 2 and near_copies.keep_one(docs).count() == 2
+
+
+def test_text_keys_are_sharded(spark):
+    docs = spark.createDataFrame([(f"k{i}", "t") for i in range(50)] + [(None, "t")], "doc_id string, text string")
+    got = sharding.assign_shards(docs, 4).collect()
+    assert len(got) == 51 and {r.shard for r in got} == {0, 1, 2, 3} and all(r.grown_shard in (r.shard, 4) for r in got)
+
+
+def test_links_narrow_their_inputs(spark):
+    calls = spark.createDataFrame([(1, "a", 0, "reply", '{"text":"x","turn":"y"}', None), (1, "b", 2, "reply", '{"text":"x","turn":2}', "a")], "conv_id bigint, call_id string, turn bigint, tool string, arguments string, depends_on string")
+    results = spark.createDataFrame([(1, "a", 1, "ok")], "conv_id bigint, call_id string, turn bigint, content string")
+    wide = calls.withColumns({c: F.lit("clash") for c in ("depth", "cyclic", "n_calls", "content", "n_results", "result_turn")})
+    got = {r.call_id: (r.status, r.depth, r.errors) for r in chat_format.link_calls(wide, results).collect()}
+    assert got == {"a": ("linked", 0, "type:turn"), "b": ("unanswered", 1, "")}
