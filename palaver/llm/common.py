@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,21 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Work run inside sends at most about ``size`` of rows to Python at once, so that texts take little memory on either side; the session's setting comes back after it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    if before is None:  # a Spark without this setting
+        yield
+        return
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(items: Iterable[bytes | None], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``most`` bytes each, with the index of the first; null becomes empty."""
     held: list[bytes] = []
