@@ -181,7 +181,7 @@ def aggregate_confidence(spark, sf_dir):
 
 
 @query("name_stages", """WITH r AS (SELECT o_orderkey AS call_id, CASE WHEN o_orderkey % 3 = 0 THEN 'confirmed' ELSE 'unknown' END AS status, o_orderkey % 2 = 0 AS cal, o_orderkey % 5 = 0 AS hint FROM orders)
-SELECT call_id, CASE WHEN cal AND status = 'unknown' THEN 0.5 ELSE 0.0 END AS calendar_score, CASE WHEN hint THEN 0.7 ELSE 0.0 END AS hint_score, concat_ws(',', CASE WHEN cal AND status = 'unknown' THEN 'Runa:calendar_attendee,Bela:calendar_attendee' END, CASE WHEN hint THEN 'Quinn:transcript_self_intro' END) AS names FROM r""")
+SELECT call_id, CASE WHEN cal AND status = 'unknown' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS calendar_score, CASE WHEN hint THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS hint_score, concat_ws(',', CASE WHEN cal AND status = 'unknown' THEN 'Runa:calendar_attendee,Bela:calendar_attendee' END, CASE WHEN hint THEN 'Quinn:transcript_self_intro' END) AS names FROM r""")
 def name_stages(spark, sf_dir):
     calls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), F.lit("S0").alias("local_label"), F.when(F.col("o_orderkey") % 3 == 0, "confirmed").otherwise("unknown").alias("status"))
     people = calls.filter("call_id % 2 = 0").select("call_id", F.posexplode(F.array(F.lit("Runa"), F.lit("Bela"))).alias("pos", "name"), F.lit(0.5).alias("score"))
