@@ -61,6 +61,10 @@ def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.diff(np.concatenate([new, [len(values)]]))
 
 
+#: Bytes of texts whose n-grams are held at once.
+SLICE = 1 << 19
+
+
 def gram_counts(training: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n) over all training texts; each task sums its slices before the shuffle."""
 
@@ -68,7 +72,7 @@ def gram_counts(training: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for first, texts in slices(x.as_py() for x in batch.column(0)):
+            for first, texts in slices((x.as_py() for x in batch.column(0)), SLICE):
                 found: dict[str, list[np.ndarray]] = {}
                 for lang, text in zip(langs[first : first + len(texts)], texts, strict=True):
                     if len(codes := code_points(text)):
