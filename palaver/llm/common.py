@@ -87,3 +87,26 @@ def slices(items: Iterable[bytes | None], most: int = 2 << 20) -> Iterator[tuple
             held, first, size = [], i + 1, 0
     if held:
         yield first, held
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner", often: int = 1000) -> DataFrame:
+    """``left`` with the columns of ``right``, which has at most one row for each value of ``key``; nulls are equal.
+
+    A value that holds more than one in ``often`` of the rows of ``left`` (fewer than ``often`` values do, whatever the table) would gather its rows in one
+    task. The rows of ``right`` for such values are broadcast, so their partners stay where they are; all others meet by a shuffle.
+    ``left`` is read three times, so it should be a table that is stored.
+    """
+    rows = left.count()
+    # Fewer than ``often`` rows by the filter.
+    found = left.groupBy(key).count().filter(F.col("count") * often > rows).select(key).collect()
+    k = f"_{key}"
+    while k in {*left.columns, *right.columns}:
+        k = f"_{k}"
+    named = right.withColumnRenamed(key, k)
+    plain = lambda a, b: a.join(b, a[key].eqNullSafe(b[k]), how).drop(k)
+    if not found:
+        return plain(left, named)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, left.select(F.col(key).alias(k)).schema))
+    is_hot = lambda a, c, kind: a.join(hot, c.eqNullSafe(hot[k]), kind)
+    few = right.join(hot, right[key].eqNullSafe(hot[k]), "left_semi").withColumnRenamed(key, k)
+    return plain(is_hot(left, left[key], "left_semi"), F.broadcast(few)).unionByName(plain(is_hot(left, left[key], "left_anti"), named))
