@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import bpe, chat_format, context_mixing, decontaminate, language_id, licences, minhash, search, sharding, simhash, url_filter, vector_codes
+from palaver.llm import bpe, chat_format, context_mixing, decontaminate, language_id, licences, minhash, search, sharding, simhash, spelling, url_filter, vector_codes
 from palaver.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,11 +57,15 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_context_mixing, op2_licences, op3_bpe, op4_search, op5_chat_format, op6_url_filter, op7_sharding, op8_decontamination, op9_simhash, op10_language_id, op11_minhash, op13_vector_codes)
+    f.__name__: f for f in (op1_context_mixing, op2_licences, op3_bpe, op4_search, op5_chat_format, op6_url_filter, op7_sharding, op8_decontamination, op9_simhash, op10_language_id, op11_minhash, op12_spelling, op13_vector_codes)
 }
 ORACLES: dict[str, str] = {"op2_licences": licences.SQL, "op4_search": search.SQL, "op5_chat_format": chat_format.SQL, "op6_url_filter": url_filter.SQL, "op11_minhash": minhash.SQL, "op13_vector_codes": vector_codes.SQL}
