@@ -89,16 +89,16 @@ def slices(items: Iterable[bytes | None], most: int = 2 << 20) -> Iterator[tuple
         yield first, held
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner", often: int = 1000) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner", often: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """``left`` with the columns of ``right``, which has at most one row for each value of ``key``; nulls are equal.
 
     A value that holds more than one in ``often`` of the rows of ``left`` (fewer than ``often`` values do, whatever the table) would gather its rows in one
     task. The rows of ``right`` for such values are broadcast, so their partners stay where they are; all others meet by a shuffle.
-    ``left`` is read three times, so it should be a table that is stored.
+    ``left`` is read three times, so it should be a table that is stored. ``counts`` (key, count) are those of the rows of ``left``, if they are known.
     """
     rows = left.count()
     # Fewer than ``often`` rows by the filter.
-    found = left.groupBy(key).count().filter(F.col("count") * often > rows).select(key).collect()
+    found = (left.groupBy(key).count() if counts is None else counts).filter(F.col("count") * often > rows).select(key).collect()
     k = f"_{key}"
     while k in {*left.columns, *right.columns}:
         k = f"_{k}"

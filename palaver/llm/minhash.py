@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import fresh, join_split, settle, slices, small_batches, stored
-from palaver.llm.near_copies import perhaps, row_key, runs
+from palaver.llm.near_copies import bitmap, in_bitmap, row_key, runs
 from palaver.llm.simhash import components
 
 WORDS, PERCENT, SEED = 2, 80, 42
@@ -160,18 +160,20 @@ def prints_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 def sets_of(docs: DataFrame, id_col: str, text_col: str, owners: DataFrame, words: int) -> DataFrame:
     """(node, s): the whole sets of the nodes, each read from the row that owns it."""
 
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(owners.select(F.xxhash64("none", "id", "mark").alias("key"))))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            for _, texts in slices(x.as_py() for x in batch.column(0)):
+            few = batch.column(0).filter(pa.array(in_bitmap(held.value, batch.column(1).to_numpy())))
+            for _, texts in slices(x.as_py() for x in few):
                 found = [shingle_set(t, known, words).tobytes() for t in texts]
                 nodes = np.array([xxhash.xxh64_intdigest(f, SEED) for f in found], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.binary())], ["node", "s"])
 
     none, mark = row_key(id_col, text_col)
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.xxhash64(none, F.col(id_col), mark).alias("key"))
-    few = rows.filter(perhaps(owners.select(F.xxhash64("none", "id", "mark").alias("key")), F.col("key")))
-    found = few.select("text").mapInArrow(read, "node bigint, s binary")
+    found = rows.mapInArrow(read, "node bigint, s binary")
     return stored(found.join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -271,8 +273,8 @@ def cross_pairs(shared: DataFrame, leads: DataFrame, roots: DataFrame, nodes: Da
 def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes, all verified, whose components are those of all links."""
     keys = nodes.select("node", F.explode("keys").alias("key"))
-    groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lead")).filter("c > 1").select("key", "lead")
-    shared = stored(join_split(keys, groups, "key"), "shared")
+    groups = stored(keys.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("lead")).filter(F.col("count") > 1), "groups")
+    shared = stored(join_split(keys, groups.select("key", "lead"), "key", counts=groups), "shared")
     owner = nodes.select("node", "best.*")
 
     def confirm(pairs: DataFrame) -> DataFrame:

@@ -165,20 +165,30 @@ def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a bigint, b bigint"))
 
 
-def perhaps(needed: DataFrame, key: Column) -> Column:
-    """False only where ``key``, a hash, is none of those in ``needed``; a bitmap of fixed size, so that most rows are left out before a shuffle."""
+def bitmap(needed: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the hashes ``key`` in ``needed``."""
     found = needed.select(F.pmod("key", F.lit(BITMAP)).alias("at")).distinct().toArrow()
     bits = np.zeros(BITMAP, bool)
     bits[found.column("at").to_numpy()] = True
-    held = needed.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return np.packbits(bits)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False only for hashes that are none of those in the bitmap."""
+    at = hashes & (BITMAP - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def perhaps(needed: DataFrame, key: Column) -> Column:
+    """``in_bitmap`` as a column, so that most rows are left out before a shuffle."""
+    held = needed.sparkSession.sparkContext.broadcast(bitmap(needed))
 
     @F.arrow_udf("boolean")
     def among(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for h in hashes:
-            at = h.to_numpy(zero_copy_only=False)
-            yield pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+            yield pa.array(in_bitmap(held.value, h.to_numpy(zero_copy_only=False)))
 
-    return among(F.pmod(key, F.lit(BITMAP)))
+    return among(key)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, owners: DataFrame, words: int, least: float) -> DataFrame:
