@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.scalars import ngrams, strip, tokens
+from palaver.operators.scan import BLOCK, chain, first_reaching, running
+from palaver.storage import settled
 
 
 def in_call(order: str = "pos"):
@@ -45,38 +46,60 @@ def fixed_splits(segments: DataFrame, seconds: float) -> DataFrame:
     return extent.filter(steps >= 1).select("call_id", F.explode(F.transform(F.sequence(F.lit(1), steps), lambda i: F.col("a") + i * seconds)).alias("split"))
 
 
+def next_chunks(line: DataFrame, splits: DataFrame, target: float, max_chars: int) -> DataFrame:
+    """(call_id, at, to): for each segment ``at`` the segment before which the chunk that begins with it is cut.
+
+    line: (call_id, pos, a, e, n, row, chars, top_a, top_e, first, last, paused) with running rows and characters and running maxima of the times; splits: (call_id, split).
+    A segment is cut off if the characters would be too many, or if it ends ``target`` seconds after the chunk's start and a split lies between that start and its own.
+    """
+    look = lambda v, to, x, **how: first_reaching(line.select("call_id", F.col(v).alias("v"), to.alias("to")), x, "call_id", **how)
+    here = lambda x: line.select("call_id", F.col("pos").alias("q"), x.alias("x"))
+    joined = lambda df, found, name: df.join(found.select("call_id", F.col("q").alias("pos"), F.col("to").alias(name)), ["call_id", "pos"], "left")
+    fitting = line.filter(F.col("n") <= max_chars).select("call_id", F.col("pos").alias("q"), (F.col("chars") - F.col("n") + max_chars).alias("x"))
+    by_chars = look("chars", F.col("pos"), fitting, width=float(max(1, max_chars)), strict=True)
+    # A segment that is too long by itself is a chunk.
+    by_size = look("row", F.col("pos"), line.filter(F.col("n") > max_chars).select("call_id", F.col("pos").alias("q"), F.col("row").alias("x")), width=float(BLOCK), strict=True)
+    pause = first_reaching(splits.select("call_id", F.col("split").alias("v"), F.col("split").alias("to")), here(F.col("a")), "call_id", target, strict=True)
+    # Calls without a pause are split at multiples of the target.
+    multiple = lambda k: F.col("first") + target * (F.floor((F.col("a") - F.col("first")) / target) + k)
+    fixed = F.when(multiple(1) > F.col("a"), multiple(1)).otherwise(multiple(2))
+    split = F.when(F.col("paused"), F.col("_s")).when(fixed < F.col("last"), fixed)
+    asked = settled(joined(line, pause, "_s").select("call_id", "pos", (F.col("a") + target).alias("due"), split.alias("split")).filter("split IS NOT NULL"))
+    ask = lambda name: asked.select("call_id", F.col("pos").alias("q"), F.col(name).alias("x"))
+    begins = look("top_a", F.struct("pos", "e"), ask("split"), width=target)
+    ends = look("top_e", F.col("pos"), ask("due"), width=target)
+    timed = settled(joined(joined(asked, begins, "_j"), ends, "_k").filter("_j IS NOT NULL AND _k IS NOT NULL"))
+    # The first segment that ends late enough may come before the first behind the split. Where that one then ends too early, later ones are tried; one that begins when it is due is late enough.
+    plain = F.when(F.col("_k") >= F.col("_j.pos"), F.col("_k")).when(F.col("_j.e") >= F.col("due"), F.col("_j.pos"))
+    rest = timed.filter(plain.isNull())
+    bins = F.sequence(F.floor(F.col("split") / target), F.floor(F.col("due") / target))
+    tried = rest.withColumn("_b", F.explode(bins)).join(line.select("call_id", F.col("pos").alias("_p"), F.col("e").alias("_e"), F.floor(F.col("top_a") / target).alias("_b")), ["call_id", "_b"])
+    near = tried.filter("_p > _j.pos AND _e >= due").groupBy("call_id", F.col("pos").alias("q")).agg(F.min("_p").alias("to"))
+    late = look("top_a", F.col("pos"), rest.select("call_id", F.col("pos").alias("q"), F.col("due").alias("x")), width=target)
+    by_time = joined(joined(timed, near, "_n"), late, "_l").select("call_id", F.col("pos").alias("q"), F.coalesce(plain, "_n", "_l").alias("to"))
+    both = joined(joined(line.select("call_id", "pos"), by_chars.unionByName(by_size), "_c"), by_time, "_t")
+    return both.select("call_id", F.col("pos").alias("at"), F.least("_c", "_t").alias("to")).filter("to IS NOT NULL")
+
+
 def chunk_ids(segments: DataFrame, target_minutes: float = 10.0, max_chars: int = 80_000, min_pause: float = 3.0) -> DataFrame:
-    """``segments`` with the chunk each falls into.
+    """``segments`` with the chunk each falls into. A call is one chunk if it is short in time and characters.
 
-    The latest possible split before each segment is known from windows; what remains is a fold over the segments of one
-    call, whose state (start and characters of the open chunk) no window can carry.
+    Where the next chunk would begin is worked out for every segment, as if a chunk began with it; the chunks are then the chain of these
+    pointers from the first segment on. Nothing runs over a call as a group: sums, maxima and look-ups work in blocks, the chain by doubling.
+    A segment is taken to start no earlier than those before it, and to end no earlier than it starts.
     """
-    schema = segments.schema.simpleString()[len("struct<") : -1]
     target = target_minutes * 60
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable").reset_index(drop=True)
-        starts, ends = rows["start"].fillna(0.0).to_numpy(), rows["end"].fillna(0.0).to_numpy()
-        sizes = rows["text"].fillna("").str.len().to_numpy()
-        if ends[-1] - starts[0] < 1.5 * target and sizes.sum() < max_chars:
-            return rows.assign(chunk_id=0)
-        gaps = [(ends[i] + starts[i + 1]) / 2 for i in range(len(rows) - 1) if starts[i + 1] - ends[i] >= min_pause]
-        splits = gaps
-        if not gaps:
-            splits, t = [], starts[0] + target
-            while t < ends[-1]:
-                splits.append(t)
-                t += target
-        ids, chunk, opened, chars, filled = [], 0, starts[0], 0, 0
-        for start, end, size in zip(starts, ends, sizes, strict=True):
-            due = end - opened >= target and any(opened < s <= start for s in splits)
-            if filled and (due or chars + size > max_chars):
-                chunk, opened, chars, filled = chunk + 1, start, 0, 0
-            ids.append(chunk)
-            chars, filled = chars + size, filled + 1
-        return rows.assign(chunk_id=ids)
-
-    return segments.groupBy("call_id").applyInPandas(fold, f"{schema}, chunk_id int")
+    base = segments.select("call_id", "pos", F.coalesce("start", F.lit(0.0)).alias("a"), F.coalesce("end", F.lit(0.0)).alias("e"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n"))
+    calls = base.groupBy("call_id").agg(F.min_by("a", "pos").alias("first"), F.max_by("e", "pos").alias("last"), F.sum("n").alias("total"), F.min("pos").alias("at"))
+    calls = calls.filter((F.col("last") - F.col("first") >= 1.5 * target) | (F.col("total") >= max_chars))
+    line = running(base.join(calls.select("call_id"), "call_id", "left_semi"), "call_id", "pos", sums={"row": F.lit(1), "chars": F.col("n")}, maxima={"top_a": F.col("a"), "top_e": F.col("e")}, before={"_before": F.col("e")})
+    line = settled(line.withColumn("split", F.when(F.col("a") - F.col("_before") >= min_pause, (F.col("a") + F.col("_before")) / 2)).drop("_before"))
+    paused = line.filter("split IS NOT NULL").select("call_id", "split")
+    known = settled(calls.join(paused.select("call_id", F.lit(True).alias("paused")).distinct(), "call_id", "left").withColumn("paused", F.coalesce("paused", F.lit(False))))
+    line = settled(line.drop("split").join(known.select("call_id", "first", "last", "paused"), "call_id"))
+    starts = chain(settled(next_chunks(line, paused, target, max_chars)), known.select("call_id", "at"), "call_id")
+    marked = segments.join(starts.select("call_id", F.col("at").alias("pos"), F.col("hop").alias("_hop")), ["call_id", "pos"], "left").select(*segments.columns, F.coalesce("_hop", F.lit(0)).alias("_hop"))
+    return running(marked, "call_id", "pos", maxima={"chunk_id": F.col("_hop")}).withColumn("chunk_id", F.col("chunk_id").cast("int")).drop("_hop")
 
 
 def chunks(segments: DataFrame, **limits) -> DataFrame:

@@ -116,17 +116,35 @@ def fixed_splits(spark, sf_dir):
     return S.fixed_splits(intervals(spark, sf_dir), 86400.0).withColumn("split", (F.floor(F.col("split") * 1000) / 1000))
 
 
-@query("chunk_transcript", """WITH RECURSIVE l AS (SELECT conv_id AS call_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, length(text) AS n FROM conversations),
-t AS (SELECT call_id, sum(n) AS total FROM l GROUP BY 1),
-f AS (SELECT l.call_id, i, turn, n, CAST(0 AS INTEGER) AS chunk, n AS chars, total FROM l JOIN t ON l.call_id = t.call_id WHERE i = 1
-UNION ALL SELECT l.call_id, l.i, l.turn, l.n, CASE WHEN total >= 1000 AND f.chars + l.n > 1000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN total >= 1000 AND f.chars + l.n > 1000 THEN l.n ELSE f.chars + l.n END, total
-FROM f JOIN l ON l.call_id = f.call_id AND l.i = f.i + 1)
-SELECT call_id, chunk AS chunk_id, CAST(min(turn) AS BIGINT) AS first_pos, CAST(sum(n) AS BIGINT) AS char_count, count(*) AS segments FROM f GROUP BY 1, 2""")
-def chunk_transcript(spark, sf_dir):
-    found = S.chunks(timed_chats(spark, sf_dir), target_minutes=1e6, max_chars=1000)
+def _chunk_sql(target: float, splits: str) -> str:
+    """Chunks of timed chats, turn by turn."""
+    return f"""WITH RECURSIVE {CHATS}, l AS (SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY pos) AS i, pos, length(coalesce(text, '')) AS n, coalesce(s0, 0) AS a, coalesce(s1, 0) AS e FROM ch),
+g AS (SELECT call_id, sum(n) AS total, arg_min(a, i) AS a0, arg_max(e, i) AS e1 FROM l GROUP BY 1), lg AS (SELECT *, lag(e) OVER (PARTITION BY call_id ORDER BY i) AS b FROM l),
+pause AS (SELECT call_id, list((a + b) / 2) AS sp FROM lg WHERE a - b >= 3 GROUP BY 1),
+t AS (SELECT g.call_id, e1 - a0 >= {1.5 * target} OR total >= 1000 AS long, {splits} AS sp FROM g LEFT JOIN pause ON g.call_id = pause.call_id),
+f AS (SELECT l.call_id, i, pos, n, CAST(0 AS INTEGER) AS chunk, n AS chars, a AS opened, long, sp FROM l JOIN t ON l.call_id = t.call_id WHERE i = 1
+UNION ALL SELECT call_id, i, pos, n, CASE WHEN cut THEN chunk + 1 ELSE chunk END, CASE WHEN cut THEN n ELSE chars + n END, CASE WHEN cut THEN a ELSE opened END, long, sp
+FROM (SELECT l.*, f.chunk, f.chars, f.opened, f.long, f.sp, f.long AND (f.chars + l.n > 1000 OR (l.e - f.opened >= {target} AND len(list_filter(f.sp, lambda x: x > f.opened AND x <= l.a)) > 0)) AS cut FROM f JOIN l ON l.call_id = f.call_id AND l.i = f.i + 1))
+SELECT call_id, chunk AS chunk_id, CAST(min(pos) AS BIGINT) AS first_pos, CAST(sum(n) AS BIGINT) AS char_count, count(*) AS segments FROM f GROUP BY 1, 2"""
+
+
+def _chunked(spark, sf_dir, **limits):
+    found = S.chunks(timed_chats(spark, sf_dir), max_chars=1000, **limits)
     return found.select("call_id", "chunk_id", F.col("first_pos").cast("bigint").alias("first_pos"), "char_count", "segments")
 
 
+@query("chunk_transcript", _chunk_sql(60.0, "coalesce(sp, [])"))
+def chunk_transcript(spark, sf_dir):
+    """Cut by characters, and by time at the pauses between turns."""
+    return _chunked(spark, sf_dir, target_minutes=1.0)
+
+
+@query("chunk_fixed", _chunk_sql(75.0, "list_transform(range(1, 1 + CAST(ceil(greatest(e1 - a0, 0) / 75) AS BIGINT)), lambda k: a0 + 75 * k)"))
+def chunk_fixed(spark, sf_dir):
+    """Calls without any pause long enough: by time at multiples of the target."""
+    return _chunked(spark, sf_dir, target_minutes=1.25, min_pause=1e9)
+
+
 @query("turn_sections", f"""WITH {EVENTS}, g AS (SELECT *, lag(speaker) OVER (PARTITION BY call_id ORDER BY s0) AS b FROM ev)
 SELECT call_id, pos, speaker, CAST(sum(CASE WHEN b IS NULL OR b <> speaker THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY s0) AS BIGINT) AS section FROM g""")
 def turn_sections(spark, sf_dir):
