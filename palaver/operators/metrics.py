@@ -128,41 +128,58 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25) -> DataFrame:
+def merged_turns(turns: DataFrame, width: float) -> DataFrame:
+    """Turns (call_id, side, speaker, a, b) cut at borders of bins, with ``_bin``; those of one speaker that overlap or touch in a bin are one."""
+    bins = F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))
+    cut = turns.withColumn("_bin", F.explode(bins)).withColumns({"a": F.greatest("a", F.col("_bin") * width), "b": F.least("b", (F.col("_bin") + 1) * width)}).filter("b > a")
+    w = Window.partitionBy("call_id", "_bin", "side", "speaker").orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = cut.withColumn("_new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy("call_id", "_bin", "side", "speaker", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
+
+
+def mapped_seconds(batches):
+    """(call_id, right) of rows (call_id, h, r, s): the seconds in which the labels agree under the one-to-one mapping for which that is most."""
+    for batch in batches:
+        right = []
+        for h, r, s in zip(batch["h"], batch["r"], batch["s"], strict=True):
+            (_, i), (_, j) = (np.unique(np.asarray(x, str), return_inverse=True) for x in (h, r))
+            gain = np.zeros((i.max() + 1, j.max() + 1))
+            gain[i, j] = s
+            right.append(float(sum(gain[pair] for pair in best_assignment(gain))))
+        yield pd.DataFrame({"call_id": batch["call_id"], "right": right})
+
+
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float = 0.25, width: float = 60.0) -> DataFrame:
     """(call_id, missed, false_alarm, confusion, total, der): error against reference turns, without a collar around their borders.
 
-    Timelines of both sides are cut at all borders; the labels are mapped one-to-one so that most time agrees, whatever their number.
+    A sweep in every (call, bin of ``width`` seconds): between two marks (a turn or a collar begins or ends) the numbers of speakers are fixed, and their spans add up. The scored seconds up to each mark
+    turn the time that two turns share into a difference of two numbers, and so give the matrix of hypothesis by reference labels; bins add up, so a long call is many tasks.
+    Only that matrix, labels by labels, is one row for a call; the mapping of labels is the best one, whatever their number. Turns without a time or speaker, or of no length, do not count.
     """
-    both = reference.select("call_id", "start", "end", "speaker", F.lit(True).alias("ref")).unionByName(hypothesis.select("call_id", "start", "end", "speaker", F.lit(False).alias("ref")))
-    kind = reference.schema["call_id"].dataType.simpleString()
-
-    def presence(rows: pd.DataFrame, cuts: np.ndarray) -> tuple[list, np.ndarray]:
-        """Speakers, and for each whether one speaks in the spans between the cuts."""
-        names, which = np.unique(rows["speaker"].to_numpy(str), return_inverse=True)
-        change = np.zeros((len(names), len(cuts)), np.int64)
-        np.add.at(change, (which, np.searchsorted(cuts, rows["start"])), 1)
-        np.add.at(change, (which, np.searchsorted(cuts, rows["end"])), -1)
-        return names.tolist(), np.cumsum(change, axis=1)[:, :-1] > 0
-
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows.dropna(subset=["start", "end", "speaker"])
-        known = known[known["end"] > known["start"]]
-        ref, hyp = known[known["ref"]], known[~known["ref"]]
-        borders = np.unique(np.concatenate([ref["start"], ref["end"]]))
-        cuts = np.unique(np.concatenate([known["start"], known["end"], borders - collar, borders + collar]))
-        span, mid = np.diff(cuts), (cuts[1:] + cuts[:-1]) / 2
-        if len(borders):
-            at = np.searchsorted(borders, mid)
-            near = np.minimum(np.abs(mid - borders[np.maximum(at - 1, 0)]), np.abs(mid - borders[np.minimum(at, len(borders) - 1)]))
-            span = np.where(near < collar, 0.0, span)
-        missed = alarm = confused = total = 0.0
-        if len(span):
-            (_, r), (_, h) = presence(ref, cuts), presence(hyp, cuts)
-            pairs = best_assignment((h * span) @ r.T.astype(float)) if len(r) and len(h) else []
-            right = sum((h[i] & r[j] for i, j in pairs), np.zeros(len(span), np.int64))
-            nr, nh = r.sum(axis=0), h.sum(axis=0)
-            total, missed, alarm = float(span @ nr), float(span @ np.maximum(0, nr - nh)), float(span @ np.maximum(0, nh - nr))
-            confused = float(span @ (np.minimum(nr, nh) - right))
-        return pd.DataFrame([(rows["call_id"].iloc[0], missed, alarm, confused, total, (missed + alarm + confused) / total if total else 0.0)], columns=["call_id", "missed", "false_alarm", "confusion", "total", "der"])
-
-    return both.groupBy("call_id").applyInPandas(judge, f"call_id {kind}, missed double, false_alarm double, confusion double, total double, der double")
+    side = lambda df, name: df.select("call_id", F.lit(name).alias("side"), F.col("speaker").cast("string").alias("speaker"), F.col("start").cast("double").alias("a"), F.col("end").cast("double").alias("b"))
+    both = side(reference, "r").unionByName(side(hypothesis, "h"))
+    turns = both.filter(F.col("speaker").isNotNull() & (F.col("b") > F.col("a")))
+    pieces = merged_turns(turns, width)
+    borders = turns.filter("side = 'r'").select("call_id", F.explode(F.array("a", "b")).alias("t")).distinct()
+    collars = borders.select("call_id", F.lit("c").alias("side"), F.lit("").alias("speaker"), (F.col("t") - collar).alias("a"), (F.col("t") + collar).alias("b")).filter("b > a")
+    swept = pieces.unionByName(merged_turns(collars, width))
+    at = swept.select("call_id", "_bin", "side", F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))).alias("e")).select("call_id", "_bin", "side", "e.*")
+    marks = at.groupBy("call_id", "_bin", "t").agg(*[F.sum(F.when(F.col("side") == s, F.col("d")).otherwise(0)).alias(s) for s in "rhc"])
+    w = Window.partitionBy("call_id", "_bin").orderBy("t")
+    sofar = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = marks.select("call_id", "_bin", "t", *[F.sum(s).over(sofar).alias(s) for s in "rhc"], F.coalesce(F.lead("t").over(w) - F.col("t"), F.lit(0.0)).alias("span"))
+    scored = levels.withColumn("span", F.when(F.col("c") == 0, F.col("span")).otherwise(0.0)).withColumn("upto", F.sum("span").over(sofar) - F.col("span"))
+    r, h, span = F.col("r"), F.col("h"), F.col("span")
+    sums = scored.groupBy("call_id").agg(F.sum(span * r).alias("total"), F.sum(span * F.greatest(F.lit(0), r - h)).alias("missed"), F.sum(span * F.greatest(F.lit(0), h - r)).alias("false_alarm"), F.sum(span * F.least(r, h)).alias("both"))
+    upto = lambda t, name: scored.select("call_id", "_bin", F.col("t").alias(t), F.col("upto").alias(name))
+    placed = pieces.join(upto("a", "_x"), ["call_id", "_bin", "a"]).join(upto("b", "_y"), ["call_id", "_bin", "b"]).filter("_y > _x")
+    of = lambda s: placed.filter(F.col("side") == s).select("call_id", "_bin", F.col("speaker").alias(s), F.col("_x").alias(f"{s}x"), F.col("_y").alias(f"{s}y"))
+    shared = F.least("hy", "ry") - F.greatest("hx", "rx")
+    matrix = of("h").join(of("r"), ["call_id", "_bin"]).filter(shared > 0).groupBy("call_id", "h", "r").agg(F.sum(shared).alias("s"))
+    listed = matrix.groupBy("call_id").agg(F.collect_list(F.struct("h", "r", "s")).alias("m")).select("call_id", *[F.col(f"m.{c}").alias(c) for c in "hrs"])
+    right = listed.mapInPandas(mapped_seconds, f"call_id {both.schema['call_id'].dataType.simpleString()}, right double")
+    found = both.select("call_id").distinct().join(sums, "call_id", "left").join(right, "call_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    parts = found.select("call_id", zero("missed").alias("missed"), zero("false_alarm").alias("false_alarm"), F.greatest(F.lit(0.0), zero(F.col("both")) - zero(F.col("right"))).alias("confusion"), zero("total").alias("total"))
+    return parts.withColumn("der", F.when(F.col("total") > 0, (F.col("missed") + F.col("false_alarm") + F.col("confusion")) / F.col("total")).otherwise(0.0))
