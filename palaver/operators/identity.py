@@ -10,37 +10,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.functions.scalars import BANDS, band, cosine, display_name, review_priority, review_reason, stable_id, status_rank
+from palaver.functions.scalars import BANDS, band, display_name, review_priority, review_reason, stable_id, status_rank
+from palaver.operators.nearest import nearest, units, vector_norm, within
+from palaver.storage import settled
 
-#: Bytes of candidate vectors that are broadcast; beyond, both sides are dealt in blocks.
-BROADCAST_BYTES = 64 << 20
 STATUS = ("unknown", "candidate", "probable", "confirmed")
 
 
-def best_match(queries: DataFrame, candidates: DataFrame, threshold: float = 0.7, blocks: int = 16) -> DataFrame:
+def best_match(queries: DataFrame, candidates: DataFrame, threshold: float = 0.7, observed: list | None = None) -> DataFrame:
     """(query_id, match_id, score): the candidate of the largest cosine, the first by pos among equals; no match below the threshold, the score stays.
 
-    queries: (query_id, embedding); candidates: (candidate_id, pos, embedding). Candidates are the dimension side. They are sent to every task
-    while their size allows it; a larger set is cut into blocks by position, each joined by its number and reduced to one row per query before the final maximum.
+    queries: (query_id, embedding); candidates: (candidate_id, pos, embedding). The search is exact and opens only candidates near enough (see ``nearest``); ``observed`` gets the numbers of pairs scored.
+    Vectors that are null, without length or of different lengths have the score 0.
     """
-    size = candidates.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
-    named = candidates.select("candidate_id", "pos", F.col("embedding").alias("_c"), F.pmod(F.xxhash64("candidate_id"), F.lit(1 if size <= BROADCAST_BYTES else blocks)).alias("_b"))
-    parts = 1 if size <= BROADCAST_BYTES else blocks
-    asked = queries.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    pairs = asked.join(F.broadcast(named) if parts == 1 else named, "_b")
-    scored = pairs.select("query_id", F.struct((-F.round(cosine(F.col("embedding"), F.col("_c")), 9)).alias("less"), F.col("pos").alias("first"), F.col("candidate_id").alias("id")).alias("m"))
-    best = scored.groupBy("query_id").agg(F.min("m").alias("m")).withColumn("m", F.struct((-F.col("m.less")).alias("score"), F.col("m.id").alias("id")))
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.when(F.col("m.score") >= threshold, F.col("m.id")).alias("match_id"), F.coalesce("m.score", F.lit(0.0)).alias("score"))
-
-
-def all_scores(vectors: DataFrame, known: DataFrame, least: float, blocks: int = 16) -> DataFrame:
-    """(call_id, label, name, score) of every vector (call_id, label, embedding) with every known one (name, embedding) from the cosine ``least`` on.
-
-    The known vectors are dealt to blocks and each vector is asked in every block, so no task holds all of either side.
+    known, asked = units(candidates.select(F.col("candidate_id").alias("id"), "pos", "embedding")), units(queries.select(F.col("query_id").alias("q"), "embedding"))
+    near = nearest(asked, known, observed).select(F.col("q").alias("query_id"), F.struct((-F.col("score")).alias("less"), "pos", "id").alias("m"))
+    # Candidates that have no angle with a query score 0: the first one of all, or the first one of another length than the query's.
+    dims = candidates.select(F.struct("pos", F.col("candidate_id").alias("id")).alias("c"), F.when(F.coalesce(vector_norm(F.col("embedding")), F.lit(0.0)) > 0, F.size("embedding")).otherwise(-1).alias("d"))
+    firsts = dims.groupBy("d").agg(F.min("c").alias("c")).orderBy("c").limit(2).agg(F.sort_array(F.collect_list(F.struct("c", "d"))).alias("f"))  # one row
+    own = F.when(F.coalesce(vector_norm(F.col("embedding")), F.lit(0.0)) > 0, F.size("embedding")).otherwise(-2)
+    other = F.when(F.get("f", F.lit(0))["d"] != own, F.get("f", F.lit(0))["c"]).otherwise(F.get("f", F.lit(1))["c"])
+    zero = queries.select("query_id", "embedding").join(F.broadcast(firsts)).select("query_id", other.alias("c")).filter("c IS NOT NULL")
+    zero = zero.select("query_id", F.struct(F.lit(0.0).alias("less"), F.col("c.pos").alias("pos"), F.col("c.id").alias("id")).alias("m"))
+    best = near.unionByName(zero).groupBy("query_id").agg(F.min("m").alias("m"))
+    # Adding 0 turns a score of minus zero into zero.
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.when(-F.col("m.less") >= threshold, F.col("m.id")).alias("match_id"), F.coalesce(-F.col("m.less") + 0.0, F.lit(0.0)).alias("score"))
+
+
+def all_scores(vectors: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(call_id, label, name, score) of every vector (call_id, label, embedding) with every known one (name, embedding) from the cosine ``least`` on, which must be above 0.
+
+    Known vectors that can't be near enough are not compared (see ``nearest``), and only pairs that are become rows.
     """
-    dealt = known.select("name", F.col("embedding").alias("_c"), F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("_b"))
-    asked = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    return asked.join(dealt, "_b").select("call_id", "label", "name", F.round(cosine(F.col("embedding"), F.col("_c")), 9).alias("score")).filter(F.col("score") >= least)
+    names = units(known.select(F.col("name").alias("id"), F.lit(0).alias("pos"), "embedding"))
+    return within(units(vectors.select("call_id", "label", "embedding")), names, ["call_id", "label"], least).select("call_id", "label", F.col("id").alias("name"), "score")
 
 
 def centroids(vectors: DataFrame, key: str = "label") -> DataFrame:
@@ -56,33 +59,41 @@ def add_sample(centroid: Column, samples: Column, vector: Column) -> Column:
 
 
 def greedy_assignment(scores: DataFrame, threshold: float) -> DataFrame:
-    """(call_id, label, name, score): one-to-one pairs of each call by descending score, down to the threshold.
+    """(call_id, label, name, score): one-to-one pairs of each call by descending score (ties by label, then name), down to the threshold.
 
-    scores: (call_id, label, name, score). A call has a handful of labels and names; each call is one group.
+    In each round the pairs that come first for both their label and their name are taken, and all that share either with them go. These are the pairs that going through
+    all of them in order would take, so the result is the same, but every round is a few aggregations over all calls at once. Rows without a label or name are left out.
     """
-    kind = scores.schema["call_id"].dataType.simpleString()
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["score"] >= threshold].sort_values(["score", "label", "name"], ascending=[False, True, True], kind="stable")
-        labels, names, keep = set(), set(), []
-        for i, label, name in zip(rows.index, rows["label"], rows["name"], strict=True):
-            if label not in labels and name not in names:
-                labels.add(label)
-                names.add(name)
-                keep.append(i)
-        return rows.loc[keep]
-
-    narrow = scores.select("call_id", F.col("label").cast("string").alias("label"), F.col("name").cast("string").alias("name"), F.col("score").cast("double").alias("score"))
-    return narrow.filter(F.col("score") >= threshold).groupBy("call_id").applyInPandas(assign, f"call_id {kind}, label string, name string, score double")
+    left = scores.select("call_id", F.col("label").cast("string").alias("label"), F.col("name").cast("string").alias("name"), F.col("score").cast("double").alias("score")).filter((F.col("score") >= threshold) & F.col("label").isNotNull() & F.col("name").isNotNull())
+    left, taken = settled(left.groupBy("call_id", "label", "name").agg(F.max("score").alias("score"))), []
+    while True:
+        first = F.min(F.struct((-F.col("score")).alias("less"), "label", "name")).alias("m")
+        of_label, of_name = (left.groupBy("call_id", k).agg(first).select("call_id", "m.*") for k in ("label", "name"))
+        keep = settled(of_label.join(of_name.select("call_id", "label", "name"), ["call_id", "label", "name"]).select("call_id", "label", "name", (-F.col("less")).alias("score")))
+        if keep.isEmpty():
+            break
+        taken.append(keep)
+        left = settled(left.join(keep, ["call_id", "label"], "left_anti").join(keep, ["call_id", "name"], "left_anti"))
+    found = left.limit(0) if not taken else taken[0]
+    for keep in taken[1:]:
+        found = found.unionByName(keep)
+    return found
 
 
 def final_targets(identities: DataFrame, merges: DataFrame) -> DataFrame:
-    """(_s, _t): merges between known clusters, with chains a -> b -> c followed to their end. A merge with itself is an error, and so is a circle (recursion ends at its limit)."""
+    """(_s, _t): merges between known clusters, with chains a -> b -> c of any length followed to their end by doubling pointers. A merge with itself is an error, and so is a circle."""
     ids = identities.select("speaker_cluster_id")
     pairs = merges.select(F.col("source").alias("_s"), F.when(F.col("source") == F.col("target"), F.raise_error(F.lit("a cluster can't be merged with itself"))).otherwise(F.col("target")).alias("_t"))
     pairs = pairs.join(ids.withColumnRenamed("speaker_cluster_id", "_s"), "_s", "left_semi").join(ids.withColumnRenamed("speaker_cluster_id", "_t"), "_t", "left_semi").groupBy("_s").agg(F.min("_t").alias("_t"))
-    chains = "WITH RECURSIVE w(_s, _t) AS (SELECT _s, _t FROM {pairs} UNION ALL SELECT w._s, p._t FROM w JOIN {pairs} p ON p._s = w._t) SELECT _s, _t FROM w"
-    return identities.sparkSession.sql(chains, pairs=pairs).join(pairs.select(F.col("_s").alias("_t")), "_t", "left_anti").select("_s", "_t")
+    now = settled(pairs)
+    rounds = now.count().bit_length()  # no chain is longer than the number of merges
+    for _ in range(rounds + 1):
+        further = now.select(F.col("_s").alias("_t"), F.col("_t").alias("_u"))
+        after = settled(now.join(further, "_t", "left").select("_s", F.coalesce("_u", "_t").alias("_t"), F.col("_u").isNotNull().alias("_moved")))
+        now = after.select("_s", "_t")
+        if after.filter("_moved").isEmpty():
+            return now
+    raise ValueError("merges go in a circle")
 
 
 def merge_clusters(identities: DataFrame, merges: DataFrame, updated_at: str | None = None) -> DataFrame:
