@@ -15,21 +15,22 @@ from palaver.storage import settled
 BLOCK = 4096
 
 
-def running(rows: DataFrame, key: str, order: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, before: dict[str, Column] | None = None, block: float = BLOCK) -> DataFrame:
+def running(rows: DataFrame, key: str, order: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, before: dict[str, Column] | None = None, block: float = BLOCK, tie: str | None = None) -> DataFrame:
     """``rows`` with running sums and maxima up to each row, and the value of the row before it (null for the first one).
 
-    ``order`` is a number that no two rows of a key share; ``block`` is the extent of a block in it.
+    ``order`` is a number, which no two rows of a key share together with ``tie``; ``block`` is the extent of a block in it.
     """
     kinds = [(name, c, kind) for kind, some in (("sum", sums), ("max", maxima), ("before", before)) for name, c in (some or {}).items()]
     marked = rows.withColumns({"_block": F.floor(F.col(order) / block), **{name: c for name, c, _ in kinds}})
-    whole = {"sum": F.sum, "max": F.max, "before": lambda name: F.max_by(name, order)}
+    ranks = [order, tie] if tie else [order]
+    whole = {"sum": F.sum, "max": F.max, "before": lambda name: F.max_by(name, F.struct(*ranks))}
     totals = marked.groupBy(key, "_block").agg(*[whole[kind](name).alias(name) for name, _, kind in kinds])
     ahead = Window.partitionBy(key).orderBy("_block")
     upto = ahead.rowsBetween(Window.unboundedPreceding, -1)
     over = {"sum": lambda n: F.sum(n).over(upto), "max": lambda n: F.max(n).over(upto), "before": lambda n: F.lag(n).over(ahead)}
     offsets = totals.select(F.col(key).alias("_of"), F.col("_block").alias("_at"), *[over[kind](name).alias(f"_offset_{name}") for name, _, kind in kinds])
     joined = marked.join(offsets, F.col(key).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at")), "left")
-    inside = Window.partitionBy(key, "_block").orderBy(order)
+    inside = Window.partitionBy(key, "_block").orderBy(*ranks)
     sofar = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     result = {
         "sum": lambda n: F.sum(n).over(sofar) + F.coalesce(f"_offset_{n}", F.lit(0)), "max": lambda n: F.greatest(F.max(n).over(sofar), f"_offset_{n}"),

@@ -142,6 +142,21 @@ def usage_rate(log: DataFrame, key: str, seconds: float, order: str = "timestamp
     return log.withColumn("in_window", F.count("*").over(frame))
 
 
+def rate_schedule(requests: DataFrame, key: str, at: str, tie: str, most: int = 40, window: float = 60.0, margin: float = 0.1, block: float = 3600.0) -> DataFrame:
+    """``requests`` with ``granted``, the time at which a limiter of ``most`` requests in ``window`` seconds lets each pass, and ``wait``.
+
+    Requests of a key are served in order of ``at`` (ties by ``tie``). One waits until the one ``most`` places before it is ``window + margin`` seconds old:
+    granted(i) = max(at(i), granted(i - most) + window + margin). Within the places that leave the same rest, this is a running maximum of ``at`` minus so many seconds a place, so that a key
+    of any number of requests is dealt to blocks (of ``block`` seconds for the places, then of places).
+    """
+    placed = running(requests, key, at, sums={"_row": F.lit(1)}, block=block, tie=tie)
+    lap = F.floor((F.col("_row") - 1) / most)
+    placed = placed.withColumns({"_lane": F.struct(F.col(key).alias("k"), F.pmod(F.col("_row") - 1, F.lit(most)).alias("r")), "_lap": lap})
+    later = F.lit(window + margin) * F.col("_lap")
+    found = running(placed, "_lane", "_lap", maxima={"_free": F.col(at) - later})
+    return found.withColumn("granted", F.col("_free") + later).withColumn("wait", F.greatest(F.lit(0.0), F.col("granted") - F.col(at))).select(*requests.columns, "granted", "wait")
+
+
 def speaker_ranks(speakers: DataFrame, palette: int = 10) -> DataFrame:
     """``speakers`` with a colour number by sorted speaker inside the call."""
     return speakers.withColumn("colour", ((F.dense_rank().over(Window.partitionBy("call_id").orderBy("speaker")) - 1) % palette).cast("int"))

@@ -145,6 +145,16 @@ def chunk_fixed(spark, sf_dir):
     return _chunked(spark, sf_dir, target_minutes=1.25, min_pause=1e9)
 
 
+@query("rate_schedule", """WITH RECURSIVE r AS (SELECT event_type, event_id, (epoch_us(ts) - 1700000000000000) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events),
+g(event_type, event_id, i, t, granted) AS (SELECT event_type, event_id, i, t, t FROM r WHERE i < 40 UNION ALL SELECT r.event_type, r.event_id, r.i, r.t, greatest(r.t, g.granted + 54000.1) FROM g JOIN r ON r.event_type = g.event_type AND r.i = g.i + 40)
+SELECT event_type, event_id, round(granted, 6) AS granted, round(granted - t, 6) AS wait FROM g""")
+def rate_schedule(spark, sf_dir):
+    """Events as requests by type, 40 in 15 hours."""
+    asked = intervals(spark, sf_dir).select(F.col("speaker").alias("event_type"), F.col("pos").alias("event_id"), F.col("start").alias("t"))
+    found = S.rate_schedule(asked, "event_type", "t", "event_id", window=54000.0, block=86400.0)
+    return found.select("event_type", "event_id", F.round("granted", 6).alias("granted"), F.round("wait", 6).alias("wait"))
+
+
 @query("turn_sections", f"""WITH {EVENTS}, g AS (SELECT *, lag(speaker) OVER (PARTITION BY call_id ORDER BY s0) AS b FROM ev)
 SELECT call_id, pos, speaker, CAST(sum(CASE WHEN b IS NULL OR b <> speaker THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY s0) AS BIGINT) AS section FROM g""")
 def turn_sections(spark, sf_dir):

@@ -96,3 +96,16 @@ def test_chunks_are_those_of_a_fold(spark, monkeypatch, gaps, longest, limits):
 def test_chunking_needs_no_python(spark):
     plan = sequence.chunk_ids(spark.createDataFrame(calls(1, 2, [1], 3), SEG), 0.2, 100)._jdf.queryExecution().toString()
     assert "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_rate_schedule(spark):
+    rng = random.Random(8)
+    rows = [(k, float(rng.randint(0, 400)), i) for k in ("a", "b") for i in range(150)]
+    got = sequence.rate_schedule(spark.createDataFrame(rows, "k string, t double, i int"), "k", "t", "i", most=7, window=20.0, margin=0.5, block=50.0).collect()
+    for k in "ab":
+        granted = []
+        for _, t, i in sorted(r for r in rows if r[0] == k):
+            granted.append(max(t, granted[-7] + 20.5) if len(granted) >= 7 else t)
+            (r,) = [r for r in got if (r.k, r.i) == (k, i)]
+            assert abs(r.granted - granted[-1]) < 1e-6 and abs(r.wait - (granted[-1] - t)) < 1e-6
+    assert max(r.wait for r in got) > 10
