@@ -5,7 +5,7 @@ none of them with a probability of (1 - LEAST**DEPTH)**BANDS, about one in eight
 time: after each batch the posterior probability (uniform prior) that the similarity is ``LEAST`` or more follows from the matches so far, and a pair for which it is
 below ``MISS`` is left. What survives all batches is verified on the whole sets, in whole numbers, so no link is wrong.
 
-No pair is formed for its own sake. Equal sets are one node. Under each key the nodes are compared with its smallest node first, and each node's likeliest partner is verified. Then
+No pair is formed for its own sake. Equal sets are one node. Under each key the nodes are compared with its most central node first, and each node's likeliest partner is verified. Then
 only keys that still hold several components are looked at, and in them only pairs across components: first the likeliest pair of any two components, at last all
 that are left. A group of near copies costs about as many verified pairs as it has nodes. Keys of many nodes are dealt to pairs of tiles, the partners of one node to several tasks.
 
@@ -32,7 +32,7 @@ from palaver.llm.simhash import components
 WORDS, PERCENT, SEED = 2, 80, 42
 BANDS, DEPTH = 40, 5
 #: Hashes of a signature (a byte each), how many are compared at a time, and the probability at which a pair is left.
-PROOF, BATCH, MISS = 128, 32, 1e-8
+PROOF, BATCH, MISS = 256, 32, 1e-7
 #: Nodes under one key that one step compares, and partners of a node that one task verifies; more are dealt to several.
 TILE, FAN = 2048, 256
 #: Hashes of words that a task remembers, and the longest such word; shingles that meet all hash functions at once.
@@ -72,18 +72,19 @@ def shingle_set(text: bytes, known: Words, words: int = WORDS) -> np.ndarray:
 
 
 def hash_functions(n: int, seed: int = SEED) -> np.ndarray:
-    """Odd factors; a shingle's hash is its product with one, modulo 2**64."""
-    return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    """Odd factors; a shingle's hash is the product of its upper half with one, modulo 2**32."""
+    return np.random.default_rng(seed).integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minima(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """The least hash of a set by each function."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    upper = (found >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(found), BLOCK):
-        part = found[at : at + BLOCK]
+        part = upper[at : at + BLOCK]
         for k in range(0, len(factors), 32):
             np.minimum(least[k : k + 32], np.multiply.outer(factors[k : k + 32], part).min(axis=1), out=least[k : k + 32])
-    return least
+    return least.astype(np.uint64)
 
 
 def band_keys(least: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -273,18 +274,24 @@ def cross_pairs(shared: DataFrame, leads: DataFrame, roots: DataFrame, nodes: Da
 def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes, all verified, whose components are those of all links."""
     keys = nodes.select("node", F.explode("keys").alias("key"))
-    groups = stored(keys.groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("lead")).filter(F.col("count") > 1), "groups")
-    shared = stored(join_split(keys, groups.select("key", "lead"), "key", counts=groups), "shared")
+    groups = stored(keys.groupBy("key").count().filter(F.col("count") > 1), "groups")
+    met = stored(join_split(keys, groups, "key", counts=groups), "met")
+    # A key is led by the node that meets most others under all its keys: in a group of copies of one text that is the text itself, or the copy that is changed least.
+    central = met.groupBy("node").agg(F.sum(F.col("count") - 1).alias("degree"))
+    leads = met.join(central, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
+    shared = stored(join_split(met.select("key", "node"), stored(leads, "leads"), "key", counts=groups), "shared")
     owner = nodes.select("node", "best.*")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         needed = owner.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         return verified(pairs, sets_of(docs, id_col, text_col, settle(needed), words), percent)
 
-    leads = stored(shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "leads")
-    leads = likely(leads, nodes, percent)
-    tried = settle(leads.groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b"))
+    pairs = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    tried = likely(stored(pairs, "pairs"), nodes, percent)
+    leads = settle(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").distinct())
+    tried = settle(tried.groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b"))
     found = confirm(tried)
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for best in (True, False):
         more = cross_pairs(shared.select("key", "node"), leads, components(found), nodes, percent, best)
         more = settle(more.join(tried, ["a", "b"], "left_anti"))

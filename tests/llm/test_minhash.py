@@ -109,7 +109,7 @@ def test_small_and_long_texts(spark):
 
 def test_bayesian_bounds_keep_pairs_at_the_threshold():
     looks = minhash.fewest_matches()
-    assert [n for n, _ in looks] == [32, 64, 96, 128] and all(m < 0.8 * n for n, m in looks) and looks[-1][1] > 60
+    assert [n for n, _ in looks] == list(range(32, 257, 32)) and all(m < 0.8 * n for n, m in looks) and looks[-1][1] > 160
     rng = np.random.default_rng(1)
     match = rng.random((20_000, minhash.PROOF)) < 0.8
     keep, m = minhash.survivors(match.astype(np.uint8), np.ones((20_000, minhash.PROOF), np.uint8), looks)
