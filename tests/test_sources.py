@@ -167,14 +167,86 @@ def test_progress_and_streamed_results(spark, tmp_path):
     assert {e["event"] for e in events} >= {"started"}
 
 
-def test_resolver_stream_equals_batch(spark, tmp_path):
+def test_retries_wait_until_they_are_due(spark, tmp_path):
+    """Three attempts of a transient error at 0, 1 and 3 seconds and never again, without the entries being listed again."""
+    entries = spark.createDataFrame([("a", 7, "h1"), ("b", 8, "h2")], "path string, size int, hash string")
+    seen = []
+
+    def process(new):
+        kind = F.when(F.col("hash") == "h1", "TimeoutError")
+        seen.append((at, sorted(tuple(r) for r in new.select("path", "size", "hash", "attempts").collect())))
+        return new.select("path", "hash", "attempts", kind.alias("error_type"), kind.alias("error"))
+
+    for at in (0.0, 0.9, 1.0, 2.9, 3.0, 10.0, 99.0):
+        sync.run_once(entries if at == 0 else entries.limit(0), process, f"{tmp_path}/out", f"{tmp_path}/m", "draft", "1.0", at)
+    assert seen == [(0.0, [("a", 7, "h1", 0), ("b", 8, "h2", 0)]), (1.0, [("a", 7, "h1", 1)]), (3.0, [("a", 7, "h1", 2)])]
+    assert {(r.hash, r.status, r.attempts, r.due) for r in writers.read_table(spark, f"{tmp_path}/m").collect()} == {("h1", "error", 3, None), ("h2", "completed", 1, None)}
+
+
+def test_a_watch_retries_while_nothing_arrives(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("a", "h1")], "path string, hash string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("path string, hash string").parquet(f"{tmp_path}/in")
+    fails = F.when(F.col("attempts") < 1, "TimeoutError")
+    query = sync.watch(stream, lambda new: new.select("path", "hash", fails.alias("error_type"), fails.alias("error")), f"{tmp_path}/out", f"{tmp_path}/m", f"{tmp_path}/check", "draft", "1.0", time.time, seconds=1)
+    try:
+        until = time.time() + 60
+        done = lambda: [(r.status, r.attempts) for r in sync.manifest_of(spark, f"{tmp_path}/m").select("status", "attempts").collect()] if writers.exists(spark, f"{tmp_path}/m") else []
+        while done() != [("completed", 2)] and time.time() < until and query.isActive:
+            time.sleep(0.5)
+        assert done() == [("completed", 2)]
+    finally:
+        query.stop()
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_resolver_stream_equals_batch(spark, tmp_path, rocks):
+    """Calls that come in parts, over micro-batches, each after a restart."""
+    import time
+
+    rows = spark.createDataFrame(CALLS, SPEAKERS).withColumn("tenant", F.lit("t")).withColumn("ended", F.lit(False))
+    parts = rows.collect()
+    first = sorted((r for r in parts if r.call_id == "c1"), key=lambda r: r.local_label)
+    second = sorted((r for r in parts if r.call_id == "c2"), key=lambda r: r.local_label)
+    end = spark.createDataFrame([second[0]], rows.schema).withColumns({"local_label": F.lit(None).cast("string"), "ended": F.lit(True)})
+    batches = [spark.createDataFrame(x, rows.schema) for x in (first[:1], first[1:] + second[:1], second[1:])]
+    batches = [b for b in batches if not b.isEmpty()]
+    batches[-1] = batches[-1].unionByName(end)
+    for i, batch in enumerate(batches):
+        batch.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+        query = sync.resolve_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="1 second").start()
+        try:
+            until = time.time() + 90
+            while sum(p["numInputRows"] for p in query.recentProgress) < batch.count() and time.time() < until and query.isActive:
+                time.sleep(0.5)
+        finally:
+            query.stop()
+    resolved(spark.read.parquet(f"{tmp_path}/out").collect())
+
+
+def test_an_idle_call_is_closed_by_its_timer(spark, tmp_path, rocks):
+    import time
+
     rows = spark.createDataFrame(CALLS, SPEAKERS).withColumn("tenant", F.lit("t"))
-    for i, call in enumerate(("c1", "c2")):
-        rows.filter(F.col("call_id") == call).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
-    done = sync.resolve_stream(stream).writeStream.format("memory").queryName("resolved").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
-    done.awaitTermination()
-    resolved(spark.table("resolved").collect())
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    query = sync.resolve_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), idle_seconds=1.0).writeStream.format("memory").queryName("idle").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while spark.table("idle").count() < len(CALLS) and time.time() < until and query.isActive:
+            time.sleep(0.5)
+        resolved(spark.table("idle").collect())
+    finally:
+        query.stop()
 
 
 def test_live_sessions_split_at_the_exact_pause(spark):
