@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.scalars import word_count
 from palaver.operators.sequence import in_call
+from palaver.operators.summary import sentences
 
 #: Words that speak for a kind of meeting.
 KEYWORDS = {
@@ -26,15 +27,16 @@ KEYWORDS = {
 
 
 def talk_ratios(segments: DataFrame) -> DataFrame:
-    """Per speaker of a call: share of words, share of segments with a question, words, and the share of "we" in "we" and "I"."""
+    """Per speaker of a call: words and their share, words per minute of speaking, share of sentences that end with a question mark, and how often "we", "our" or "us" come for each "I", "my" or "me" (null without any of these)."""
     text = F.coalesce("text", F.lit(""))
-    count = lambda regex: F.sum(F.regexp_count(F.lower(text), F.lit(regex)))
-    mine = segments.groupBy("call_id", "speaker").agg(
-        F.sum(word_count(text)).alias("words"), F.count("*").alias("n"), F.count_if(F.contains(text, F.lit("?"))).alias("q"), count(r"\bwe\b").alias("we"), count(r"\bi\b").alias("i")
-    )
+    count = lambda words: F.sum(F.regexp_count(F.lower(text), F.lit(rf"\b({words})\b")))
+    said = sentences(text)
+    asked = F.size(F.filter(said, lambda x: F.endswith(x, F.lit("?"))))
+    mine = segments.groupBy("call_id", "speaker").agg(F.sum(word_count(text)).alias("words"), F.sum(F.size(said)).alias("n"), F.sum(asked).alias("q"), count("we|our|us").alias("we"), count("i|my|me").alias("i"), F.sum(F.col("end") - F.col("start")).alias("seconds"))
     total = F.sum("words").over(Window.partitionBy("call_id"))
+    share = lambda x, y: F.round(F.when(y > 0, x / y).otherwise(0.0), 6)
     return mine.select(
-        "call_id", "speaker", "words", F.round(F.when(total > 0, F.col("words") / total).otherwise(0.0), 6).alias("talk_ratio"), F.round(F.col("q") / F.col("n"), 6).alias("question_ratio"), F.round(F.when(F.col("we") + F.col("i") > 0, F.col("we") / (F.col("we") + F.col("i"))), 6).alias("we_ratio")
+        "call_id", "speaker", "words", share(F.col("words"), total).alias("talk_ratio"), share(60 * F.col("words"), F.col("seconds")).alias("words_per_minute"), share(F.col("q"), F.col("n")).alias("question_ratio"), F.round(F.when(F.col("i") > 0, F.col("we") / F.col("i")), 6).alias("we_ratio")
     )
 
 
@@ -87,12 +89,17 @@ def classify_meetings(segments: DataFrame, first_seconds: float = 120.0, keyword
     return best.select("call_id", F.when(F.col("b.score") > 0, F.col("b.k")).otherwise("other").alias("classification"), F.col("b.score").alias("score"))
 
 
+#: Days that a deadline may name.
+DAYS = "monday|tuesday|wednesday|thursday|friday|saturday|sunday|today|tonight|tomorrow|next week|next month|end of day|eod|end of week"
+ACTION_RULE = rf"\b(action item|todo|to do|i will|i'll|we will|we'll|need to|follow up)\b|\baction:|\b[\w.'-]+ will\b.*\bby (the )?({DAYS}|\d)"
+DECISION_RULE = r"\b(we decided|decision|agreed|approved|let's go with|we are going with)\b|\bresolution:"
+
+
 def rule_actions(segments: DataFrame) -> DataFrame:
-    """(call_id, pos, kind, text): sentences that name an action or a decision."""
-    sentences = segments.select("call_id", "pos", F.explode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+")).alias("text"))
-    action = F.rlike(F.lower("text"), F.lit(r"\b(action item|todo|to do|i will|i'll|we will|we'll|need to|follow up)\b"))
-    decision = F.rlike(F.lower("text"), F.lit(r"\b(we decided|decision|agreed|let's go with|we are going with)\b"))
-    return sentences.select("call_id", "pos", F.when(decision, "decision").when(action, "action").alias("kind"), "text").filter("kind IS NOT NULL")
+    """(call_id, pos, kind, text): sentences that name a decision, or an action (marked as one, promised, or what somebody will do by some day)."""
+    said = segments.select("call_id", "pos", F.explode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+")).alias("text"))
+    rule = lambda r: F.rlike(F.lower("text"), F.lit(r))
+    return said.select("call_id", "pos", F.when(rule(DECISION_RULE), "decision").when(rule(ACTION_RULE), "action").alias("kind"), "text").filter("kind IS NOT NULL")
 
 
 def topic_segments(segments: DataFrame, min_pause: float = 5.0) -> DataFrame:

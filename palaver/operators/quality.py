@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.scalars import confidence
+from palaver.operators.scan import running
 from palaver.operators.sequence import repetition_flags
 
 #: Names of the risk by number of flags.
@@ -53,6 +54,35 @@ def segment_energy(audio: DataFrame, rate: int = 16_000, least: float = 0.01, ma
     return audio.select("call_id", "pos", low.alias("low_energy"))
 
 
+def sample_blocks(audio: DataFrame, size: int = 16_384) -> DataFrame:
+    """(call_id, block, samples): whole recordings (call_id, samples) cut into blocks of ``size`` samples; a reader of large files yields such blocks itself."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("samples") - 1) / size).cast("int")))
+    return audio.filter(F.size("samples") > 0).select("call_id", F.explode(starts).alias("block"), "samples").select("call_id", "block", F.slice("samples", F.col("block") * size + 1, F.lit(size)).alias("samples"))
+
+
+def recording_energy(recordings: DataFrame, blocks: DataFrame, segments: DataFrame, size: int = 16_384, least: float = 0.01, max_seconds: float = 1800.0) -> DataFrame:
+    """(call_id, pos, rms, low_energy) of segments (call_id, pos, start, end) within whole recordings.
+
+    recordings: (call_id, rate, samples: their number, bytes: of the file or null); blocks: (call_id, block, samples), ``size`` samples each but the last. The squares up to a sample are the sum over the blocks before its own,
+    which is a running sum, and over a part of its own block; a segment's energy is the difference of two such numbers, so no task holds a recording and a long segment costs no more than a short one.
+    A segment without samples in the recording is low. Recordings over ``max_seconds``, or with files of more than 25,000 bytes for each of these, are not judged (false, without a value), and neither are calls without a recording.
+    """
+    square = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    judged = (F.col("samples") / F.col("rate") <= max_seconds) & (F.coalesce("bytes", F.lit(0)) <= max_seconds * 25_000)
+    asked = segments.join(recordings.select("call_id", "rate", F.col("samples").alias("_n"), judged.alias("_judged")), "call_id", "left")
+    sample = lambda t: F.floor(F.coalesce(t, F.lit(0.0)) * F.col("rate")).cast("bigint")
+    asked = asked.select("call_id", "pos", F.coalesce("_judged", F.lit(False)).alias("_judged"), F.greatest(F.lit(0), sample(F.col("start"))).alias("_a"), F.least(sample(F.col("end")), "_n").alias("_b"))
+    ends = asked.filter(F.col("_judged") & (F.col("_a") < F.col("_b"))).select("call_id", "pos", F.explode(F.array(F.struct(F.col("_a").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("_b").alias("at"), F.lit(1).alias("sign")))).alias("e")).select("call_id", "pos", "e.*")
+    sums = running(blocks.select("call_id", "block", square(F.col("samples")).alias("_e")), "call_id", "block", sums={"_upto": F.col("_e")})
+    known = sums.select("call_id", "block", (F.col("_upto") - F.col("_e")).alias("_before")).join(blocks, ["call_id", "block"])
+    # The last sample of a block is looked up in it, not at the start of the next one, which may not be there.
+    placed = ends.withColumn("block", F.when(F.col("at") == 0, F.lit(0)).otherwise(F.floor((F.col("at") - 1) / size)).cast("int"))
+    upto = placed.join(known, ["call_id", "block"]).select("call_id", "pos", "sign", (F.col("_before") + square(F.slice("samples", F.lit(1), (F.col("at") - F.col("block") * size).cast("int")))).alias("v"))
+    energy = upto.groupBy("call_id", "pos").agg(F.sum(F.col("sign") * F.col("v")).alias("_energy"))
+    rms = F.sqrt(F.when(F.col("_energy").isNotNull(), F.greatest(F.lit(0.0), F.col("_energy"))) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0)))
+    return asked.join(energy, ["call_id", "pos"], "left").select("call_id", "pos", rms.alias("rms"), F.when(~F.col("_judged"), False).otherwise(F.coalesce(F.round(rms, 9) < least, F.lit(True))).alias("low_energy"))
+
+
 def snr_db(samples: np.ndarray, rate: int) -> float:
     """Ratio in dB of the loudest to the quietest tenth of 25 ms frames (every 10 ms); 0 below ten frames."""
     size, hop = int(0.025 * rate), int(0.010 * rate)

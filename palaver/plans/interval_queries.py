@@ -196,9 +196,11 @@ def timestamps(spark, sf_dir):
     return rows.select("event_id", clock(x).alias("clock"), minutes_clock(x).alias("minutes"), human_duration(x).alias("human"), human_size(x).alias("size"))
 
 
-@query("talk_ratio", f"""WITH {CHATS}, a AS (SELECT call_id, speaker, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words, count(*) AS n, count(*) FILTER (contains(text, '?')) AS q,
-sum(len(regexp_extract_all(lower(text), '\\bwe\\b'))) AS we, sum(len(regexp_extract_all(lower(text), '\\bi\\b'))) AS i FROM ch GROUP BY 1, 2)
-SELECT call_id, speaker, words, round(CASE WHEN sum(words) OVER w > 0 THEN words / sum(words) OVER w ELSE 0 END, 6) AS talk_ratio, round(q / n, 6) AS question_ratio, round(CASE WHEN we + i > 0 THEN we / (we + i) END, 6) AS we_ratio FROM a WINDOW w AS (PARTITION BY call_id)""")
+@query("talk_ratio", f"""WITH {CHATS}, p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS l FROM ch),
+a AS (SELECT call_id, speaker, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\\S+'))) AS BIGINT) AS words, sum(len(l)) AS n, sum(len(list_filter(l, lambda x: suffix(x, '?')))) AS q, sum(s1 - s0) AS seconds,
+sum(len(regexp_extract_all(lower(coalesce(text, '')), '\\b(we|our|us)\\b'))) AS we, sum(len(regexp_extract_all(lower(coalesce(text, '')), '\\b(i|my|me)\\b'))) AS i FROM p GROUP BY 1, 2)
+SELECT call_id, speaker, words, round(CASE WHEN sum(words) OVER w > 0 THEN words / sum(words) OVER w ELSE 0 END, 6) AS talk_ratio, round(CASE WHEN seconds > 0 THEN 60 * words / seconds ELSE 0 END, 6) AS words_per_minute,
+round(CASE WHEN n > 0 THEN q / n ELSE 0 END, 6) AS question_ratio, round(CASE WHEN i > 0 THEN we / i END, 6) AS we_ratio FROM a WINDOW w AS (PARTITION BY call_id)""")
 def talk_ratio(spark, sf_dir):
     return M.talk_ratios(timed_chats(spark, sf_dir))
 
@@ -266,15 +268,17 @@ def diarization_error(spark, sf_dir):
     return found.select("call_id", *[F.round(c, 6).alias(c) for c in ("missed", "false_alarm", "confusion", "total", "der")])
 
 
-ACTIONS = ["I will call. We decided to wait! ok", "An action item for you? Nothing here.", "let's go with blue", "Todo: paint. We need to talk. Agreed."]
+ACTIONS = ["I will call. We decided to wait! ok", "An action item for you? Nothing here.", "let's go with blue", "Todo: paint. We need to talk. Agreed.", "Action: Noor calls. Bob will send it by Friday. He will see.", "Resolution: go. That was approved! It will be by then."]
 
 
-@query("rule_actions", f"""WITH c AS (SELECT conv_id AS call_id, turn AS pos, text || '. ' || ['{"', '".join(a.replace("'", "''") for a in ACTIONS)}'][CAST(turn % 4 + 1 AS INTEGER)] AS text FROM conversations WHERE text IS NOT NULL), s AS (SELECT call_id, pos, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS text FROM c),
-k AS (SELECT call_id, pos, CASE WHEN regexp_matches(lower(text), '\\b(we decided|decision|agreed|let''s go with|we are going with)\\b') THEN 'decision' WHEN regexp_matches(lower(text), '\\b(action item|todo|to do|i will|i''ll|we will|we''ll|need to|follow up)\\b') THEN 'action' END AS kind, text FROM s)
+@query("rule_actions", f"""WITH c AS (SELECT conv_id AS call_id, turn AS pos, text || '. ' || ['{"', '".join(a.replace("'", "''") for a in ACTIONS)}'][CAST(turn % 6 + 1 AS INTEGER)] AS text FROM conversations WHERE text IS NOT NULL), s AS (SELECT call_id, pos, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS text FROM c),
+k AS (SELECT call_id, pos, CASE WHEN regexp_matches(lower(text), '\\b(we decided|decision|agreed|approved|let''s go with|we are going with)\\b') OR regexp_matches(lower(text), '\\bresolution:') THEN 'decision'
+WHEN regexp_matches(lower(text), '\\b(action item|todo|to do|i will|i''ll|we will|we''ll|need to|follow up)\\b') OR regexp_matches(lower(text), '\\baction:')
+OR regexp_matches(lower(text), '\\b[\\w.''-]+ will\\b.*\\bby (the )?(monday|tuesday|wednesday|thursday|friday|saturday|sunday|today|tonight|tomorrow|next week|next month|end of day|eod|end of week|[0-9])') THEN 'action' END AS kind, text FROM s)
 SELECT call_id, pos, kind, text FROM k WHERE kind IS NOT NULL""")
 def rule_actions(spark, sf_dir):
     """Turns with a sentence of the kinds added, as the prose itself has none."""
-    more = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("pos") % 4 + 1).cast("int"))
+    more = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("pos") % 6 + 1).cast("int"))
     return M.rule_actions(timed_chats(spark, sf_dir).filter("text IS NOT NULL").withColumn("text", F.concat("text", F.lit(". "), more)))
 
 

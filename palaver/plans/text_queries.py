@@ -8,6 +8,7 @@ from palaver.operators import hints as H
 from palaver.operators import quality as Q
 from palaver.operators import render as Rn
 from palaver.operators import sequence as S
+from palaver.operators import summary as Su
 from palaver.plans.registry import CHATS, LINES, chats, intervals, lines, literal_rows, query, table, timed_chats
 from palaver.sources.readers import parse_rttm
 
@@ -132,4 +133,29 @@ def audio_snr(spark, sf_dir):
 def segment_energy(spark, sf_dir):
     louder = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (1 + F.col("vec_id") % 3))
     audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("call_id"), F.lit(0).alias("pos"), F.lit(10.0).alias("duration_seconds"), louder.alias("samples"))
-    return Q.segment_energy(audio, least=0.125)
\ No newline at end of file
+    return Q.segment_energy(audio, least=0.125)
+
+@query("recording_energy", """WITH s AS (SELECT vec_id, pos, CAST(floor(a * 16) AS BIGINT) AS i, least(CAST(floor(b * 16) AS BIGINT), 64) AS j FROM embeddings, (VALUES (0, 0.0, 1.0), (1, 0.55, 3.3), (2, 3.0, 9.0), (3, 2.0, 2.0), (4, 5.0, 6.0)) v(pos, a, b)),
+x AS (SELECT s.vec_id, pos, i, j, list_sum(list_transform(list_slice(embedding, i + 1, j), lambda x: CAST(x AS DOUBLE) * x)) AS e FROM s JOIN embeddings USING (vec_id))
+SELECT vec_id AS call_id, pos, CASE WHEN vec_id % 10 <> 0 AND i < j THEN round(sqrt(e / (j - i)), 6) END AS rms, CASE WHEN vec_id % 10 = 0 THEN false WHEN i >= j THEN true ELSE round(sqrt(e / (j - i)), 9) < 0.125 END AS low_energy FROM x""")
+def recording_energy(spark, sf_dir):
+    """Vectors as recordings of 16 samples a second, cut into blocks of ten; every tenth has a file too large to judge."""
+    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("call_id"), F.col("embedding").alias("samples"))
+    recordings = audio.select("call_id", F.lit(16).alias("rate"), F.size("samples").alias("samples"), F.when(F.col("call_id") % 10 == 0, F.lit(10**9)).alias("bytes"))
+    spans = [(0, 0.0, 1.0), (1, 0.55, 3.3), (2, 3.0, 9.0), (3, 2.0, 2.0), (4, 5.0, 6.0)]
+    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(a).alias("start"), F.lit(b).alias("end")) for p, a, b in spans])).alias("p")
+    segments = audio.select("call_id", parts).select("call_id", "p.*")
+    return Q.recording_energy(recordings, Q.sample_blocks(audio, 10), segments, 10, least=0.125).withColumn("rms", F.round("rms", 6))
+
+
+@query("extractive_summary", r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS l FROM documents),
+s AS MATERIALIZED (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence FROM p), w AS MATERIALIZED (SELECT doc_id, pos, sentence, list_distinct(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]+')) AS w FROM s),
+sim AS MATERIALIZED (SELECT a.doc_id, a.pos AS x, b.pos AS y, len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)) AS v FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.pos <> b.pos WHERE len(a.w) > 0 AND len(b.w) > 0),
+step AS MATERIALIZED (SELECT doc_id, x, y, v / sum(v) OVER (PARTITION BY doc_id, x) AS v FROM sim WHERE v > 0), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+r(k, doc_id, pos, n, score) AS (SELECT 0, doc_id, pos, n, 1 / n FROM s JOIN n USING (doc_id)
+UNION ALL SELECT k + 1, doc_id, pos, n, 0.15 / n + 0.85 * coalesce(got, 0) FROM (SELECT r.k, r.doc_id, r.pos, r.n, (SELECT sum(f.score * step.v) FROM r f JOIN step ON step.doc_id = f.doc_id AND step.x = f.pos WHERE step.doc_id = r.doc_id AND step.y = r.pos) AS got FROM r) WHERE k < 6),
+t AS (SELECT doc_id, pos, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) AS i FROM r JOIN s USING (doc_id, pos) WHERE k = 6)
+SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM t WHERE i <= 3 GROUP BY 1""".replace("\\\\", "\\"))
+def extractive_summary(spark, sf_dir):
+    """The three sentences of each document that rank highest after six rounds."""
+    return Su.extractive_summary(table(spark, sf_dir, "documents"), "doc_id", rounds=6, tolerance=0.0).select("doc_id", "summary")

@@ -145,9 +145,11 @@ def normalised_tags(tags: Column) -> Column:
 
 #: Tags that tell of a recording's circumstances, the beginnings of more, and frames of two container formats with the names they get.
 RECORDING_TAGS = (
-    "recording_device device microphone mic location gps gps_coordinates latitude longitude recording_location venue room studio "
-    "recorder software hardware firmware recording_date recording_time session description notes producer engineer"
-).split()
+    "recording_device", "device", "microphone", "mic", "location", "gps", "gps_coordinates", "latitude", "longitude", "recording_location", "venue", "room", "studio",
+    "recorder", "software", "hardware", "firmware", "recording_date", "recording_time", "session", "description", "notes", "producer", "engineer",
+)
+#: Plain comments, without the prefix of a container format, of these names count too.
+PLAIN_TAGS = ("isrc", "barcode")
 RECORDING_PREFIXES = ("recording_", "gps_", "device_")
 RECORDING_FRAMES = {
     "TSSE": "encoder_settings", "TSRC": "isrc", "TOFN": "original_filename", "TOWN": "owner", "TOPE": "original_artist", "TDOR": "original_date", "TDRC": "recording_date", "TDRL": "release_date", "TRSN": "radio_station", "TRSO": "radio_station_owner", "TPE4": "remixer",
@@ -160,8 +162,9 @@ def recording_context(tags: Column) -> Column:
     frames = F.create_map(*[F.lit(x) for pair in RECORDING_FRAMES.items() for x in pair])
     bare = lambda k: F.regexp_replace(F.regexp_replace(k, r"^TXXX:", ""), r"^----:[^:]*:", "")
     name = lambda k: F.translate(F.lower(strip(bare(k))), " -", "__")
-    known = lambda n: n.isin(RECORDING_TAGS) | F.rlike(n, F.lit("^(" + "|".join(RECORDING_PREFIXES) + ")"))
-    key = lambda k: F.coalesce(F.element_at(frames, k), F.when(known(name(k)), name(k)))
+    known = lambda n: n.isin(*RECORDING_TAGS) | F.rlike(n, F.lit("^(" + "|".join(RECORDING_PREFIXES) + ")"))
+    plain = lambda k: F.lower(k).isin(*PLAIN_TAGS)
+    key = lambda k: F.coalesce(F.element_at(frames, k), F.when(known(name(k)) | plain(k), name(k)))
     return _last_of_key(F.transform(F.map_entries(tags), lambda e: F.struct(key(e["key"]).alias("key"), strip(e["value"]).alias("value"))))
 
 
