@@ -6,8 +6,9 @@ time: after each batch the posterior probability (uniform prior) that the simila
 below ``MISS`` is left. What survives all batches is verified on the whole sets, in whole numbers, so no link is wrong.
 
 No pair is formed for its own sake. Equal sets are one node. Under each key the nodes are compared with its most central node first, and each node's likeliest partner is verified. Then
-only keys that still hold several components are looked at, and in them only pairs across components: first the likeliest pair of any two components, at last all
-that are left. A group of near copies costs about as many verified pairs as it has nodes. Keys of many nodes are dealt to pairs of tiles, the partners of one node to several tasks.
+only keys that still hold several components are looked at, and in them only nodes that are likely to be near one of another component. These bring along their sets by halves of the hashes, which never make two sets less alike than they are;
+where they meet, the likeliest pair of any two components that passes becomes a row and is verified, and the others only if one of these fails. So copies of one text that are
+too far apart, however many, make no rows. A group of near copies costs about as many verified pairs as it has nodes. Keys of many nodes or large sets are dealt to pairs of tiles, the partners of one node to several tasks.
 
 Defined cases: a text without words (null, empty, white space) has an empty set and is linked with nothing; with fewer words than a shingle the whole sequence is the one shingle. Repeated rows and rows
 with a null id are members like others (a component of null ids alone has a null id). Texts of any length are read whole, and ties of similarity are links (LEAST is reached).
@@ -33,8 +34,8 @@ WORDS, PERCENT, SEED = 2, 80, 42
 BANDS, DEPTH = 40, 5
 #: Hashes of a signature (a byte each), how many are compared at a time, and the probability at which a pair is left.
 PROOF, BATCH, MISS = 256, 32, 1e-7
-#: Nodes under one key that one step compares, and partners of a node that one task verifies; more are dealt to several.
-TILE, FAN = 2048, 256
+#: Nodes under one key, and shingles of all their sets, that one step compares, and partners of a node that one task verifies; more are dealt to several.
+TILE, LOAD, FAN = 2048, 1 << 21, 256
 #: Hashes of words that a task remembers, and the longest such word; shingles that meet all hash functions at once.
 KNOWN, LONGEST, BLOCK = 1 << 17, 64, 2048
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -158,9 +159,13 @@ def prints_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return stored(rows.mapInArrow(read, f"id {kind}, none boolean, mark bigint, node bigint, n bigint, keys array<bigint>, sig binary"), "prints")
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, owners: DataFrame, words: int) -> DataFrame:
-    """(node, s): the whole sets of the nodes, each read from the row that owns it."""
+def upper_halves(found: np.ndarray) -> np.ndarray:
+    """Distinct upper halves of the hashes of a set, ascending; sets share at least as many of them as of the hashes themselves, but for halves that fell together within a set."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32))
 
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, owners: DataFrame, words: int, halves: bool = False) -> DataFrame:
+    """(node, s): the whole sets of the nodes, each read from the row that owns it; with ``halves`` only the upper halves of the hashes."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap(owners.select(F.xxhash64("none", "id", "mark").alias("key"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +173,10 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, owners: DataFrame, word
         for batch in batches:
             few = batch.column(0).filter(pa.array(in_bitmap(held.value, batch.column(1).to_numpy())))
             for _, texts in slices(x.as_py() for x in few):
-                found = [shingle_set(t, known, words).tobytes() for t in texts]
-                nodes = np.array([xxhash.xxh64_intdigest(f, SEED) for f in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.binary())], ["node", "s"])
+                found = [shingle_set(t, known, words) for t in texts]
+                nodes = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
+                kept = [(upper_halves(f) if halves else f).tobytes() for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(kept, pa.binary())], ["node", "s"])
 
     none, mark = row_key(id_col, text_col)
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.xxhash64(none, F.col(id_col), mark).alias("key"))
@@ -214,19 +220,62 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return settle(join_split(pairs, left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(look, "a bigint, b bigint, m bigint"))
 
 
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, tile, own, node, root, n, signatures, *rest) of all tiles that hold several components, from rows sorted by the hash of (key, tile)."""
+    for group, key, tile, *rest in runs(batches):
+        root = rest[2]
+        new = np.flatnonzero((group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
+        for i, j in zip([0, *new.tolist()], [*new.tolist(), len(key)], strict=True):
+            if root[i:j].min() < root[i:j].max():
+                own, node, roots, n, sig, *more = (c[i:j] for c in rest)
+                yield key[i:j], tile[i:j], own, node, roots, n, np.frombuffer(b"".join(sig), np.uint8).reshape(-1, PROOF), *more
+
+
+def partners(i: int, own: np.ndarray, root: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int, looks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a tile after row ``i`` that are in another component and likely near it, and the matches of their signatures."""
+    rest = np.arange(i + 1, len(root))
+    # In a tile of two parts only pairs across them count; those within one have a tile of their own.
+    rest = rest[(root[rest] != root[i]) & fits(n[rest], n[i], percent) & ((own[rest] != own[i]) | (own[0] == own[-1]))]
+    keep, m = survivors(np.broadcast_to(sig[i], (len(rest), PROOF)), sig[rest], looks)
+    return rest[keep], m
+
+
+def near_others(percent: int):
+    """The rows of tiles whose node is likely near one of another component."""
+    looks = fewest_matches(percent)
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, tile, own, node, root, n, sig in tiles(batches):
+            hit = np.zeros(len(node), bool)
+            for i in range(len(node) - 1):
+                found, _ = partners(i, own, root, n, sig, percent, looks)
+                hit[found] = True
+                hit[i] |= len(found) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (key, tile, own, node)], ["key", "tile", "own", "node"])
+
+    return flagged
+
+
 def across(percent: int, best: bool):
-    """Likely pairs (a, b) of nodes under one key that are in different components ``ra`` and ``rb``; with ``best`` the likeliest of any two components."""
+    """Pairs (a, b) of nodes in different components ``ra`` and ``rb`` that are near enough by the upper halves of their hashes; with ``best`` the likeliest of any two components."""
     looks = fewest_matches(percent)
 
-    def tile_pairs(own: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
+    def tile_pairs(own: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, sig: np.ndarray, sets: np.ndarray) -> list[np.ndarray]:
+        halves = [np.frombuffer(x, np.uint32) for x in sets]
+        size = np.array([len(x) for x in halves])
         found = []
         for i in range(len(node) - 1):
-            rest = np.arange(i + 1, len(node))
-            # In a tile of two parts only pairs across them count; those within one have a tile of their own.
-            rest = rest[(root[rest] != root[i]) & fits(n[rest], n[i], percent) & ((own[rest] != own[i]) | (own[0] == own[-1]))]
-            if len(rest):
-                keep, m = survivors(np.broadcast_to(sig[i], (len(rest), PROOF)), sig[rest], looks)
-                found.append(np.stack([np.full(len(keep), node[i]), node[rest[keep]], np.full(len(keep), root[i]), root[rest[keep]], m]))
+            near, m = partners(i, own, root, n, sig, percent, looks)
+            keep = np.zeros(len(near), bool)
+            for at in range(0, len(near), 256):
+                rows = near[at : at + 256]
+                flat = np.concatenate([halves[r] for r in rows])
+                place = np.minimum(np.searchsorted(halves[i], flat), size[i] - 1)
+                both = np.add.reduceat(halves[i][place] == flat, np.cumsum(size[rows]) - size[rows], dtype=np.int64)
+                both += np.minimum(n[rows] - size[rows], n[i] - size[i])  # halves that fell together
+                keep[at : at + 256] = 100 * both >= percent * (n[rows] + n[i] - both)
+            near, m = near[keep], m[keep]
+            found.append(np.stack([np.full(len(near), node[i]), node[near], np.full(len(near), root[i]), root[near], m]))
         a, b, ra, rb, m = np.concatenate([np.zeros((5, 0), np.int64), *found], axis=1)
         turn = a > b
         a, b, ra, rb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, rb, ra), np.where(turn, ra, rb)
@@ -238,65 +287,70 @@ def across(percent: int, best: bool):
         return [a, b, ra, rb, m]
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, key, tile, own, node, root, n, sig in runs(batches):
-            new = np.flatnonzero((group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
-            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(key)], strict=True):
-                if root[i:j].min() < root[i:j].max():
-                    part = np.frombuffer(b"".join(sig[i:j]), np.uint8).reshape(-1, PROOF)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in tile_pairs(own[i:j], node[i:j], root[i:j], n[i:j], part)], ["a", "b", "ra", "rb", "m"])
+        for _, _, *tile in tiles(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in tile_pairs(*tile)], ["a", "b", "ra", "rb", "m"])
 
     return paired
 
 
-def cross_pairs(shared: DataFrame, leads: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, best: bool, tile: int = TILE) -> DataFrame:
-    """Likely pairs (a, b) across components: those of ``leads``, and those under keys of at least three nodes (two nodes under a key are a pair of ``leads`` if they are likely)."""
-    rooted = stored(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    open_keys = rooted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high AND c > 2").select("key", F.ceil(F.col("c") / tile).cast("int").alias("g"))
+def spread(dealt: DataFrame, nodes: DataFrame, roots: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Rows (key, tile, own, node) with what tiles compare, each tile whole and sorted."""
+    wide = dealt.join(nodes.select("node", "n", "sig"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if sets is not None:
+        wide = wide.join(sets, "node")
+    # One column that sorts first holds each group together, as ``runs`` reads it.
+    columns = [F.xxhash64("key", "tile").alias("group"), "key", "tile", "own", "node", "root", "n", "sig", *([] if sets is None else ["s"])]
+    return wide.select(*columns).repartition("group").sortWithinPartitions("group", "key", "tile", "own", "node")
+
+
+def near_rows(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, tile, own, node) under keys of at least three nodes in several components: the nodes that are likely near one of another component. Two nodes under a key are a pair of their own."""
+    rooted = stored(shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    mixed_keys = rooted.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("load"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high AND c > 2")
+    open_keys = mixed_keys.select("key", F.ceil(F.greatest(F.col("c") / TILE, F.col("load") / LOAD)).cast("int").alias("g"))
     dealt = (
         join_split(rooted, open_keys, "key")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .select("key", "node", "root", "own", "g", F.explode(F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))).alias("other"))
-        .select((F.least("own", "other") * F.col("g") + F.greatest("own", "other")).cast("bigint").alias("tile"), "key", "own", "node", "root")
-        .join(nodes.select("node", "n", "sig"), "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")))
+        .select("key", "node", "own", "g", F.explode(F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))).alias("other"))
+        .select("key", (F.least("own", "other") * F.col("g") + F.greatest("own", "other")).cast("bigint").alias("tile"), F.col("own").cast("bigint").alias("own"), "node")
     )
-    # One column that sorts first holds each group together, as ``runs`` reads it.
-    spread = dealt.select(F.xxhash64("key", "tile").alias("group"), "key", "tile", F.col("own").cast("bigint").alias("own"), "node", "root", "n", "sig").repartition("group").sortWithinPartitions("group", "key", "tile", "own", "node")
-    found = spread.mapInArrow(across(percent, best), "a bigint, b bigint, ra bigint, rb bigint, m bigint")
-    root_of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
-    known = leads.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), "m")
-    found = found.unionByName(known.filter("ra <> rb"))
-    if not best:
-        return settle(found.select("a", "b").distinct())
-    one = found.groupBy(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).agg(F.max(F.struct("m", "a", "b")).alias("x"))
-    return settle(one.select("x.a", "x.b").distinct())
+    return stored(spread(dealt, nodes, roots).mapInArrow(near_others(percent), "key bigint, tile bigint, own bigint, node bigint"), "near")
 
 
 def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes, all verified, whose components are those of all links."""
-    keys = nodes.select("node", F.explode("keys").alias("key"))
+    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     groups = stored(keys.groupBy("key").count().filter(F.col("count") > 1), "groups")
     met = stored(join_split(keys, groups, "key", counts=groups), "met")
     # A key is led by the node that meets most others under all its keys: in a group of copies of one text that is the text itself, or the copy that is changed least.
     central = met.groupBy("node").agg(F.sum(F.col("count") - 1).alias("degree"))
     leads = met.join(central, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
-    shared = stored(join_split(met.select("key", "node"), stored(leads, "leads"), "key", counts=groups), "shared")
+    shared = join_split(met.select("key", "node"), stored(leads, "leads"), "key", counts=groups)
     owner = nodes.select("node", "best.*")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        needed = owner.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        return verified(pairs, sets_of(docs, id_col, text_col, settle(needed), words), percent)
-
+    owners = lambda some: settle(owner.join(some.select("node").distinct(), "node", "left_semi"))
+    confirm = lambda pairs: verified(pairs, sets_of(docs, id_col, text_col, owners(pairs.select(F.explode(F.array("a", "b")).alias("node"))), words), percent)
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     pairs = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    tried = likely(stored(pairs, "pairs"), nodes, percent)
-    leads = settle(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").distinct())
-    tried = settle(tried.groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b"))
-    found = confirm(tried)
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for best in (True, False):
-        more = cross_pairs(shared.select("key", "node"), leads, components(found), nodes, percent, best)
-        more = settle(more.join(tried, ["a", "b"], "left_anti"))
-        found, tried = settle(found.unionByName(confirm(more))), tried.unionByName(more)
-    return found
+    leads = likely(stored(pairs, "pairs"), nodes, percent)
+    tried = settle(leads.groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b"))
+    found, tried = confirm(tried), tried.select(*ordered)
+
+    roots = components(found)
+    near = near_rows(met.select("key", "node", "n"), roots, nodes, percent)
+    halves = sets_of(docs, id_col, text_col, owners(near), words, halves=True)
+    between = lambda roots, best: spread(near, nodes, roots, halves).mapInArrow(across(percent, best), "a bigint, b bigint, ra bigint, rb bigint, m bigint")
+    one = between(roots, True).groupBy(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).agg(F.max(F.struct("m", "a", "b")).alias("x")).select("x.a", "x.b")
+    root_of = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    apart = leads.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*ordered)
+    one = settle(one.join(tried, ["a", "b"], "left_anti").distinct())
+    more = settle(one.unionByName(apart.join(tried, ["a", "b"], "left_anti")).distinct())
+    confirmed = confirm(more)
+    found, tried = settle(found.unionByName(confirmed)), tried.unionByName(more)
+    if one.join(confirmed, ["a", "b"], "left_anti").isEmpty():
+        return found
+    # Upper halves let a pair pass that is none: all that pass between components still apart are verified.
+    rest = settle(between(components(found), False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    return settle(found.unionByName(confirm(rest)))
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:

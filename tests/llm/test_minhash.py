@@ -83,11 +83,20 @@ def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     verified = minhash.verified
     monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
     monkeypatch.setattr(minhash, "TILE", 64)
+    made = []
+    settle = minhash.settle
+    monkeypatch.setattr(minhash, "settle", lambda df: made.append((df.columns, (now := settle(df)).count())) or now)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(changed(rng, base, rng.randint(0, 3)))) for i in range(400)] + [(1000 + i, " ".join([*base[:50], *(f"y{rng.random()}" for _ in range(120))])) for i in range(400)]
     assert got(minhash.near_groups(spark.createDataFrame(rows, SCHEMA).repartition(4))) == plain(rows)
     assert sum(seen) < 600
+    # Copies that are changed too much to be near each other.
+    seen.clear()
+    made.clear()
+    rows = [(i, " ".join(changed(rng, base, rng.randint(6, 12)))) for i in range(300)]
+    assert got(minhash.near_groups(spark.createDataFrame(rows, SCHEMA).repartition(4))) == plain(rows)
+    assert sum(seen) < 5 * len(rows) and max(n for columns, n in made if columns[:2] == ["a", "b"]) < 5 * len(rows)
 
 
 def test_other_shingles(spark):
