@@ -9,6 +9,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.storage import settled as settle
+from palaver.storage import shared_folder
+
+__all__ = ["ascii_lower", "crc_mod", "fresh", "join_split", "settle", "shared_folder", "slices", "small_batches", "stored", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,22 +39,6 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir of the session.
-
-    Only where that is unset, as in tests and local runs, a folder under the warehouse is taken.
-    """
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut the lineage of a large table: written to the shared folder as Parquet, which is far smaller than a checkpoint, and read again.
 
