@@ -104,14 +104,14 @@ def scored(queries: DataFrame, known: DataFrame, ids: list[str], best: bool, obs
                 q, c = q.values, c.values
                 x, y = (z.field("embedding").flatten().to_numpy().reshape(len(z), -1) for z in (q, c))
                 score = np.round(x @ y.T, DECIMALS)
-                pos = c.field("pos").to_numpy()
+                pos = c.field("pos").to_numpy(zero_copy_only=False)
                 if best:
                     order = np.argsort(pos, kind="stable")
                     row, col = np.arange(len(x)), order[score[:, order].argmax(axis=1)]
                 else:
                     row, col = np.nonzero(score >= q.field("least").to_numpy()[:, None])
                 taken = [q.field(k).take(pa.array(row)) for k in ids]
-                yield pa.RecordBatch.from_arrays([*taken, c.field("id").take(pa.array(col)), pa.array(pos[col]), pa.array(score[row, col])], [*ids, "id", "pos", "score"])
+                yield pa.RecordBatch.from_arrays([*taken, c.field("id").take(pa.array(col)), c.field("pos").take(pa.array(col)), pa.array(score[row, col])], [*ids, "id", "pos", "score"])
 
     kinds = [f"{k} {queries.schema[k].dataType.simpleString()}" for k in ids] + [f"id {known.schema['id'].dataType.simpleString()}", f"pos {known.schema['pos'].dataType.simpleString()}", "score double"]
     return pairs.mapInArrow(product, ", ".join(kinds))

@@ -109,3 +109,43 @@ def test_rate_schedule(spark):
             (r,) = [r for r in got if (r.k, r.i) == (k, i)]
             assert abs(r.granted - granted[-1]) < 1e-6 and abs(r.wait - (granted[-1] - t)) < 1e-6
     assert max(r.wait for r in got) > 10
+
+
+def test_energy_of_whole_recordings(spark):
+    from palaver.operators import quality
+
+    rng = random.Random(3)
+    audio = [(f"c{i}", [rng.gauss(0, 0.1) for _ in range(n)]) for i, n in enumerate([1, 7, 8, 9, 40])]
+    segments = [(c, p, a, b) for c, _ in audio for p, (a, b) in enumerate([(0.0, 99.0), (0.5, 1.0), (0.0, 2.0), (1.9, 2.1), (3.0, 2.0), (-1.0, 1.0)])] + [("gone", 0, 0.0, 1.0)]
+    df = spark.createDataFrame(audio, "call_id string, samples array<double>")
+    recordings = df.select("call_id", F.lit(4).alias("rate"), F.size("samples").alias("samples"), F.lit(None).cast("bigint").alias("bytes"))
+    got = quality.recording_energy(recordings, quality.sample_blocks(df, 4), spark.createDataFrame(segments, "call_id string, pos int, start double, end double"), 4, least=0.1, max_seconds=9.0).collect()
+    known = dict(audio)
+    assert len(got) == len(segments)
+    for r in got:
+        x = known.get(r.call_id)
+        (a, b) = next((a, b) for c, p, a, b in segments if (c, p) == (r.call_id, r.pos))
+        part = [] if x is None else x[max(0, int(a * 4 // 1)) : max(0, int(b * 4 // 1))]
+        if x is None or len(x) / 4 > 9.0:
+            assert (r.rms, r.low_energy) == (None, False)
+        elif not part:
+            assert (r.rms, r.low_energy) == (None, True)
+        else:
+            rms = (sum(v * v for v in part) / len(part)) ** 0.5
+            assert r.rms == pytest.approx(rms, abs=1e-9) and r.low_energy == (round(rms, 9) < 0.1)
+
+
+def test_summary(spark):
+    from palaver.operators import summary
+
+    text = "The red fox runs. A red fox and a dog run! Nothing else here? The dog runs after the red fox.  Zebra."
+    docs = spark.createDataFrame([("a", text), ("b", "One."), ("c", " "), ("d", None), ("e", "!? ...")], "call_id string, text string")
+    got = {r.call_id: (r.summary, list(r.sentences)) for r in summary.extractive_summary(docs, most=2).collect()}
+    assert set(got) == {"a", "b", "e"} and got["b"] == ("One.", [0]) and 3 in got["a"][1] and 4 not in got["a"][1]
+    scores = summary.ranked_sentences(docs, "call_id", "text", tolerance=1e-9, rounds=60).filter("call_id = 'a'").orderBy("pos").collect()
+    words = [{"the", "red", "fox", "runs"}, {"a", "red", "fox", "and", "dog", "run"}, {"nothing", "else", "here"}, {"the", "dog", "runs", "after", "red", "fox"}, {"zebra"}]
+    like = [[len(x & y) / (len(x) * len(y)) ** 0.5 if x is not y else 0 for y in words] for x in words]
+    rank = [0.2] * 5
+    for _ in range(60):
+        rank = [0.03 + 0.85 * sum(like[j][i] / sum(like[j]) * rank[j] for j in range(5) if sum(like[j])) for i in range(5)]
+    assert [r.score for r in scores] == pytest.approx(rank, abs=1e-6)
