@@ -158,3 +158,11 @@ PRESETS = {
 
 def expand_preset(name: str | None, explicit: dict) -> dict:
     return merged_settings(PRESETS[name] if name else {}, explicit)
+
+
+def job_settings(preset: Column, explicit: Column) -> Column:
+    """Settings of a job as a map of text: those of its preset (none for a null or unknown one), with explicit ones that are not null on top."""
+    presets = F.create_map(*[F.lit(x) if isinstance(x, str) else F.create_map(*[F.lit(str(y)) for kv in x.items() for y in kv]) for pair in PRESETS.items() for x in pair])
+    none = F.create_map().cast("map<string,string>")
+    both = F.map_zip_with(F.coalesce(F.try_element_at(presets, preset), none), F.coalesce(explicit, none), lambda _, own, given: F.coalesce(given, own))
+    return F.map_filter(both, lambda _, v: v.isNotNull())

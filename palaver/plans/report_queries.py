@@ -258,10 +258,17 @@ def recommended_tier(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", rules.recommended_tier(device, F.col("c_acctbal")).alias("tier"))
 
 
-@query("presets", "SELECT * FROM (VALUES ('+draft', 'tier', 'draft'), ('+hq', 'beam_size', '9'), ('+hq', 'tier', 'high_quality'), ('+meeting', 'diarize', 'True'), ('+meeting', 'summarize', 'True'), ('+meeting', 'word_timestamps', 'True'), ('+subtitle', 'output_format', 'srt'), ('+subtitle', 'word_timestamps', 'True')) v(preset, setting, value)")
+@query("presets", """WITH j AS (SELECT conv_id, turn, ['+subtitle', '+meeting', '+draft', '+hq', NULL, '+other'][turn % 6 + 1] AS preset, CASE WHEN conv_id % 3 = 0 THEN 'own' WHEN conv_id % 3 = 1 THEN 'draft' END AS tier, CASE WHEN conv_id % 2 = 0 THEN '9' END AS beam FROM conversations),
+e AS (SELECT conv_id, turn, unnest([{'k': 'beam_size', 'v': coalesce(beam, CASE WHEN preset = '+hq' THEN '5' END)}, {'k': 'diarize', 'v': CASE WHEN preset = '+meeting' THEN 'True' END}, {'k': 'output_format', 'v': CASE WHEN preset = '+subtitle' THEN 'srt' END},
+{'k': 'summarize', 'v': CASE WHEN preset = '+meeting' THEN 'True' END}, {'k': 'tier', 'v': coalesce(tier, CASE preset WHEN '+draft' THEN 'draft' WHEN '+hq' THEN 'high_quality' END)}, {'k': 'word_timestamps', 'v': CASE WHEN preset IN ('+subtitle', '+meeting') THEN 'True' END}]) AS s FROM j)
+SELECT conv_id, turn, coalesce(string_agg(s.k || '=' || s.v, ',' ORDER BY s.k) FILTER (s.v IS NOT NULL), '') AS settings FROM e GROUP BY 1, 2""")
 def presets(spark, sf_dir):
-    given = {"+hq": {"beam_size": 9}, "+draft": {"tier": None}}
-    return literal_rows(spark, [(p, k, str(v)) for p in rules.PRESETS for k, v in rules.expand_preset(p, given.get(p, {})).items()], "preset string, setting string, value string")
+    """Turns as jobs with a preset and settings of their own, some of them null."""
+    third = F.col("conv_id") % 3
+    preset = F.get(F.array(*[F.lit(x) for x in ("+subtitle", "+meeting", "+draft", "+hq", None, "+other")]), (F.col("turn") % 6).cast("int"))
+    explicit = F.create_map(F.lit("tier"), F.when(third == 0, "own").when(third == 1, "draft"), F.lit("beam_size"), F.when(F.col("conv_id") % 2 == 0, "9"))
+    settings = F.array_sort(F.transform(F.map_entries(rules.job_settings(preset, explicit)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(settings, ",").alias("settings"))
 
 
 @query("latest_file", "SELECT doc_id AS path FROM documents WHERE n_chars % 1000 = (SELECT max(n_chars % 1000) FROM documents) ORDER BY doc_id DESC LIMIT 1")
