@@ -6,14 +6,18 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.storage import settled as settle
 from palaver.storage import shared_folder
 
-__all__ = ["ascii_lower", "crc_mod", "fresh", "join_split", "settle", "shared_folder", "slices", "small_batches", "stored", "table"]
+__all__ = ["ascii_lower", "bitmap", "crc_mod", "fresh", "in_bitmap", "join_split", "row_key", "runs", "settle", "shared_folder", "slices", "small_batches", "stored", "table"]
 
+#: Bits of the map that filters rows before a shuffle.
+BITMAP = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -99,3 +103,36 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     is_hot = lambda a, c, kind: a.join(hot, c.eqNullSafe(hot[k]), kind)
     few = right.join(hot, right[key].eqNullSafe(hot[k]), "left_semi").withColumnRenamed(key, k)
     return plain(is_hot(left, left[key], "left_semi"), F.broadcast(few)).unionByName(plain(is_hot(left, left[key], "left_anti"), named))
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of a partition that is sorted by the first one, so that no value of it goes on in the next part."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        if whole:
+            yield [c[:whole] for c in now]
+        held = [c[whole:] for c in now]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def bitmap(needed: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the hashes ``key`` in ``needed``."""
+    found = needed.select(F.pmod("key", F.lit(BITMAP)).alias("at")).distinct().toArrow()
+    bits = np.zeros(BITMAP, bool)
+    bits[found.column("at").to_numpy()] = True
+    return np.packbits(bits)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False only for hashes that are none of those in the bitmap."""
+    at = hashes & (BITMAP - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Columns without nulls that tell rows apart, with the id: whether it is missing, and a hash of the text. They sort by id, rows without one last."""
+    return [F.col(id_col).isNull().alias("_none"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_mark")]

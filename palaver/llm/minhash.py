@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import fresh, join_split, settle, slices, small_batches, stored
-from palaver.llm.near_copies import bitmap, in_bitmap, row_key, runs
+from palaver.llm.common import bitmap, fresh, in_bitmap, join_split, row_key, runs, settle, slices, small_batches, stored
 from palaver.llm.simhash import components
 
 WORDS, PERCENT, SEED = 2, 80, 42

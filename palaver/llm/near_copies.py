@@ -1,305 +1,54 @@
-"""Near copies by exact similarity: word shingles with a Jaccard coefficient of at least ``LEAST``.
+"""Near copies of both kinds: texts with SimHash fingerprints close to each other (operator 9), and texts with similar sets of word shingles (operator 11).
 
-Shingles are put in one order for all texts, rare before common. If two sets of ``m`` and ``n`` shingles are similar enough, they share at least
-``LEAST / (1 + LEAST) (m + n)`` of them, so they share one among the first ``n - ceil(LEAST n) + 1`` of each (prefix filter). Texts meet under these
-shingles, pairs that their sizes, places or sketches rule out are left, and what remains is verified on the whole sets. No pair is missed, and none is added.
+Three of 64 bits miss most pairs of a similarity of 0.8, so the fingerprints alone would leave about half of the near copies. Texts are linked if their fingerprints
+are within operator 9's distance, or if their sets of ``WORDS``-word shingles have a Jaccard coefficient of ``PERCENT`` hundredths or more; components are those of all links.
 
-Equal sets are one node, so copies never form pairs. First each shingle's nodes are paired with one of them alone; pairs of nodes that are then
-still in different components are verified after that. A large group of near copies thus costs as many pairs as it has nodes, not its square.
+Both kinds are links between different texts, told apart by a hash: copies, however many, are one node, and only texts that lead no group have a link.
 
-The order comes from counts in a sample of texts (at most ``COMMON`` shingles are told apart as common). It decides how many pairs meet, never which are found.
-
-Defined cases: a text of at most ``WORDS`` words is one shingle; texts without words (null, empty, white space) are alike; repeated rows and rows
-with a null id are members like others; an empty table gives no rows.
+Defined cases: texts without words (null, empty, white space) have fingerprint zero and are alike; a text of fewer words than a shingle is one shingle; repeated rows and rows
+with a null id are members like others, rows without an id come after all others; a very long text is read whole; columns of any name are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import crc_mod, fresh, settle, small_batches, stored
-from palaver.llm.simhash import components
-
-WORDS, LEAST = 5, 0.8
-SEED = 42
-#: One text in so many is sampled for the order; shingles in so many of these are common.
-SAMPLE, OFTEN, COMMON = 16, 8, 1 << 18
-#: Rows whose shingles are held at once; shingles of a text whose places are Python numbers at once.
-ROWS, PART = 256, 8192
-#: Buckets of a sketch and the largest count in one (from there on it rules nothing out); bits of the map that filters rows before a shuffle.
-BUCKETS, MOST, BITMAP = 128, 65535, 1 << 24
-#: Fewest buckets of a fine sketch, and its largest count.
-FEWEST, FINE_MOST = 128, 255
-
-
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; A to Z are lower-cased, words are split at ASCII white space."""
-    tokens = (text or b"").lower().split()
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[: len(tokens) - words + 1], ends[words - 1 :]
-    del tokens  # a very long text takes much memory as a list
-    digest = xxhash.xxh64_intdigest
-    parts = (zip(starts[at : at + PART].tolist(), ends[at : at + PART].tolist(), strict=True) for at in range(0, len(starts), PART))
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for part in parts for a, b in part), np.uint64, len(starts)))
-
-
-def prefix_length(n: int, least: float = LEAST) -> int:
-    return n - math.ceil(least * n - 1e-9) + 1
-
-
-def in_order(found: np.ndarray, common: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Hashes in the order of all texts: by level, then by hash; ``common`` is sorted and all others have level 0."""
-    if not len(common):
-        return found
-    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    level = np.where(common[at] == found, levels[at], 0)
-    return found[np.argsort(level, kind="stable")]
-
-
-def can_reach(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of sizes ``n`` and ``m`` whose first shared shingle is at ``i`` and ``j`` can be similar enough."""
-    return np.minimum(n - i, m - j) >= least / (1 + least) * (n + m) - 1e-6
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of a partition that is sorted by the first one, so that no value of it goes on in the next part."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-        if whole:
-            yield [c[:whole] for c in now]
-        held = [c[whole:] for c in now]
-    if held is not None and len(held[0]):
-        yield held
-
-
-def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of the runs of equal keys."""
-    new = np.flatnonzero(key[1:] != key[:-1]) + 1
-    return np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
-
-
-def first_pairs(least: float):
-    """Nodes under keys that more than one node has, each with the key's smallest node if the two can be similar enough."""
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n, pos in runs(batches):
-            begin, end = bounds(key)
-            size = end - begin
-            lead = np.repeat(begin, size)  # rows are sorted by node within a key
-            some = np.repeat(size > 1, size)
-            fits = can_reach(n, n[lead], pos, pos[lead], least) & (node != node[lead])
-            columns = [pa.array(c[some]) for c in (key, node, n, pos)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(node[lead][some], mask=~fits[some])], ["key", "node", "n", "pos", "lead"])
-
-    return paired
-
-
-def other_pairs(least: float):
-    """Pairs of nodes under one key that are in different components and can be similar enough."""
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n, pos, root in runs(batches):
-            begin, end = bounds(key)
-            mixed = np.maximum.reduceat(root, begin) != np.minimum.reduceat(root, begin)
-            for a, b in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
-                left, right = [], []
-                for i in range(a, b - 1):
-                    rest = np.arange(i + 1, b)
-                    hit = rest[(root[rest] != root[i]) & can_reach(n[i], n[rest], pos[i], pos[rest], least)]
-                    left.append(np.full(len(hit), node[i]))
-                    right.append(node[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    return paired
-
-
-def sketch(found: np.ndarray) -> bytes:
-    """How many hashes fall into each bucket; the sum of two sketches' minima is never less than what the sets share."""
-    return np.minimum(np.bincount((found >> np.uint64(32)).astype(np.int64) % BUCKETS, minlength=BUCKETS), MOST).astype(np.uint16).tobytes()
-
-
-def fine_sketch(found: np.ndarray) -> bytes:
-    """A byte for each bucket, with as many buckets as hashes or up to twice as many: a power of two, so that sketches of two sizes can be compared."""
-    size = max(FEWEST, 1 << (len(found) - 1).bit_length())
-    at = (found >> np.uint64(32)).astype(np.int64) % size
-    return np.minimum(np.bincount(at, minlength=size), FINE_MOST).astype(np.uint8).tobytes()
-
+from palaver.llm import minhash, simhash
+from palaver.llm.common import fresh, join_split, row_key, small_batches, stored
 
-def fine_bound(x: bytes, y: bytes) -> float:
-    """No less than what two sets share, by their fine sketches; the larger one is folded to the size of the smaller one."""
-    p, q = (np.frombuffer(z, np.uint8) for z in (x, y))
-    if max(p.max(), q.max()) == FINE_MOST:
-        return math.inf
-    size = min(len(p), len(q))
-    return float(np.minimum(p.reshape(-1, size).sum(axis=0, dtype=np.int64), q.reshape(-1, size).sum(axis=0, dtype=np.int64)).sum())
+WORDS, PERCENT = 5, 80
 
 
-def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that their sketches do not rule out; ``sketches`` is (node, n, sketch)."""
+def fingerprint_leads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): every text with the one that leads the component of its fingerprint, unless it is that one itself."""
+    _, mark = row_key(id_col, text_col)
+    prints = stored(docs.select(mark.alias("mark"), simhash.fingerprint_column(F.col(text_col), simhash.WORDS).alias("fp")).distinct(), "prints")
+    roots = simhash.components(simhash.fingerprint_links(prints.select("fp").distinct()))
+    least = prints.groupBy("fp").agg(F.min("mark").alias("mark")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = stored(least.select("fp", "mark", F.coalesce("root", "fp").alias("root")), "rooted")
+    leads = stored(rooted.groupBy("root").agg(F.min("mark").alias("lead")), "leads")
+    led = stored(join_split(rooted.select("fp", "root"), leads, "root").select("fp", "lead"), "led")
+    return join_split(prints, led, "fp").filter("mark <> lead").select(F.col("mark").alias("a"), F.col("lead").alias("b"))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(c).to_numpy() for c in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in (4, 5))
-            low = np.minimum(x, y)
-            keep = (low.sum(axis=1, dtype=np.int64) >= least / (1 + least) * (n + m) - 1e-6) | (low == MOST).any(axis=1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
-    left, right = (sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a bigint, b bigint"))
-
-
-def bitmap(needed: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the hashes ``key`` in ``needed``."""
-    found = needed.select(F.pmod("key", F.lit(BITMAP)).alias("at")).distinct().toArrow()
-    bits = np.zeros(BITMAP, bool)
-    bits[found.column("at").to_numpy()] = True
-    return np.packbits(bits)
-
-
-def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """False only for hashes that are none of those in the bitmap."""
-    at = hashes & (BITMAP - 1)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
-def perhaps(needed: DataFrame, key: Column) -> Column:
-    """``in_bitmap`` as a column, so that most rows are left out before a shuffle."""
-    held = needed.sparkSession.sparkContext.broadcast(bitmap(needed))
-
-    @F.arrow_udf("boolean")
-    def among(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for h in hashes:
-            yield pa.array(in_bitmap(held.value, h.to_numpy(zero_copy_only=False)))
-
-    return among(key)
-
-
-def verified(pairs: DataFrame, rows: DataFrame, owners: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard coefficient of at least ``least``.
-
-    ``rows`` is (id, none, mark, text) and ``owners`` (node, id, none, mark), a row for each node. A pair takes a whole set along, so fine sketches,
-    an eighth to a quarter of a set, first leave out pairs that are clearly apart.
-    """
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            found = [shingles(x.as_py(), words) for x in batch.column(0)]
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
-            sizes, fine = pa.array([len(x) for x in found], pa.int64()), pa.array([fine_sketch(x) for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), sizes, fine, pa.array([x.tobytes() for x in found], pa.binary())], ["node", "n", "fine", "s"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(c).to_numpy() for c in (2, 3))
-            bound = np.array([fine_bound(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.float64)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(bound >= least / (1 + least) * (n + m) - 1e-6))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    hashed = F.xxhash64("none", "id", "mark")
-    needed = settle(owners.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    few = rows.filter(perhaps(needed.select(hashed.alias("key")), hashed))
-    wanted = needed.select("node", F.col("id").alias("_id"), F.col("none").alias("_none"), F.col("mark").alias("_mark"))
-    same = (F.col("none") == F.col("_none")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
-    # Rows with the same id may have other texts: only the one whose shingles make the node counts, so nodes are taken from the sets again.
-    known = few.join(wanted, same, "left_semi").select("text").mapInArrow(sets, "node bigint, n bigint, fine binary, s binary")
-    known = stored(known.dropDuplicates(["node"]), "sets")
-    left, right = (known.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}")) for k in "ab")
-    pairs = settle(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(near, "a bigint, b bigint"))
-    left = known.select(F.col("node").alias("a"), F.col("s").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
-    right = known.select(F.col("node").alias("b"), F.col("s").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
-    return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
-
-
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int):
-    """Broadcast (hashes, levels): shingles that are in many texts of a sample, with the logarithm of how many."""
-    sample = docs.filter(crc_mod(id_col, SAMPLE) == 0).select(F.col(text_col).cast("binary").alias("text"))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), words).view(np.int64))], ["h"])
-
-    counts = sample.mapInArrow(each, "h bigint").groupBy("h").count().filter(F.col("count") >= OFTEN)
-    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    hashes, count = rows.column("h").to_numpy().view(np.uint64), rows.column("count").to_numpy()
-    order = np.argsort(hashes)
-    return docs.sparkSession.sparkContext.broadcast((hashes[order], np.log2(np.maximum(count[order], 1)).astype(np.int64)))
-
-
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """Columns without nulls that tell rows apart, with the id: whether it is missing, and a hash of the text. They sort by id, rows without one last."""
-    return [F.col(id_col).isNull().alias("_none"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_mark")]
-
-
-def representatives(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """(id, none, mark) of the row with the smallest id of every component of near copies."""
-    common = common_shingles(docs, id_col, text_col, words)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, levels = common.value
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            nodes, sizes, sketches, heads = [], [], [], []
-            for x in batch.column(3):
-                found = shingles(x.as_py(), words)
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                sketches.append(sketch(found))
-                heads.append(in_order(found, hashes, levels)[: prefix_length(len(found), least)].view(np.int64).copy())
-            at = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-            head = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *heads])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), head], ["id", "none", "mark", "node", "n", "sketch", "head"])
-
-    none, mark = row_key(id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), none.alias("none"), mark.alias("mark"), F.col(text_col).cast("binary").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    prints = stored(rows.mapInArrow(read, f"id {kind}, none boolean, mark bigint, node bigint, n bigint, sketch binary, head array<bigint>"), "prints")
-    nodes = prints.groupBy("node").agg(F.min(F.struct("none", "id", "mark")).alias("best"))
-    heads = prints.dropDuplicates(["node"]).select("node", "n", F.posexplode("head").alias("pos", "key"))
-    spread = heads.select("key", "node", "n", F.col("pos").cast("bigint").alias("pos")).repartition("key").sortWithinPartitions("key", "node")
-    shared = stored(spread.mapInArrow(first_pairs(least), "key bigint, node bigint, n bigint, pos bigint, lead bigint"), "shared")
-    owners, sketches = nodes.select("node", "best.*"), prints.select("node", "n", "sketch").dropDuplicates(["node"])
-    leads = shared.filter("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    first = verified(possible(leads, sketches, least), rows, owners, words, least)
-    roots = components(first)
-    rooted = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    more = rooted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(other_pairs(least), "a bigint, b bigint").distinct()
-    second = verified(possible(more, sketches, least), rows, owners, words, least)
-    roots = components(first.unionByName(second))
-    return nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.*")
+def representatives(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(none, id, mark) of the row with the smallest id of every component of near copies."""
+    with small_batches(docs.sparkSession):
+        close = fingerprint_leads(docs, id_col, text_col)
+    rows = minhash.grouped(docs, id_col, text_col, words, percent)
+    similar = rows.filter("best.mark <> mark").select(F.col("mark").alias("a"), F.col("best.mark").alias("b")).distinct()
+    roots = simhash.components(close.unionByName(similar))
+    texts = rows.groupBy("mark").agg(F.min(F.struct("none", "id", "mark")).alias("best")).join(roots.withColumnRenamed("node", "mark"), "mark", "left")
+    return texts.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select("best.*")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The row with the smallest id of every component of near copies, whole and with all columns; of rows with the same id and text one stays."""
-    with small_batches(docs.sparkSession):
-        best = representatives(docs, id_col, text_col, words, least)
+    best = representatives(docs, id_col, text_col, words, percent)
     none, mark = row_key(id_col, text_col)
     keys = [fresh(docs, k) for k in ("_none", "_mark", "_id")]
-    text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     kept = best.select(F.col("none").alias(keys[0]), F.col("mark").alias(keys[1]), F.coalesce(F.col("id").cast("string"), F.lit("")).alias(keys[2]))
     # One shuffle of the texts serves the join and the removal of repeated rows.
-    return docs.select("*", none.alias(keys[0]), mark.alias(keys[1]), text_id.alias(keys[2])).join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    marked = docs.select("*", none.alias(keys[0]), mark.alias(keys[1]), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(keys[2]))
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

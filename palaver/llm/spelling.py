@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import settle, stored
-from palaver.llm.near_copies import runs
+from palaver.llm.common import runs, settle, stored
 
 #: Runs of letters after A to Z are lower-cased.
 RUN = re.compile("[a-zÀ-ÿ]+")
