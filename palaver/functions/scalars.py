@@ -43,8 +43,10 @@ def snippet(text: Column, query: Column, around: int = 80, bare: int = 160) -> C
     return F.when((length == 0) | (at == 0), strip(F.substring(text, 1, bare))).otherwise(hit)
 
 
-def _two(x: Column) -> Column:
-    return F.lpad(x.cast("string"), 2, "0")
+def padded(x: Column, n: int = 2) -> Column:
+    """At least ``n`` digits; ``lpad`` alone would cut longer numbers."""
+    digits = x.cast("string")
+    return F.when(F.length(digits) < n, F.lpad(digits, n, "0")).otherwise(digits)
 
 
 def whole(seconds: Column) -> Column:
@@ -54,15 +56,14 @@ def whole(seconds: Column) -> Column:
 def clock(seconds: Column) -> Column:
     """``HH:MM:SS``, or ``MM:SS`` below an hour."""
     s = whole(seconds)
-    rest = F.concat(_two(F.floor(s % 3600 / 60).cast("bigint")), F.lit(":"), _two(s % 60))
-    return F.when(s >= 3600, F.concat(_two(F.floor(s / 3600).cast("bigint")), F.lit(":"), rest)).otherwise(rest)
+    minutes = lambda x: F.concat(padded((x / 60).cast("bigint")), F.lit(":"), padded(x % 60))
+    return F.when(s >= 3600, F.concat(padded((s / 3600).cast("bigint")), F.lit(":"), minutes(s % 3600))).otherwise(minutes(s))
 
 
 def minutes_clock(seconds: Column) -> Column:
     """``MM:SS`` with unbounded minutes."""
     s = whole(seconds)
-    minutes = F.floor(s / 60).cast("bigint").cast("string")
-    return F.concat(F.when(F.length(minutes) < 2, F.lpad(minutes, 2, "0")).otherwise(minutes), F.lit(":"), _two(s % 60))
+    return F.concat(padded((s / 60).cast("bigint")), F.lit(":"), padded(s % 60))
 
 
 def human_duration(seconds: Column) -> Column:
@@ -70,7 +71,7 @@ def human_duration(seconds: Column) -> Column:
     s = whole(seconds)
     h, m, rest = F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60
     part = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
-    return F.when(h > 0, F.concat_ws(" ", part(h, "h"), part(m, "m"), part(rest, "s"))).when(m > 0, F.concat_ws(" ", part(m, "m"), part(rest, "s"))).otherwise(part(rest, "s"))
+    return F.when(h > 0, F.concat_ws(" ", part(h, "h"), part(m, "m"), part(rest, "s"))).when(m > 0, F.concat_ws(" ", part(m, "m"), part(rest, "s"))).otherwise(part(s, "s"))
 
 
 def human_size(size: Column) -> Column:

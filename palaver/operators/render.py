@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.scalars import clock, human_duration, human_size, slug, strip
+from palaver.functions.scalars import clock, human_duration, human_size, padded, slug, strip
 from palaver.operators.analysis import ordered
 
 SOURCE = "palaver"
@@ -133,7 +133,7 @@ def subtitles(segments: DataFrame, kind: str = "srt") -> DataFrame:
 
     def stamp(x: Column) -> Column:
         ms = F.floor(x * 1000 + 0.5).cast("bigint")
-        part = lambda v, n: F.lpad(F.floor(v).cast("bigint").cast("string"), n, "0")
+        part = lambda v, n: padded(F.floor(v).cast("bigint"), n)
         return F.concat(part(ms / 3_600_000, 2), F.lit(":"), part(ms / 60_000 % 60, 2), F.lit(":"), part(ms / 1000 % 60, 2), F.lit(sep), part(ms % 1000, 3))
 
     text = strip(F.coalesce("text", F.lit("")))
