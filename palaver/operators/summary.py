@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.scalars import strip, tokens
-from palaver.storage import settled
+
+#: Texts that a task ranks at a time.
+TEXTS = 256
 
 
 def sentences(text: Column) -> Column:
@@ -14,35 +21,57 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
+def sentence_scores(damping: float, rounds: int, tolerance: float):
+    """Function from texts, each a list of its sentences' distinct words, to the scores of their sentences."""
+
+    def of(texts: pa.ListArray) -> pa.ListArray:
+        said = texts.flatten()
+        n = pc.list_value_length(texts).to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(n)), n)
+        words = pc.list_value_length(said).to_numpy().astype(np.int64)
+        at = np.repeat(np.arange(len(words)), words)
+        code = said.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+        _, word = np.unique(text[at] * (code.max(initial=0) + 1) + code, return_inverse=True)
+        w = 1 / np.sqrt(words[at])
+        by_word = lambda x: np.bincount(word, x, 1)[word]
+        by_sentence = lambda x: np.bincount(at, x, len(words))
+        # What a sentence shares with all others, over all its words: the sum of the others' weights.
+        out = by_sentence(w * (by_word(w) - w))
+        score = 1 / n[text]
+        live = np.ones(len(n), bool)
+        for _ in range(rounds):
+            x = np.divide(score, out, out=np.zeros(len(score)), where=out > 1e-12)
+            # A sentence's words have the weight one together, so its own share is what it gives.
+            new = (1 - damping) / n[text] + damping * np.maximum(0.0, by_sentence(w * by_word(w * x[at])) - x)
+            new = np.where(live[text], new, score)
+            live &= np.bincount(text, np.abs(new - score), len(n)) > (tolerance or -1.0)
+            score = new
+            if not live.any():
+                break
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(score))
+
+    return of
+
+
 def ranked_sentences(docs: DataFrame, key: str, text: str, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
     """(key, pos, sentence, score): scores of the sentences of each text, which add up to at most one.
 
     Two sentences are as alike as their sets of words (cosine), and a sentence hands its score on to those it is like, in proportion. This matrix of sentences is never formed: it is that of
-    sentences by words times its transpose, so a round is a sum by word and a sum by sentence, and a word that all sentences share costs as many rows as it has sentences, not their square.
-    Ends after ``rounds`` rounds, or when no more than ``tolerance`` moves in any text. Texts with the same key are one text's parts, in no fixed order; a key is expected once.
+    sentences by words times its transpose, so a round is a sum by word and a sum by sentence, and a word that all sentences share costs as many cells as it has sentences, not their square.
+    A text ends after ``rounds`` rounds, or when no more than ``tolerance`` moves in it. Texts are rows, and a text is ranked where it lies, some at a time: nothing is shuffled or stored.
+    A key is expected once; rows with the same key are texts of their own.
     """
-    listed = settled(docs.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")))
-    words = listed.select(key, "pos", F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("word"))
-    size = words.groupBy(key, "pos").agg(F.sqrt(F.count("*")).alias("_n"))
-    weights = words.join(size, [key, "pos"]).select(key, "pos", "word", (1 / F.col("_n")).alias("w"))
-    # What a sentence shares with all others, over all its words: the sum of the others' weights.
-    shared = weights.groupBy(key, "word").agg(F.sum("w").alias("all"))
-    reach = settled(weights.join(shared, [key, "word"]).withColumn("_o", F.col("w") * (F.col("all") - F.col("w"))))
-    out = reach.groupBy(key, "pos").agg(F.sum("_o").alias("out"))
-    count = listed.groupBy(key).agg(F.count("*").alias("n"))
-    base = settled(listed.select(key, "pos").join(count, key).join(out, [key, "pos"], "left").select(key, "pos", "n", F.coalesce("out", F.lit(0.0)).alias("out"), (1 / F.col("n")).alias("score")))
-    weights = reach.select(key, "pos", "word", "w")
-    for _ in range(rounds):
-        gives = base.withColumn("x", F.when(F.col("out") > 1e-12, F.col("score") / F.col("out")).otherwise(0.0))
-        by_word = weights.join(gives.select(key, "pos", "x"), [key, "pos"]).groupBy(key, "word").agg(F.sum(F.col("w") * F.col("x")).alias("t"))
-        got = weights.join(by_word, [key, "word"]).groupBy(key, "pos").agg(F.sum(F.col("w") * F.col("t")).alias("got"))
-        # A sentence's words have the weight one together, so its own share is what it gives.
-        new = (1 - damping) / F.col("n") + damping * F.greatest(F.lit(0.0), F.coalesce("got", F.lit(0.0)) - F.col("x"))
-        after = settled(gives.join(got, [key, "pos"], "left").select(key, "pos", "n", "out", "score", new.alias("_new")))
-        base = after.select(key, "pos", "n", "out", F.col("_new").alias("score"))
-        if tolerance and (after.groupBy(key).agg(F.sum(F.abs(F.col("_new") - F.col("score"))).alias("d")).agg(F.max("d")).first()[0] or 0.0) <= tolerance:
-            break
-    return listed.join(base.select(key, "pos", "score"), [key, "pos"])
+    score = sentence_scores(damping, rounds, tolerance)
+
+    @F.arrow_udf("array<double>")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.float64())), *[score(batch.slice(at, TEXTS)) for at in range(0, len(batch), TEXTS)]])
+
+    words = F.transform("_s", lambda s: F.array_distinct(tokens(s)))
+    listed = docs.select(F.col(key).alias("_key"), sentences(F.col(text)).alias("_s")).filter(F.size("_s") > 0)
+    scored = listed.select("_key", "_s", scores(words).alias("_x"))
+    return scored.select(F.col("_key").alias(key), F.posexplode(F.arrays_zip("_s", "_x")).alias("pos", "_z")).select(key, "pos", F.col("_z._s").alias("sentence"), F.col("_z._x").alias("score"))
 
 
 def extractive_summary(docs: DataFrame, key: str = "call_id", text: str = "text", most: int = 3, **how) -> DataFrame:
