@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import bitmap, fresh, in_bitmap, join_split, row_key, runs, settle, slices, small_batches, stored
+from palaver.llm.common import bitmap, fresh, in_bitmap, join_split, no_broadcasts, row_key, runs, settle, slices, small_batches, stored
 from palaver.llm.simhash import components
 
 WORDS, PERCENT, SEED = 2, 80, 42
@@ -180,7 +180,9 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, owners: DataFrame, word
     none, mark = row_key(id_col, text_col)
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.xxhash64(none, F.col(id_col), mark).alias("key"))
     found = rows.mapInArrow(read, "node bigint, s binary")
-    return stored(found.join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    whole = stored(found.join(owners.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    held.destroy()
+    return whole
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -354,14 +356,14 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words:
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, none, mark, n, best): every row with the row that stands for its component, the smallest by id; null for an empty set."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), no_broadcasts(docs.sparkSession):
         prints = prints_of(docs, id_col, text_col, words)
         owner = F.min(F.struct("none", "id", "mark")).alias("best")
         nodes = stored(prints.filter("node IS NOT NULL").groupBy("node").agg(owner, *[F.first(c).alias(c) for c in ("n", "keys", "sig")]), "nodes")
         roots = components(links(docs, nodes, id_col, text_col, words, percent))
-    rooted = nodes.select("node", "best").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
-    least = rooted.groupBy("root").agg(F.min("best").alias("least"))
-    best = stored(rooted.join(least, "root").select("node", F.col("least").alias("best")), "best")
+        rooted = nodes.select("node", "best").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
+        least = rooted.groupBy("root").agg(F.min("best").alias("least"))
+        best = stored(rooted.join(least, "root").select("node", F.col("least").alias("best")), "best")
     return join_split(prints.select("id", "none", "mark", "node", "n"), best, "node", "left")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm import minhash, simhash
-from palaver.llm.common import fresh, join_split, row_key, small_batches, stored
+from palaver.llm.common import fresh, join_split, no_broadcasts, row_key, small_batches, stored
 
 WORDS, PERCENT = 5, 80
 
@@ -34,13 +34,13 @@ def fingerprint_leads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def representatives(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(none, id, mark) of the row with the smallest id of every component of near copies."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), no_broadcasts(docs.sparkSession):
         close = fingerprint_leads(docs, id_col, text_col)
-    rows = minhash.grouped(docs, id_col, text_col, words, percent)
-    similar = rows.filter("best.mark <> mark").select(F.col("mark").alias("a"), F.col("best.mark").alias("b")).distinct()
-    roots = simhash.components(close.unionByName(similar))
-    texts = rows.groupBy("mark").agg(F.min(F.struct("none", "id", "mark")).alias("best")).join(roots.withColumnRenamed("node", "mark"), "mark", "left")
-    return texts.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select("best.*")
+        rows = minhash.grouped(docs, id_col, text_col, words, percent)
+        similar = rows.filter("best.mark <> mark").select(F.col("mark").alias("a"), F.col("best.mark").alias("b")).distinct()
+        roots = simhash.components(close.unionByName(similar))
+        texts = rows.groupBy("mark").agg(F.min(F.struct("none", "id", "mark")).alias("best")).join(roots.withColumnRenamed("node", "mark"), "mark", "left")
+        return stored(texts.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select("best.*"), "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -51,4 +51,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     kept = best.select(F.col("none").alias(keys[0]), F.col("mark").alias(keys[1]), F.coalesce(F.col("id").cast("string"), F.lit("")).alias(keys[2]))
     # One shuffle of the texts serves the join and the removal of repeated rows.
     marked = docs.select("*", none.alias(keys[0]), mark.alias(keys[1]), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(keys[2]))
-    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    return marked.join(kept.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(docs.columns)
