@@ -135,11 +135,15 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
-def merged_turns(turns: DataFrame, width: float) -> DataFrame:
-    """Turns (call_id, side, speaker, a, b) cut at borders of bins, with ``_bin``; those of one speaker that overlap or touch in a bin are one."""
+#: Turns, before they are cut, for each task of the sweep at most, as a mean.
+TURNS = 40_000
+
+
+def merged_turns(turns: DataFrame, width: float, parts: int) -> DataFrame:
+    """Turns (call_id, side, speaker, a, b) cut at borders of bins, with ``_bin``, dealt to ``parts`` tasks by call and bin; those of one speaker that overlap or touch in a bin are one."""
     bins = F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))
-    cut = turns.withColumn("_bin", F.explode(bins)).withColumns({"a": F.greatest("a", F.col("_bin") * width), "b": F.least("b", (F.col("_bin") + 1) * width)}).filter("b > a")
-    w = Window.partitionBy("call_id", "_bin", "side", "speaker").orderBy("a", "b")
+    cut = turns.withColumn("_bin", F.explode(bins)).withColumns({"a": F.greatest("a", F.col("_bin") * width), "b": F.least("b", (F.col("_bin") + 1) * width)}).filter("b > a").repartition(parts, "call_id", "_bin")
+    w =Window.partitionBy("call_id", "_bin", "side", "speaker").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = cut.withColumn("_new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return islands.groupBy("call_id", "_bin", "side", "speaker", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
@@ -162,25 +166,26 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, collar: float
 
     A sweep in every (call, bin of ``width`` seconds): between two marks (a turn or a collar begins or ends) the numbers of speakers are fixed, and their spans add up. The scored seconds up to each mark
     turn the time that two turns share into a difference of two numbers, and so give the matrix of hypothesis by reference labels; bins add up, so a long call is many tasks.
+    All of the sweep follows one shuffle by (call, bin), to as many tasks as the number of turns asks for, so what a task holds does not grow with the table.
     Only that matrix, labels by labels, is one row for a call; the mapping of labels is the best one, whatever their number. Turns without a time or speaker, or of no length, do not count.
     """
     side = lambda df, name: df.select("call_id", F.lit(name).alias("side"), F.col("speaker").cast("string").alias("speaker"), F.col("start").cast("double").alias("a"), F.col("end").cast("double").alias("b"))
     both = side(reference, "r").unionByName(side(hypothesis, "h"))
     turns = both.filter(F.col("speaker").isNotNull() & (F.col("b") > F.col("a")))
-    pieces = merged_turns(turns, width)
-    borders = turns.filter("side = 'r'").select("call_id", F.explode(F.array("a", "b")).alias("t")).distinct()
-    collars = borders.select("call_id", F.lit("c").alias("side"), F.lit("").alias("speaker"), (F.col("t") - collar).alias("a"), (F.col("t") + collar).alias("b")).filter("b > a")
-    swept = pieces.unionByName(merged_turns(collars, width))
-    at = swept.select("call_id", "_bin", "side", F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))).alias("e")).select("call_id", "_bin", "side", "e.*")
-    marks = at.groupBy("call_id", "_bin", "t").agg(*[F.sum(F.when(F.col("side") == s, F.col("d")).otherwise(0)).alias(s) for s in "rhc"])
+    collars = turns.filter("side = 'r'").select("call_id", F.lit("c").alias("side"), F.lit("").alias("speaker"), F.explode(F.array("a", "b")).alias("t")).select("call_id", "side", "speaker", (F.col("t") - collar).alias("a"), (F.col("t") + collar).alias("b")).filter("b > a")
+    parts = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-turns.count() // TURNS))
+    swept = merged_turns(turns.unionByName(collars), width, parts)
+    mark = lambda t, d: F.struct(F.col(t).alias("t"), F.lit(d).alias("d"))
+    marks = swept.select("call_id", "_bin", "side", "speaker", F.col("a").alias("_from"), F.explode(F.array(mark("a", 1), mark("b", -1))).alias("e")).select("call_id", "_bin", "side", "speaker", "_from", "e.*")
     w = Window.partitionBy("call_id", "_bin").orderBy("t")
-    sofar = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    levels = marks.select("call_id", "_bin", "t", *[F.sum(s).over(sofar).alias(s) for s in "rhc"], F.coalesce(F.lead("t").over(w) - F.col("t"), F.lit(0.0)).alias("span"))
-    scored = levels.withColumn("span", F.when(F.col("c") == 0, F.col("span")).otherwise(0.0)).withColumn("upto", F.sum("span").over(sofar) - F.col("span"))
+    level = lambda s: F.sum(F.when(F.col("side") == s, F.col("d")).otherwise(0)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # Marks at one time have the same levels, and no span between them.
+    levels = marks.select("*", *[level(s).alias(s) for s in "rhc"], F.coalesce(F.lead("t").over(w) - F.col("t"), F.lit(0.0)).alias("_gap"))
+    spans = levels.withColumn("span", F.when(F.col("c") == 0, F.col("_gap")).otherwise(0.0))
+    scored = spans.withColumn("upto", F.coalesce(F.sum("span").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     r, h, span = F.col("r"), F.col("h"), F.col("span")
     sums = scored.groupBy("call_id").agg(F.sum(span * r).alias("total"), F.sum(span * F.greatest(F.lit(0), r - h)).alias("missed"), F.sum(span * F.greatest(F.lit(0), h - r)).alias("false_alarm"), F.sum(span * F.least(r, h)).alias("both"))
-    upto = lambda t, name: scored.select("call_id", "_bin", F.col("t").alias(t), F.col("upto").alias(name))
-    placed = pieces.join(upto("a", "_x"), ["call_id", "_bin", "a"]).join(upto("b", "_y"), ["call_id", "_bin", "b"]).filter("_y > _x")
+    placed = scored.filter("side <> 'c'").groupBy("call_id", "_bin", "side", "speaker", "_from").agg(F.min("upto").alias("_x"), F.max("upto").alias("_y")).filter("_y > _x")
     of = lambda s: placed.filter(F.col("side") == s).select("call_id", "_bin", F.col("speaker").alias(s), F.col("_x").alias(f"{s}x"), F.col("_y").alias(f"{s}y"))
     shared = F.least("hy", "ry") - F.greatest("hx", "rx")
     matrix = of("h").join(of("r"), ["call_id", "_bin"]).filter(shared > 0).groupBy("call_id", "h", "r").agg(F.sum(shared).alias("s"))
