@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import fresh, settle, slices
+from palaver.llm.common import fresh, settle, slices, stored
 
 WORDS = 3
 DISTANCE = 3
@@ -33,6 +33,8 @@ SEED = 42
 SEGMENTS, WIDTH = 4, 16
 #: Nodes under one key that one step compares; larger keys are dealt to pairs of tiles of about this size.
 TILE = 4096
+#: Links that a task of a step towards components writes.
+LINKS = 1 << 14
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -166,25 +168,27 @@ def fingerprint_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node in a link; the root is the smallest node of its component.
 
-    Alternates large-star and small-star steps, each a shuffle by node with map-side minima, until no link
-    changes. Sums over the links tell whether one did.
+    Alternates large-star and small-star steps until no link changes; sums over the links tell whether one did. Links point to the smaller node. In a large-star step a link
+    moves on to the least node that its lower end points to. In a small-star step the link to a node's least neighbour stays, and any other one becomes a link between both neighbours. So each
+    link stays one link, none has to be told from its copies by a shuffle, and the minima are combined before they are shuffled. What a step makes is stored as files of which a task of the next one reads many.
     """
-    now = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    print_of = None
+    sums = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+    now = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "links")
+    print_of = sums(now)
+    # As many tasks write a step's links as their number asks for.
+    kept = lambda df: stored(df.coalesce(print_of[0] // LINKS + 1), "links")
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = kept(now.join(below, "v", "left").select("u", F.coalesce("m", "v").alias("v")))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = settle(large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
-        check = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if print_of == tuple(check):
+        now = kept(large.join(lower, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
+        before, print_of = print_of, sums(now)
+        if print_of == before:
             break
-        print_of = tuple(check)
     else:
         raise RuntimeError("components did not settle")
-    own = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return own.unionByName(own.select(F.col("root").alias("node"), "root").distinct())
+    ends = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return stored(ends.groupBy("node").agg(F.min("root").alias("root")).coalesce(2 * print_of[0] // LINKS + 1), "roots")
 
 
 def with_representatives(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
