@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import bitmap, fresh, in_bitmap, join_split, no_broadcasts, row_key, runs, settle, slices, small_batches, stored
+from palaver.llm.common import bitmap, fresh, in_bitmap, join_split, no_broadcasts, row_key, runs, slices, small_batches, stored
 from palaver.llm.simhash import components
 
 WORDS, PERCENT, SEED = 2, 80, 42
@@ -40,6 +40,11 @@ KNOWN, LONGEST, BLOCK = 1 << 17, 64, 2048
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table of pairs or nodes. As files: a task of a later step reads many small ones, while a checkpoint gives each later step as many tasks as it has parts, however few its rows."""
+    return stored(df, "step")
+
+
 class Words(dict):
     """Hashes of words, remembered unless they are long."""
 

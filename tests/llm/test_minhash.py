@@ -131,3 +131,8 @@ def test_bayesian_bounds_keep_pairs_at_the_threshold():
     both = rng.integers(0, 1 << 63, 800, np.uint64)
     p, q = (minhash.minima(np.concatenate([both, rng.integers(0, 1 << 63, 100, np.uint64)]), factors) for _ in range(2))
     assert (x == y).mean() < 0.01 and abs((p == q).mean() - 0.8) < 0.03
+
+
+def test_steps_of_few_rows_are_read_by_few_tasks(spark):
+    few = minhash.settle(spark.range(90).withColumnRenamed("id", "a").repartition(45))
+    assert few.rdd.getNumPartitions() < 15 and few.count() == 90
