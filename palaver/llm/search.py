@@ -1,12 +1,13 @@
 """Operator 4: exact BM25 top-k by an inverted index with block-max WAND pruning, per shard, merged with global statistics.
 
-The index is built once, in the tasks that read the texts, and stored: a shard holds the postings of texts of about ``SHARD_BYTES``, its documents in the order of
-their length and in blocks of ``BLOCK``. Document frequencies, number and mean length are those of all texts, so scores of different shards compare and the merge of the shards' best is the exact top.
+The index is built once, in the tasks that read the texts, and stored: a shard holds the postings of texts of about ``SHARD_BYTES``, documents that share common words (those of a language, say) side by side, in the order of
+their length, in blocks of ``BLOCK``. Document frequencies, number and mean length are those of all texts, so scores of different shards compare and the merge of the shards' best is the exact top.
 
 Queries go out in blocks of bounded size. Shards are searched in rounds (``ROUNDS``): a query's k-th score so far is the threshold that the next round starts from, and
-a task raises it from shard to shard. In a shard a query's terms stand from the most common on. Up to the pivot the sum of their largest impacts stays below a share of the threshold: documents
-with these terms alone can't be among the best and are never opened. Postings from the pivot on are summed; a block is skipped if its largest sum
-and its largest impacts of the terms before the pivot stay below the threshold; the documents of the rest that can still reach it are scored in full. Only scores that reach the threshold leave a task, at most k for each query.
+a task raises it from shard to shard. A shard has its common terms as a matrix of impacts, and several queries, such as have words in common, are asked at once. Terms before
+the pivot are those of the matrix that enough of these queries have: they are never opened. Postings of all others are summed; a block is skipped if its largest sum
+and its largest impacts of the query's terms before the pivot stay below the threshold, and a shard if all the query's largest impacts do. Blocks that are left get the terms before the pivot by a product of
+queries and matrix in 32 bits, whose error is bounded; the documents that can still reach the threshold, or be among the k best, are scored in full. Only scores that reach the threshold leave a task, at most k for each query.
 
 Terms are known by their 64-bit XXH3 hash.
 
@@ -39,8 +40,10 @@ BLOCK = 64
 SHARD_BYTES, QUERIES, QUERY_TERMS = 32 << 20, 16384, 2_000_000
 #: Sixteenths of the shards that are searched up to the end of each round. A round holds at most some four times the shards before it, so about 4 k documents of it reach a query's threshold at any size.
 ROUNDS = (1, 4, 16)
-#: Terms before the pivot sum to at most this share of the threshold (any share up to one is exact) and occur in so many documents of the shard.
-SHARE, COMMON = 0.5, 0.1
+#: Common terms, of which a shard has a matrix, occur in this share of its documents and are at most so many. Cells of a product that take as long as opening a posting; queries and cells of sums that are worked on at once; blocks in a product.
+COMMON, MATRIX, POSTING, BATCH, CELLS, TILE = 0.01, 2048, 500, 256, 1 << 17, 4
+#: Documents in a group of like ones at least, its most common terms that are looked at, and the share of their variance that one direction has where the group is halved.
+LEAST, LEADING, STANDING_OUT = 512, 192, 0.05
 SLACK = 2e-9
 INDEX = "round int, docs bigint, words bigint, ids array<bigint>, sizes binary, terms binary, counts binary, doc binary, tf binary"
 
@@ -51,17 +54,65 @@ def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tf), np.uint64, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))
 
 
+def alike(doc: np.ndarray, place: np.ndarray, n: int, least: int = LEAST) -> list[np.ndarray]:
+    """Documents 0 to ``n`` in groups of ``least`` at the fewest that share common words, such as those of a language.
+
+    A group is halved, again and again, along the main direction of its documents' most common terms, where one stands out. Any grouping gives the same results.
+    """
+    if n < 2 * least:
+        return [np.arange(n)]
+    most = np.argsort(-np.bincount(place), kind="stable")[: 4 * LEADING]
+    column = np.full(int(place.max(initial=0)) + 1, -1, np.int32)
+    column[most] = np.arange(len(most))
+    some = column[place] >= 0
+    has = np.zeros((n, len(most)), np.float32)
+    has[doc[some], column[place[some]]] = 1
+
+    def split(own: np.ndarray) -> list[np.ndarray]:
+        if len(own) < 2 * least:
+            return [own]
+        x = has[own]
+        x = x[:, np.argsort(-x.sum(axis=0), kind="stable")[:LEADING]]
+        x /= np.maximum(1, np.sqrt(x.sum(axis=1, keepdims=True)))
+        x -= x.mean(axis=0)
+        spread, ways = np.linalg.eigh(x.T @ x)
+        if spread[-1] < STANDING_OUT * max(float(spread.sum()), 1e-9):
+            return [own]
+        along = x @ ways[:, -1]
+        cut = 0.0
+        for _ in range(20):
+            if not (low := along <= cut).any() or low.all():
+                break
+            cut = (along[low].mean() + along[~low].mean()) / 2
+        low = along <= cut
+        if min(low.sum(), (~low).sum()) < least:
+            return [own]
+        return split(own[low]) + split(own[~low])
+
+    return split(np.arange(n))
+
+
+def in_order(keys: np.ndarray) -> np.ndarray:
+    """A stable argsort of whole numbers from zero by 16 bits at a time, for which numpy takes time in proportion."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    for shift in range(16, int(keys.max(initial=0)).bit_length(), 16):
+        order = order[np.argsort((keys[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+    return order
+
+
 def packed(number: int, ids: list[int | None], vectors: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """One row of the index: postings by term of documents in the order of their length."""
+    """One row of the index: postings by term of documents, like ones together in the order of their length."""
     sizes = np.array([int(tf.sum()) for _, tf in vectors], np.int64)
-    order = np.argsort(sizes, kind="stable").tolist()
-    term, tf = (np.concatenate([vectors[i][k] for i in order]) for k in (0, 1))
-    doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
-    by_term = np.argsort(term, kind="stable")
-    term = term[by_term]
-    new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([new, [len(term)]])).astype(np.int32) if len(term) else np.zeros(0, np.int32)
-    blobs = (sizes[order].astype(np.int32), term[new], counts, doc[by_term], tf[by_term])
+    lengths = np.array([len(term) for term, _ in vectors])
+    terms, place = np.unique(np.concatenate([term for term, _ in vectors]), return_inverse=True)
+    order = np.concatenate([own[np.argsort(sizes[own], kind="stable")] for own in alike(np.repeat(np.arange(len(ids)), lengths), place, len(ids))])
+    at = np.empty(len(ids), np.int32)
+    at[order] = np.arange(len(ids))
+    doc = np.repeat(at, lengths)
+    by_doc = in_order(doc)
+    by_term = by_doc[in_order(place[by_doc])]
+    tf = np.concatenate([tf for _, tf in vectors])
+    blobs = (sizes[order].astype(np.int32), terms, np.bincount(place, minlength=len(terms)).astype(np.int32), doc[by_term], tf[by_term])
     columns = [pa.array([number], pa.int32()), pa.array([len(ids)]), pa.array([int(sizes.sum())]), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in INDEX.split(", ")])
 
@@ -130,6 +181,13 @@ class Asked:
     terms: np.ndarray
     idf: np.ndarray
     thresholds: np.ndarray
+    order: np.ndarray | None = None
+
+    def batches(self) -> Iterator[np.ndarray]:
+        """Some queries each, such as have words in common where these are known."""
+        order = np.arange(len(self.ids)) if self.order is None else self.order
+        for first in range(0, len(order), BATCH):
+            yield order[first : first + BATCH]
 
     @staticmethod
     def of(rows: pa.Table) -> Asked:
@@ -137,11 +195,12 @@ class Asked:
         order = np.argsort(query, kind="stable")
         ids, counts = np.unique(query, return_counts=True)
         terms, first, places = np.unique(term.view(np.uint64)[order], return_index=True, return_inverse=True)
-        return Asked(ids, np.concatenate([[0], np.cumsum(counts)]), places.astype(np.int32), terms, idf[order][first], np.zeros(len(ids)))
+        like = alike(np.repeat(np.arange(len(ids)), counts), places, len(ids)) if len(ids) else []
+        return Asked(ids, np.concatenate([[0], np.cumsum(counts)]), places.astype(np.int32), terms, idf[order][first], np.zeros(len(ids)), np.concatenate([*like, np.zeros(0, np.int64)]).astype(np.int64))
 
 
 class Shard:
-    """The postings of some documents for the terms that a block of queries asks for."""
+    """The postings of some documents for the terms that a block of queries asks for, by term and by document, and the common terms as a matrix."""
 
     def __init__(self, row: dict[str, pa.Scalar], asked: Asked, mean: float):
         sizes, terms, counts, doc, tf = (np.frombuffer(row[c].as_buffer(), kind) for c, kind in (("sizes", np.int32), ("terms", np.uint64), ("counts", np.int32), ("doc", np.int32), ("tf", np.int32)))
@@ -152,51 +211,111 @@ class Shard:
         at = np.minimum(np.searchsorted(asked.terms, terms), len(asked.terms) - 1)
         hit = asked.terms[at] == terms
         keep = np.repeat(hit, counts)
-        self.doc, tf, at, counts = doc[keep].astype(np.int64), tf[keep].astype(np.float64), at[hit], counts[hit]
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean)) * np.repeat(asked.idf[at], counts)
+        self.doc, tf, at, counts = doc[keep], tf[keep].astype(np.float64), at[hit], counts[hit].astype(np.int64)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / mean))[self.doc]) * np.repeat(asked.idf[at], counts)
         self.counts, self.ends = counts, np.cumsum(counts)
         self.starts = self.ends - counts
         self.most = np.maximum.reduceat(self.impact, self.starts) if len(at) else np.zeros(0)
-        self.place = np.full(len(asked.terms), -1, np.int64)
+        self.place = np.full(len(asked.terms), -1, np.int32)
         self.place[at] = np.arange(len(at))
-        # The common terms also have a row of all documents each, no more cells than postings in all.
-        rank = np.argsort(-counts, kind="stable")[: len(self.doc) // self.docs + 1]
-        dense = rank[counts[rank] >= COMMON * len(sizes)]
+        # The common terms also have a row of all documents each.
+        rank = np.argsort(-counts, kind="stable")[:MATRIX]
+        self.common = rank[counts[rank] >= COMMON * len(sizes)]
         self.row = np.full(len(at), -1, np.int64)
-        self.row[dense] = np.arange(len(dense))
-        self.dense = np.zeros((len(dense), self.docs))
-        for r, t in enumerate(dense.tolist()):
-            self.dense[r, self.doc[self.starts[t] : self.ends[t]]] = self.impact[self.starts[t] : self.ends[t]]
-        self.block_most = self.dense.reshape(len(dense), self.docs // BLOCK, BLOCK).max(axis=2)
+        self.row[self.common] = np.arange(len(self.common))
+        self.matrix = np.zeros((len(self.common), self.docs), np.float32)
+        for r, t in enumerate(self.common.tolist()):
+            self.matrix[r, self.doc[self.starts[t] : self.ends[t]]] = self.impact[self.starts[t] : self.ends[t]]
+        self.block_most = self.matrix.reshape(len(self.common), self.docs // BLOCK, BLOCK).max(axis=2)
+        # The same postings by document, for the scores in full.
+        by_doc = in_order(self.doc)
+        self.own_term, self.own_impact = np.repeat(np.arange(len(at), dtype=np.int32), counts)[by_doc], self.impact[by_doc]
+        self.own_ends = np.cumsum(np.bincount(self.doc, minlength=self.docs))
+        self.own_starts = np.concatenate([[0], self.own_ends[:-1]])
+        self.asked_for = np.zeros(len(at), bool)
 
     def top(self, places: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of the k best that reach the threshold, and those equal to the last of them."""
+        for _, found, score in self.best(np.array([0, len(places)]), places, np.array([threshold]), k):
+            return found, score
+        return np.zeros(0, np.int64), np.zeros(0)
+
+    def best(self, ends: np.ndarray, places: np.ndarray, thresholds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``top`` for some queries, whose terms end at ``ends``, at once: (query, documents, scores) of those that find any."""
         at = self.place[places]
+        query = np.repeat(np.arange(len(thresholds)), np.diff(ends))[at >= 0]
         at = at[at >= 0]
-        at = at[np.lexsort((-self.counts[at], self.row[at] < 0))]
-        sums = np.cumsum(self.most[at])
-        pivot = min(int(np.searchsorted(sums, SHARE * threshold)), int((self.row[at] >= 0).sum()))
-        idle, opened = at[:pivot], at[pivot:]
-        spans = list(zip(self.starts[opened].tolist(), self.ends[opened].tolist(), strict=True))
-        if not spans:
-            return np.zeros(0, np.int64), np.zeros(0)
-        score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.impact[a:b] for a, b in spans]), self.docs)
-        if pivot:
-            rows = self.row[idle]
-            bound = score.reshape(-1, BLOCK).max(axis=1) + self.block_most[rows].sum(axis=0)
-            blocks = np.flatnonzero(bound >= threshold - SLACK)
-            found = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = found[score[found] + sums[pivot - 1] >= threshold - SLACK]
-            score = score[found] + self.dense[rows[:, None], found].sum(axis=0)
-            keep = score >= threshold - SLACK
-            found, score = found[keep], score[keep]
-        else:
-            found = np.flatnonzero((score > 0) & (score >= threshold - SLACK))
-            score = score[found]
-        if len(found) > k:
-            keep = score >= np.partition(score, -k)[-k] - SLACK
-            found, score = found[keep], score[keep]
-        return found, score
+        # Queries whose largest impacts stay below the threshold find nothing here.
+        able = np.bincount(query, self.most[at], len(thresholds))
+        able = np.flatnonzero((able > 0) & (able >= thresholds - SLACK))
+        if not len(able):
+            return
+        new = np.full(len(thresholds), -1)
+        new[able] = np.arange(len(able))
+        at, query, thresholds = at[new[query] >= 0], new[query[new[query] >= 0]], thresholds[able]
+        # Sums in 32 bits are off by less than one in 2**13, as a product has at most MATRIX terms.
+        least = np.maximum((thresholds - SLACK) * (1 - 2.0**-13), 1e-30).astype(np.float32)
+        row = self.row[at]
+        asks = np.bincount(row[row >= 0], minlength=len(self.common)) * self.counts[self.common] * POSTING >= len(able) * self.docs
+        idle = (row >= 0) & asks[row] if len(asks) else np.zeros(len(at), bool)
+        score = self.opened(query[~idle], at[~idle], len(able))
+        if idle.any():
+            self.add_idle(score, query[idle], row[idle], asks, least)
+        terms = np.searchsorted(query, np.arange(len(able) + 1))
+        hit = score >= least[:, None]
+        for q in np.flatnonzero(hit.any(axis=1)).tolist():
+            found = np.flatnonzero(hit[q])
+            if len(found) > k:
+                near = score[q, found]
+                found = found[near >= np.partition(near, -k)[-k] * np.float32(1 - 2.0**-12)]
+            exact = self.in_full(at[terms[q] : terms[q + 1]], found)
+            keep = exact >= thresholds[q] - SLACK
+            if keep.sum() > k:
+                keep &= exact >= np.partition(exact, -k)[-k] - SLACK
+            if keep.any():
+                yield int(able[q]), found[keep], exact[keep]
+
+    def opened(self, query: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the postings of these terms, by query and document; some queries at a time."""
+        score = np.empty((n, self.docs), np.float32)
+        some = max(1, CELLS // self.docs)
+        for first in range(0, n, some):
+            a, b = np.searchsorted(query, (first, first + some))
+            counts = self.counts[at[a:b]]
+            rows = min(some, n - first)
+            place = np.repeat(self.starts[at[a:b]] - (np.cumsum(counts) - counts), counts)
+            place += np.arange(len(place))
+            cell = np.repeat((query[a:b] - first) * self.docs, counts)
+            cell += self.doc[place]
+            score[first : first + rows] = np.bincount(cell, self.impact[place], rows * self.docs).reshape(rows, self.docs)
+        return score
+
+    def add_idle(self, score: np.ndarray, query: np.ndarray, row: np.ndarray, asks: np.ndarray, least: np.ndarray) -> None:
+        """Add the impacts of common terms in the blocks that can reach the threshold with their largest ones."""
+        rows = np.flatnonzero(asks)
+        column = np.cumsum(asks) - 1
+        wanted = np.zeros((len(score), len(rows)), np.float32)
+        wanted[query, column[row]] = 1
+        whole = len(rows) == len(asks)
+        matrix, most = (self.matrix, self.block_most) if whole else (self.matrix[rows], self.block_most[rows])
+        bound = score.reshape(len(score), -1, BLOCK).max(axis=2) + wanted @ most
+        live = np.logical_or.reduceat(bound >= least[:, None], np.arange(0, bound.shape[1], TILE), axis=1)
+        for tile in np.flatnonzero(live.any(axis=0)).tolist():
+            span = slice(tile * TILE * BLOCK, (tile + 1) * TILE * BLOCK)
+            some = np.flatnonzero(live[:, tile])
+            if len(some) > 0.8 * len(score):
+                score[:, span] += wanted @ matrix[:, span]
+            else:
+                score[some, span] += wanted[some] @ matrix[:, span]
+
+    def in_full(self, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Scores of documents for the query with these terms."""
+        counts = self.own_ends[found] - self.own_starts[found]
+        place = np.arange(counts.sum()) + np.repeat(self.own_starts[found] - (np.cumsum(counts) - counts), counts)
+        self.asked_for[at] = True
+        hit = self.asked_for[self.own_term[place]]
+        self.asked_for[at] = False
+        return np.bincount(np.repeat(np.arange(len(found)), counts)[hit], self.own_impact[place[hit]], len(found))
 
 
 Best = tuple[np.ndarray, np.ndarray, np.ndarray]  # scores, whether the id is null, ids
@@ -215,15 +334,18 @@ def searcher(held, mean: float, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Asked = held.value
         best: dict[int, Best] = {}
+        reached = asked.thresholds.copy()
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard({name: batch.column(name)[i] for name in batch.schema.names}, asked, mean)
-                for q in range(len(asked.ids)):
-                    own = best.get(q)
-                    threshold = max(float(asked.thresholds[q]), float(own[0][-1]) if own and len(own[0]) == k else 0.0)
-                    found, score = shard.top(asked.places[asked.ends[q] : asked.ends[q + 1]], threshold, k)
-                    if len(found):
-                        best[q] = merged(own, (np.round(score, 9), shard.none[found], shard.ids[found]), k)
+                for some in asked.batches():
+                    ends = np.concatenate([[0], np.cumsum(asked.ends[some + 1] - asked.ends[some])])
+                    places = np.concatenate([asked.places[asked.ends[q] : asked.ends[q + 1]] for q in some.tolist()])
+                    for n, found, score in shard.best(ends, places, reached[some], k):
+                        q = int(some[n])
+                        best[q] = merged(best.get(q), (np.round(score, 9), shard.none[found], shard.ids[found]), k)
+                        if len(best[q][0]) == k:
+                            reached[q] = max(reached[q], best[q][0][-1])
         for q, (scores, none, ids) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asked.ids[q])), pa.array(ids, mask=none), pa.array(scores)], ["query_id", "doc_id", "score"])
 

@@ -335,6 +335,26 @@ def test_pruning_drops_nothing_wanted():
             assert np.allclose(np.sort(got)[::-1][: at + 1], np.sort(scores)[::-1][: at + 1])
 
 
+def test_search_keeps_like_documents_together_and_takes_queries_at_once():
+    rng = random.Random(7)
+    texts = [" ".join(f"{'ab'[i % 2]}{min(int(rng.expovariate(0.03)), 300)}" for _ in range(rng.randint(5, 60))).encode() for i in range(2600)]
+    vectors = [search.term_counts(t) for t in texts]
+    batch = search.packed(0, list(range(len(texts))), vectors)
+    kinds = np.array(batch.column("ids")[0].as_py()) % 2
+    assert np.count_nonzero(np.diff(kinds)) < 50  # in the order of their length alone, kinds change some 1300 times
+    df, mean = Counter(x for terms, _ in vectors for x in terms.tolist()), sum(int(tf.sum()) for _, tf in vectors) / len(texts)
+    rows = [(q, x, math.log1p((len(texts) - df[x] + 0.5) / (df[x] + 0.5))) for q in range(0, 600, 3) for x in vectors[q][0].tolist()]
+    asked = search.Asked.of(pa.table({"query_id": [r[0] for r in rows], "term": np.array([r[1] for r in rows], np.uint64).view(np.int64), "idf": [r[2] for r in rows]}))
+    shard = search.Shard({name: batch.column(name)[0] for name in batch.schema.names}, asked, mean)
+    whole = list(shard.best(asked.ends, asked.places, asked.thresholds, 10))
+    assert [n for n, *_ in whole] == list(range(200))
+    for raised in (0.0, 0.7, 1.0):
+        limits = np.array([raised * np.sort(score)[-10] for *_, score in whole])
+        for n, found, score in shard.best(asked.ends, asked.places, limits, 10):
+            best = [int(shard.ids[d]) for _, d in sorted(zip((-np.round(score, 9)).tolist(), found.tolist(), strict=True), key=lambda x: (x[0], shard.ids[x[1]]))][:10]
+            assert best == brute_top(list(enumerate(t.decode() for t in texts)), texts[int(asked.ids[n])].decode(), 10) if n % 40 == 0 else len(best) == 10
+
+
 def test_licences(spark, empty):
     mit = licences.TEMPLATES["MIT-text"]
     rows = [(1, "Intro\nReleased under the MIT license!\nrest"), (2, mit), (3, "about\n\n" + mit.upper() + "\n\nmore\ntext"), (4, None), (5, ""), (6, "the"), (7, "Licensed under the Apache License, Version 2.0"), (8, "All rights reserved." * 3), (1, "Intro\nReleased under the MIT license!\nrest")]
