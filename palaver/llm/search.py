@@ -36,12 +36,14 @@ from palaver.llm.decontaminate import words
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: Bytes of text in a shard, queries in a block of queries, and terms of all queries in one.
-SHARD_BYTES, QUERIES, QUERY_TERMS = 32 << 20, 16384, 2_000_000
+#: Bytes of text and documents in a shard at most, queries in a block of queries, and terms of all queries in one.
+SHARD_BYTES, SHARD_DOCS, QUERIES, QUERY_TERMS = 32 << 20, 1 << 15, 16384, 2_000_000
 #: Sixteenths of the shards that are searched up to the end of each round. A round holds at most some four times the shards before it, so about 4 k documents of it reach a query's threshold at any size.
 ROUNDS = (1, 4, 16)
-#: Common terms, of which a shard has a matrix, occur in this share of its documents and are at most so many. Cells of a product that take as long as opening a posting; queries and cells of sums that are worked on at once; blocks in a product.
-COMMON, MATRIX, POSTING, BATCH, CELLS, TILE = 0.01, 2048, 500, 256, 1 << 17, 4
+#: Common terms, of which a shard has a matrix, occur in this share of its documents; rows and cells of the matrix at most.
+COMMON, MATRIX, MATRIX_CELLS = 0.01, 2048, 1 << 24
+#: Cells of a product that take as long as opening a posting, queries that are asked at once, cells of their sums at most, cells that are summed at once, blocks in a product.
+POSTING, BATCH, BATCH_CELLS, CELLS, TILE = 500, 256, 1 << 22, 1 << 17, 4
 #: Documents in a group of like ones at least, its most common terms that are looked at, and the share of their variance that one direction has where the group is halved.
 LEAST, LEADING, STANDING_OUT = 512, 192, 0.05
 SLACK = 2e-9
@@ -65,14 +67,14 @@ def alike(doc: np.ndarray, place: np.ndarray, n: int, least: int = LEAST) -> lis
     column = np.full(int(place.max(initial=0)) + 1, -1, np.int32)
     column[most] = np.arange(len(most))
     some = column[place] >= 0
-    has = np.zeros((n, len(most)), np.float32)
-    has[doc[some], column[place[some]]] = 1
+    has = np.zeros((n, len(most)), bool)
+    has[doc[some], column[place[some]]] = True
 
     def split(own: np.ndarray) -> list[np.ndarray]:
         if len(own) < 2 * least:
             return [own]
         x = has[own]
-        x = x[:, np.argsort(-x.sum(axis=0), kind="stable")[:LEADING]]
+        x = x[:, np.argsort(-x.sum(axis=0), kind="stable")[:LEADING]].astype(np.float32)
         x /= np.maximum(1, np.sqrt(x.sum(axis=1, keepdims=True)))
         x -= x.mean(axis=0)
         spread, ways = np.linalg.eigh(x.T @ x)
@@ -133,7 +135,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -
                     ids.append(own[i])
                     vectors.append(term_counts(text))
                     size += len(text)
-                    if size >= shard_bytes:
+                    if size >= shard_bytes or len(ids) == SHARD_DOCS:
                         yield packed(round_of(number), ids, vectors)
                         ids, vectors, size, number = [], [], 0, number + 1
         if ids:
@@ -183,11 +185,12 @@ class Asked:
     thresholds: np.ndarray
     order: np.ndarray | None = None
 
-    def batches(self) -> Iterator[np.ndarray]:
-        """Some queries each, such as have words in common where these are known."""
+    def batches(self, docs: int) -> Iterator[np.ndarray]:
+        """Some queries each to ask a shard of so many documents, such as have words in common where these are known."""
+        some = max(1, min(BATCH, BATCH_CELLS // max(1, docs)))
         order = np.arange(len(self.ids)) if self.order is None else self.order
-        for first in range(0, len(order), BATCH):
-            yield order[first : first + BATCH]
+        for first in range(0, len(order), some):
+            yield order[first : first + some]
 
     @staticmethod
     def of(rows: pa.Table) -> Asked:
@@ -219,7 +222,7 @@ class Shard:
         self.place = np.full(len(asked.terms), -1, np.int32)
         self.place[at] = np.arange(len(at))
         # The common terms also have a row of all documents each.
-        rank = np.argsort(-counts, kind="stable")[:MATRIX]
+        rank = np.argsort(-counts, kind="stable")[: min(MATRIX, MATRIX_CELLS // max(1, self.docs))]
         self.common = rank[counts[rank] >= COMMON * len(sizes)]
         self.row = np.full(len(at), -1, np.int64)
         self.row[self.common] = np.arange(len(self.common))
@@ -310,12 +313,10 @@ class Shard:
 
     def in_full(self, at: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Scores of documents for the query with these terms."""
-        counts = self.own_ends[found] - self.own_starts[found]
-        place = np.arange(counts.sum()) + np.repeat(self.own_starts[found] - (np.cumsum(counts) - counts), counts)
         self.asked_for[at] = True
-        hit = self.asked_for[self.own_term[place]]
+        score = [self.own_impact[a:b][self.asked_for[self.own_term[a:b]]].sum() for a, b in zip(self.own_starts[found].tolist(), self.own_ends[found].tolist(), strict=True)]
         self.asked_for[at] = False
-        return np.bincount(np.repeat(np.arange(len(found)), counts)[hit], self.own_impact[place[hit]], len(found))
+        return np.array(score)
 
 
 Best = tuple[np.ndarray, np.ndarray, np.ndarray]  # scores, whether the id is null, ids
@@ -338,7 +339,7 @@ def searcher(held, mean: float, k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard({name: batch.column(name)[i] for name in batch.schema.names}, asked, mean)
-                for some in asked.batches():
+                for some in asked.batches(shard.docs):
                     ends = np.concatenate([[0], np.cumsum(asked.ends[some + 1] - asked.ends[some])])
                     places = np.concatenate([asked.places[asked.ends[q] : asked.ends[q + 1]] for q in some.tolist()])
                     for n, found, score in shard.best(ends, places, reached[some], k):
@@ -346,6 +347,7 @@ def searcher(held, mean: float, k: int):
                         best[q] = merged(best.get(q), (np.round(score, 9), shard.none[found], shard.ids[found]), k)
                         if len(best[q][0]) == k:
                             reached[q] = max(reached[q], best[q][0][-1])
+                del shard  # one at a time is held
         for q, (scores, none, ids) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asked.ids[q])), pa.array(ids, mask=none), pa.array(scores)], ["query_id", "doc_id", "score"])
 
